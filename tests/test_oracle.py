@@ -1,0 +1,26 @@
+"""Every registered query against its DuckDB oracle on the smallest tables."""
+
+import pytest
+
+from __spark_entry__ import entry, oracle_sql, queries
+from tools.compare import compare
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_query_has_an_oracle():
+    assert set(queries()) == set(oracle_sql())
+
+
+def test_entry_smoke(spark):
+    df = entry(spark)
+    assert df.count() > 0
+    assert df.columns[:2] == ["account_name", "month"]
+
+
+@pytest.mark.parametrize("key", sorted(queries()))
+def test_matches_oracle(spark, key):
+    res = compare(spark, SF, [key])[key]
+    assert res["cols"], res
+    assert res["rows"] == res["oracle_rows"], res
+    assert res["values"], res

@@ -1,0 +1,36 @@
+"""Plan checks: pushdown, one window, top-k, no join in the scenario."""
+
+from meterwise.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString() + "\n" + \
+        df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_history_plan(spark):
+    df = QUERIES["history_mom"](spark, SF)
+    text = plan(df)
+    assert "TakeOrderedAndProject" in text
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("lag(") == 1  # the window is evaluated once
+    assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text
+
+
+def test_usage_report_pushes_date_range(spark):
+    text = plan(QUERIES["usage_report"](spark, SF))
+    assert "GreaterThanOrEqual(l_shipdate" in text and "LessThan(l_shipdate" in text
+    assert "TakeOrderedAndProject" in text
+
+
+def test_scenario_all_has_no_join(spark):
+    text = plan(QUERIES["scenario_flat_all"](spark, SF))
+    assert "Generate" in text
+    assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
+
+
+def test_baselines_skip_dimension_joins(spark):
+    text = plan(QUERIES["baseline_trailing_all"](spark, SF))
+    assert "supplier" not in text and "part.parquet" not in text
