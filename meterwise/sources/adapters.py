@@ -2,18 +2,21 @@
 
 Fact A (account x month) is built as
 
-    lineitem --pre-aggregate by order--> join orders --aggregate by
-    (customer, month)--> join customer --> nation --> region
-
-The two aggregations run *before* the wide joins: the first shrinks lineitem
-by the lines-per-order factor and leaves the result hash-partitioned on the
-order key, so the orders join reuses that partitioning; the second collapses
-every customer to at most one row per month before the customer join, so a
-customer holding a large share of all orders cannot skew that join.
-Both aggregations are partial + final (map-side combine).
-
-Fact B (usage line) is lineitem joined to orders, with supplier and part
-looked up only when their columns are asked for.
+    lineitem JOIN orders --aggregate by (customer, month)--> JOIN customer
+    --> nation --> region
+
+The line-to-order join pairs two fact tables that both grow with the data,
+so it is always a shuffled sort-merge join (``merge`` hint): broadcasting
+``orders`` is never safe at scale, and it would also pin all per-line decimal
+work to the scan tasks. The aggregation by (customer, month) is partial +
+final (map-side combine) and runs *before* the customer join, so a customer
+holding a large share of all orders costs one partial row per task and at
+most one row per month in that join. Customer, nation and region are joined
+by Spark's own size check (broadcast under ``autoBroadcastJoinThreshold``,
+sort-merge above it).
+
+Fact B (usage line) is lineitem joined to orders the same way, with supplier
+and part looked up only when their columns are asked for.
 
 ``months`` / ``dates`` add exact predicates on the raw order/ship timestamps
 so that a report's date range reaches the Parquet scan (``PushedFilters``);
@@ -69,30 +72,22 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
     ``start <= m <= end``; the same predicate a report applies to ``month``,
     turned into an exact range on the raw order date.
     """
-    per_order = (
-        tables("lineitem")
-        .groupBy("l_orderkey")
-        .agg(
-            F.sum(F.when(F.col("l_returnflag") == RETURNED_FLAG, F.lit(0)).otherwise(line_net()))
-            .alias("o_amount"),
-            F.sum(line_net()).alias("o_baseline"),
-            F.sum(line_gross()).alias("o_model"),
-            F.sum(line_price()).alias("o_submitted"),
-        )
-    )
+    lines = tables("lineitem").select(
+        "l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     orders = tables("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     if months is not None:
         start, end = months
         orders = orders.filter(_raw_range(
             "o_orderdate", first_month_on_or_after(start), first_month_after(end)))
     monthly = (
-        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey"), month_start("o_orderdate").alias("month"))
         .agg(
-            F.sum("o_amount").alias("amount"),
-            F.sum("o_baseline").alias("baseline"),
-            F.sum("o_model").alias("model_forecast"),
-            F.sum("o_submitted").alias("submitted_sum"),
+            F.sum(F.when(F.col("l_returnflag") == RETURNED_FLAG, F.lit(0)).otherwise(line_net()))
+            .alias("amount"),
+            F.sum(line_net()).alias("baseline"),
+            F.sum(line_gross()).alias("model_forecast"),
+            F.sum(line_price()).alias("submitted_sum"),
         )
     )
     customer = tables("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -131,7 +126,7 @@ def usage_lines(tables: SourceTables, columns: list[str] | None = None,
         start, end = dates
         li = li.filter(_raw_range("l_shipdate", start, date.fromordinal(end.toordinal() + 1)))
     orders = tables("orders").select("o_orderkey", "o_custkey")
-    lines = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "workspace_name" in want:
         supplier = tables("supplier").select("s_suppkey", "s_name")
         lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")

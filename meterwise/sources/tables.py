@@ -16,17 +16,44 @@ from pyspark.sql import DataFrame, SparkSession
 from meterwise import schemas
 
 
+# Schemas of the test tables the adapters read. Declaring them skips the
+# footer-reading job Spark otherwise runs on every ``read.parquet``.
+TEST_TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 @dataclass
 class SourceTables:
-    """Parquet tables in one folder, ``<folder>/<name>.parquet``."""
+    """Parquet tables in one folder, ``<folder>/<name>.parquet``.
+
+    Tables with a known schema are read with it (no inference job); others
+    fall back to Parquet schema inference.
+    """
 
     spark: SparkSession
     folder: str
+    schemas: dict = field(default_factory=lambda: dict(TEST_TABLE_SCHEMAS))
     _cache: dict = field(default_factory=dict, repr=False)
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
+            path = f"{self.folder.rstrip('/')}/{name}.parquet"
+            reader = self.spark.read
+            if name in self.schemas:
+                reader = reader.schema(self.schemas[name])
+            self._cache[name] = reader.parquet(path)
         return self._cache[name]
 
 
