@@ -190,17 +190,19 @@ LEFT JOIN monthly m ON m.account_id = l.account_id AND m.month = l.month"""
 
 # Rates 5 / 10 / 20 % -> factors 1.05 / 1.10 / 1.20; after Yr3 the loop rule
 # carries 1.05 per year.
+# Each branch is rounded on its own: a CASE over decimals of different scales
+# would otherwise widen past 38 digits and fall back to DOUBLE in DuckDB.
 FLAT_CASE = """CASE yr_num
-         WHEN 1 THEN total * 1.05
-         WHEN 2 THEN total * 1.05 * 1.10
-         ELSE total * 1.05 * 1.10 * 1.20 END"""
+         WHEN 1 THEN ROUND(total * 1.05, 2)
+         WHEN 2 THEN ROUND(total * 1.05 * 1.10, 2)
+         ELSE ROUND(total * 1.05 * 1.10 * 1.20, 2) END"""
 COMPOUND_CASE = """CASE yr_num
-         WHEN 1 THEN total * 1.05
-         WHEN 2 THEN total * 1.05 * 1.10
-         WHEN 3 THEN total * 1.05 * 1.10 * 1.20
-         WHEN 4 THEN total * 1.05 * 1.10 * 1.20 * 1.20
-         WHEN 5 THEN total * 1.05 * 1.10 * 1.20 * 1.05 * 1.20
-         WHEN 6 THEN total * 1.05 * 1.10 * 1.20 * 1.05 * 1.05 * 1.20 END"""
+         WHEN 1 THEN ROUND(total * 1.05, 2)
+         WHEN 2 THEN ROUND(total * 1.05 * 1.10, 2)
+         WHEN 3 THEN ROUND(total * 1.05 * 1.10 * 1.20, 2)
+         WHEN 4 THEN ROUND(total * 1.05 * 1.10 * 1.20 * 1.20, 2)
+         WHEN 5 THEN ROUND(total * 1.05 * 1.10 * 1.20 * 1.05 * 1.20, 2)
+         WHEN 6 THEN ROUND(total * 1.05 * 1.10 * 1.20 * 1.05 * 1.05 * 1.20, 2) END"""
 GROWTH_CASE = "CASE yr_num WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 20 END"
 
 
@@ -224,7 +226,7 @@ with_yr AS (SELECT month, {_yr('2001-01-01')} AS yr_num FROM forecast_months)
 SELECT month,
        'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
        CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST(ROUND({FLAT_CASE}, 2) AS DOUBLE) AS projected_usage_dollars
+       CAST({FLAT_CASE} AS DOUBLE) AS projected_usage_dollars
 FROM with_yr CROSS JOIN baseline
 WHERE yr_num >= 1"""
 
@@ -247,7 +249,7 @@ SELECT b.account_id,
        month,
        'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
        CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST(ROUND({FLAT_CASE}, 2) AS DOUBLE) AS projected_usage_dollars
+       CAST({FLAT_CASE} AS DOUBLE) AS projected_usage_dollars
 FROM with_yr CROSS JOIN baseline b
 WHERE yr_num >= 1"""
 
@@ -256,7 +258,7 @@ PROJECTED_BY_MONTH = f"""WITH {FACT_B},
 forecast_months AS ({_spine('2001-01-01', '2003-12-01')}),
 with_yr AS (SELECT month, {_yr('2001-01-01')} AS yr_num FROM forecast_months),
 projected AS (
-  SELECT month, ROUND({FLAT_CASE}, 2) AS p
+  SELECT month, {FLAT_CASE} AS p
   FROM with_yr CROSS JOIN baseline b
   WHERE yr_num >= 1
 )
@@ -299,7 +301,7 @@ with_yr AS (
 SELECT month,
        'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
        CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST(ROUND({COMPOUND_CASE}, 2) AS DOUBLE) AS projected_usage_dollars
+       CAST({COMPOUND_CASE} AS DOUBLE) AS projected_usage_dollars
 FROM with_yr CROSS JOIN baseline"""
 
 SCENARIO_COMPOUND_ALL = f"""WITH {FACT_B},
@@ -313,7 +315,7 @@ SELECT b.account_id,
        month,
        'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
        CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST(ROUND({COMPOUND_CASE}, 2) AS DOUBLE) AS projected_usage_dollars
+       CAST({COMPOUND_CASE} AS DOUBLE) AS projected_usage_dollars
 FROM with_yr CROSS JOIN baseline b"""
 
 

@@ -139,3 +139,12 @@ def test_year_bucket_labels(spark):
     assert out[m(2021, 1)] == (None, "Historical")
     assert out[m(2021, 2)] == (1, "Yr1") and out[m(2021, 12)] == (1, "Yr1")
     assert out[m(2022, 1)] == (2, "Yr2")
+
+
+def test_projection_rounds_the_exact_product(spark):  # R7
+    # 96051.6432 * 1.833678 = 176127.7849996896: just under the half cent.
+    usage = usage_lines(spark, [("1", m(2000, 12, 5), "96051.6432")])
+    p = ScenarioParams("1", date(2000, 12, 31), m(2001, 1), m(2006, 12), RATES,
+                       history_start=m(2000, 1))
+    yr6 = [r for r in scenario_report(usage, p, "compound").collect() if r["year_bucket"] == "Yr6"]
+    assert {r["projected_usage_dollars"] for r in yr6} == {176127.78}
