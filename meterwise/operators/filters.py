@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.schemas import MONTH_PARTITION_OF
+
 
 def name_matches(df: DataFrame, pattern: str, col: str = "account_name") -> DataFrame:
     """Case-insensitive LIKE (``%``, ``_``). NULL names never match, even ``%``.
@@ -18,8 +20,17 @@ def name_matches(df: DataFrame, pattern: str, col: str = "account_name") -> Data
 
 
 def in_date_range(df: DataFrame, start: date, end: date, col: str) -> DataFrame:
-    """Inclusive ``start <= col <= end`` on a ``date`` column."""
-    return df.filter((F.col(col) >= F.lit(start)) & (F.col(col) <= F.lit(end)))
+    """Inclusive ``start <= col <= end`` on a ``date`` column.
+
+    When the frame also carries the month partition column of ``col`` (a
+    written usage table), the implied month range is added so the scan
+    prunes month folders; it never changes the result.
+    """
+    cond = (F.col(col) >= F.lit(start)) & (F.col(col) <= F.lit(end))
+    part = MONTH_PARTITION_OF.get(col)
+    if part and part in df.columns:
+        cond = cond & (F.col(part) >= F.trunc(F.lit(start), "MM")) & (F.col(part) <= F.lit(end))
+    return df.filter(cond)
 
 
 def for_account(df: DataFrame, account_id, col: str = "account_id") -> DataFrame:

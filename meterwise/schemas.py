@@ -43,6 +43,11 @@ USAGE_LINES = T.StructType([
     T.StructField("dollars_at_list", MONEY_LINE, True),
 ])
 
+# Optional month partition column of a written usage table (first day of the
+# month of ``usage_date``); date filters add the implied month predicate.
+USAGE_MONTH = "usage_month"
+MONTH_PARTITION_OF = {"usage_date": USAGE_MONTH}
+
 # Column names of the production source tables, mapped to the
 # neutral names used here (neutral name -> source column).
 ACCOUNT_MONTHLY_SOURCE_COLUMNS = {
@@ -76,13 +81,14 @@ def _typed(c: Column, dtype: T.DataType) -> Column:
 
 
 def bind(df: DataFrame, schema: T.StructType, mapping: Mapping[str, str] | None = None,
-         keep_account_type: bool = False) -> DataFrame:
+         keep_account_type: bool = False, extra: Mapping[str, T.DataType] | None = None) -> DataFrame:
     """Select ``schema``'s columns from ``df`` through ``mapping``.
 
     ``mapping`` maps each neutral name to the source column (identity when a
     name is missing). Only the mapped columns are read, so Parquet scans stay
     pruned. ``keep_account_type`` leaves ``account_id`` in its source type
-    (e.g. a string key in a table whose ids are strings).
+    (e.g. a string key in a table whose ids are strings). ``extra`` keeps
+    further source columns (name -> type), e.g. a partition column.
     """
     mapping = dict(mapping or {})
     cols = []
@@ -92,4 +98,6 @@ def bind(df: DataFrame, schema: T.StructType, mapping: Mapping[str, str] | None
             cols.append(src.alias(f.name))
         else:
             cols.append(_typed(src, f.dataType).alias(f.name))
+    for name, dtype in (extra or {}).items():
+        cols.append(_typed(F.col(name), dtype).alias(name))
     return df.select(*cols)

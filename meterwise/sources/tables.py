@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from meterwise import schemas
 
@@ -76,5 +77,11 @@ def read_account_monthly(spark: SparkSession, source: str,
 
 def read_usage_lines(spark: SparkSession, source: str,
                      mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """Fact B by table name or Parquet path (see ``read_account_monthly``)."""
-    return schemas.bind(_load(spark, source), schemas.USAGE_LINES, mapping)
+    """Fact B by table name or Parquet path (see ``read_account_monthly``).
+
+    A ``usage_month`` partition column, when present, is kept so that date
+    filters can prune month folders.
+    """
+    raw = _load(spark, source)
+    extra = {schemas.USAGE_MONTH: T.DateType()} if schemas.USAGE_MONTH in raw.columns else None
+    return schemas.bind(raw, schemas.USAGE_LINES, mapping, extra=extra)
