@@ -148,3 +148,11 @@ def test_projection_rounds_the_exact_product(spark):  # R7
                        history_start=m(2000, 1))
     yr6 = [r for r in scenario_report(usage, p, "compound").collect() if r["year_bucket"] == "Yr6"]
     assert {r["projected_usage_dollars"] for r in yr6} == {176127.78}
+
+
+def test_usage_report_is_not_grouped(spark):  # R9
+    usage = usage_lines(spark, [("1", m(2020, 12, 5), 10), ("1", m(2020, 12, 6), 10),
+                                ("1", m(2020, 11, 5), 3)])
+    out = usage_report(usage, UsageParams("1", m(2020, 1), date(2020, 12, 31))).collect()
+    assert [(r["month"], r["dollars"]) for r in out] == [
+        (m(2020, 12), 10.0), (m(2020, 12), 10.0), (m(2020, 11), 3.0)]
