@@ -1,0 +1,27 @@
+"""The command-line front end runs each report."""
+
+import os
+import tempfile
+
+import pytest
+
+from meterwise import cli
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("argv,rows", [
+    (["history", "--pattern", "%customer#0000000%", "--start", "1996-01-01", "--end", "2000-12-31",
+      "--min-growth", "5", "--limit", "500"], 383),
+    (["forecast-period", "--start", "2000-01-01", "--end", "2001-06-01"], 280),
+    (["usage", "--account", "42", "--start", "1996-01-01", "--end", "2000-12-31"], 32),
+    (["usage", "--account", "42", "--start", "1996-01-01", "--end", "2000-12-31", "--totals", "sku"], None),
+    (["baseline", "--end", "2000-12-31", "--mode", "latest_month", "--start", "1996-01-01"], 150),
+    (["scenario", "--account", "42", "--history-end", "2000-12-31", "--forecast-start", "2001-01-01",
+      "--forecast-end", "2003-12-01", "--growth", "5", "10", "20"], 36),
+])
+def test_cli_writes_reports(spark, argv, rows):
+    out = os.path.join(tempfile.mkdtemp(prefix="meterwise-cli-"), "r")
+    assert cli.main(argv + ["--testdata", SF, "--out", out, "--format", "parquet"], spark=spark) == 0
+    got = spark.read.parquet(out).count()
+    assert got > 0 if rows is None else got == rows
