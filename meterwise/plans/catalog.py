@@ -1,13 +1,17 @@
 """Registered queries: each report with fixed parameters over the test tables.
 
-Every callable takes ``(spark, folder)`` and returns a lazy DataFrame built
-from the whole test tables through the adapters; the parameters are those
-listed for the driver queries in FIXTURES.md.
+Each entry names the fact table it reads, the report that runs on it, and
+the exact pre-filters the adapter may add for pushdown. ``QUERIES`` maps a
+key to a callable ``(spark, folder) -> DataFrame`` that builds the fact from
+the whole test tables; ``Registered.on_fact`` runs the same report on an
+already written fact table. Parameters are those listed for the driver
+queries in FIXTURES.md.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 from decimal import Decimal
 
@@ -45,116 +49,79 @@ SCENARIO_COMPOUND_ALL = ScenarioParams(None, date(2000, 12, 31), date(2001, 1, 1
                                        RATES, history_start=date(1996, 1, 1))
 YEAR_BUCKETS = ScenarioParams(None, date(2000, 12, 31), date(2001, 1, 15), date(2003, 12, 1), RATES)
 
-BASE_COLUMNS = ["account_id", "usage_date", "dollars"]
+BASE_COLUMNS = ("account_id", "usage_date", "dollars")
+MONTHLY, USAGE = "account_monthly", "usage_lines"
 
 
-def _tables(spark: SparkSession, folder: str) -> SourceTables:
-    return SourceTables(spark, folder)
+@dataclass(frozen=True)
+class Registered:
+    fact: str
+    build: Callable[[DataFrame], DataFrame]
+    months: tuple[date, date] | None = None
+    dates: tuple[date, date] | None = None
+    columns: tuple[str, ...] | None = None
 
+    def on_tables(self, spark: SparkSession, folder: str) -> DataFrame:
+        tables = SourceTables(spark, folder)
+        if self.fact == MONTHLY:
+            fact = account_monthly(tables, months=self.months)
+        else:
+            fact = usage_lines(tables, columns=list(self.columns) if self.columns else None,
+                               dates=self.dates)
+        return self.build(fact)
 
-def _history(p: HistoryParams):
-    def run(spark, folder):
-        fact = account_monthly(_tables(spark, folder), months=(p.start, p.end))
-        return reports.history_report(fact, p)
-    return run
-
-
-def forecast_period(spark, folder):
-    p = FORECAST
-    fact = account_monthly(_tables(spark, folder), months=(p.start, p.end))
-    return reports.forecast_period_report(fact, p)
-
-
-def usage_report(spark, folder):
-    p = USAGE_ONE
-    fact = usage_lines(_tables(spark, folder), dates=(p.start, p.end))
-    return reports.usage_report(fact, p)
-
-
-def _usage_totals(by: str):
-    def run(spark, folder):
-        p = USAGE_ALL
-        cols = ["account_id", "usage_date", "dollars"] + (["sku_name"] if by == "sku" else [])
-        fact = usage_lines(_tables(spark, folder), columns=cols, dates=(p.start, p.end))
-        return reports.usage_totals(fact, p, by)
-    return run
-
-
-def month_spine(spark, folder):
-    fact = usage_lines(_tables(spark, folder), columns=["account_id", "usage_date"])
-    return reports.month_spine_report(fact)
-
-
-def year_bucket(spark, folder):
-    fact = usage_lines(_tables(spark, folder), columns=["account_id"])
-    return reports.year_bucket_report(fact, YEAR_BUCKETS)
+    def on_fact(self, fact: DataFrame) -> DataFrame:
+        return self.build(fact)
 
 
 def _trailing_dates(end: date) -> tuple[date, date]:
     return add_months(date(end.year, end.month, 1), -1), end
 
 
-def baseline_trailing(spark, folder):
-    p = BASELINE_TRAILING
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS, dates=_trailing_dates(p.end))
-    return reports.baseline_report(fact, p)
-
-
-def baseline_trailing_all(spark, folder):
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS)
-    return reports.baseline_report(fact, BASELINE_TRAILING_ALL)
-
+def _history(p: HistoryParams) -> Registered:
+    return Registered(MONTHLY, lambda f: reports.history_report(f, p), months=(p.start, p.end))
 
-def baseline_latest_month(spark, folder):
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS)
-    return reports.baseline_report(fact, BASELINE_LATEST_ALL)
 
+def _usage_totals(by: str) -> Registered:
+    p = USAGE_ALL
+    cols = BASE_COLUMNS + (("sku_name",) if by == "sku" else ())
+    return Registered(USAGE, lambda f: reports.usage_totals(f, p, by), dates=(p.start, p.end),
+                      columns=cols)
 
-def scenario_flat(spark, folder):
-    p = SCENARIO_FLAT
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS,
-                       dates=_trailing_dates(p.history_end))
-    return reports.scenario_report(fact, p, "flat")
 
-
-def scenario_flat_all(spark, folder):
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS)
-    return reports.scenario_report(fact, SCENARIO_FLAT_ALL, "flat")
-
-
-def scenario_compound(spark, folder):
-    p = SCENARIO_COMPOUND
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS,
-                       dates=(p.history_start, p.history_end))
-    return reports.scenario_report(fact, p, "compound")
-
-
-def scenario_compound_all(spark, folder):
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS)
-    return reports.scenario_report(fact, SCENARIO_COMPOUND_ALL, "compound")
-
-
-def projected_by_month(spark, folder):
-    fact = usage_lines(_tables(spark, folder), columns=BASE_COLUMNS)
-    return reports.projected_totals(fact, SCENARIO_FLAT_ALL, "flat")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+REGISTERED: dict[str, Registered] = {
     "history_mom": _history(HISTORY_ALL),
     "history_mom_min_growth": _history(HISTORY_MIN_GROWTH),
     "history_name_pattern": _history(HISTORY_PATTERN),
-    "forecast_period": forecast_period,
-    "usage_report": usage_report,
+    "forecast_period": Registered(MONTHLY, lambda f: reports.forecast_period_report(f, FORECAST),
+                                  months=(FORECAST.start, FORECAST.end)),
+    "usage_report": Registered(USAGE, lambda f: reports.usage_report(f, USAGE_ONE),
+                               dates=(USAGE_ONE.start, USAGE_ONE.end)),
     "usage_by_month": _usage_totals("month"),
     "usage_by_sku": _usage_totals("sku"),
-    "month_spine": month_spine,
-    "year_bucket": year_bucket,
-    "baseline_trailing": baseline_trailing,
-    "baseline_trailing_all": baseline_trailing_all,
-    "baseline_latest_month": baseline_latest_month,
-    "scenario_flat": scenario_flat,
-    "scenario_flat_all": scenario_flat_all,
-    "scenario_compound": scenario_compound,
-    "scenario_compound_all": scenario_compound_all,
-    "projected_by_month": projected_by_month,
+    "month_spine": Registered(USAGE, reports.month_spine_report, columns=("account_id", "usage_date")),
+    "year_bucket": Registered(USAGE, lambda f: reports.year_bucket_report(f, YEAR_BUCKETS),
+                              columns=("account_id",)),
+    "baseline_trailing": Registered(USAGE, lambda f: reports.baseline_report(f, BASELINE_TRAILING),
+                                    dates=_trailing_dates(BASELINE_TRAILING.end), columns=BASE_COLUMNS),
+    "baseline_trailing_all": Registered(
+        USAGE, lambda f: reports.baseline_report(f, BASELINE_TRAILING_ALL), columns=BASE_COLUMNS),
+    "baseline_latest_month": Registered(
+        USAGE, lambda f: reports.baseline_report(f, BASELINE_LATEST_ALL), columns=BASE_COLUMNS),
+    "scenario_flat": Registered(USAGE, lambda f: reports.scenario_report(f, SCENARIO_FLAT, "flat"),
+                                dates=_trailing_dates(SCENARIO_FLAT.history_end), columns=BASE_COLUMNS),
+    "scenario_flat_all": Registered(
+        USAGE, lambda f: reports.scenario_report(f, SCENARIO_FLAT_ALL, "flat"), columns=BASE_COLUMNS),
+    "scenario_compound": Registered(
+        USAGE, lambda f: reports.scenario_report(f, SCENARIO_COMPOUND, "compound"),
+        dates=(SCENARIO_COMPOUND.history_start, SCENARIO_COMPOUND.history_end), columns=BASE_COLUMNS),
+    "scenario_compound_all": Registered(
+        USAGE, lambda f: reports.scenario_report(f, SCENARIO_COMPOUND_ALL, "compound"),
+        columns=BASE_COLUMNS),
+    "projected_by_month": Registered(
+        USAGE, lambda f: reports.projected_totals(f, SCENARIO_FLAT_ALL, "flat"), columns=BASE_COLUMNS),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    key: reg.on_tables for key, reg in REGISTERED.items()
 }
