@@ -12,12 +12,17 @@ Layout, chosen for the reports' predicates:
   (``month``, ``account_id``) before the write: every report filters a
   month range, which becomes partition pruning, and each task holds a
   contiguous key range, so a month folder gets a few files, not one per task.
+  The (account, month) grain is unique, so every range can be split: an
+  account holds at most one row per month.
 * usage lines, partitioned by ``usage_month`` (the month of ``usage_date``)
-  and range-partitioned on (``usage_date``, ``account_id``) before the
-  write, sorted the same way within each task: a hot month is spread over
-  several tasks, a date-range filter prunes month folders (see
+  and written straight from the partitions that produce them (no extra
+  shuffle of the largest table; those partitions are hash-balanced, so no
+  hot account, day or group of identical lines can gather in one task), each
+  task sorted by (``usage_month``, ``account_id``, ``usage_date``): a
+  date-range filter prunes month folders (see
   ``operators.filters.in_date_range``) and Parquet min/max statistics on
-  ``usage_date`` and ``account_id`` skip row groups inside them.
+  ``account_id`` skip row groups inside them. Each task writes one file per
+  month it holds.
 """
 
 from __future__ import annotations
@@ -54,8 +59,7 @@ def write_account_monthly(df: DataFrame, path: str) -> str:
 
 def write_usage_lines(df: DataFrame, path: str) -> str:
     (df.withColumn("usage_month", month_start(F.col("usage_date")))
-       .repartitionByRange("usage_date", "account_id")
-       .sortWithinPartitions("usage_date", "account_id")
+       .sortWithinPartitions("usage_month", "account_id", "usage_date")
        .write.mode("overwrite").partitionBy("usage_month").parquet(path))
     return path
 
