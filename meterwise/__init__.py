@@ -11,6 +11,7 @@ from meterwise.params import (
     UsageParams,
     BaselineParams,
     ScenarioParams,
+    DashboardParams,
 )
 
 __all__ = [
@@ -19,4 +20,5 @@ __all__ = [
     "UsageParams",
     "BaselineParams",
     "ScenarioParams",
+    "DashboardParams",
 ]

@@ -192,3 +192,39 @@ class ScenarioParams:
         if len(rates) != 3:
             raise ValueError("three yearly growth rates are required (Yr1, Yr2, Yr3)")
         object.__setattr__(self, "growth_pct", rates)
+
+
+@dataclass(frozen=True)
+class DashboardParams:
+    """One parameter set for the usage report and the scenario together.
+
+    The account and the history end drive both the usage report and the
+    scenario baseline, so the two can never disagree. ``for_today`` gives the
+    original front end's defaults: history = the last 12 months, forecast =
+    next month through 35 months after it.
+    """
+
+    account_id: str
+    history_start: date
+    history_end: date
+    forecast_start: date
+    forecast_end: date
+    growth_pct: tuple = field(default=(GROWTH_PCT_DEFAULT,) * 3)
+    limit: int = USAGE_LIMIT_DEFAULT
+
+    @classmethod
+    def for_today(cls, account_id: str, today: date, **overrides) -> "DashboardParams":
+        from meterwise.functions.dates import add_months
+
+        fs = add_months(today, 1)
+        values = dict(history_start=add_months(today, -12), history_end=today,
+                      forecast_start=fs, forecast_end=add_months(fs, 35))
+        values.update(overrides)
+        return cls(account_id, **values)
+
+    def usage(self) -> UsageParams:
+        return UsageParams(self.account_id, self.history_start, self.history_end, self.limit)
+
+    def scenario(self) -> ScenarioParams:
+        return ScenarioParams(self.account_id, self.history_end, self.forecast_start,
+                              self.forecast_end, self.growth_pct, self.history_start)

@@ -29,6 +29,7 @@ from meterwise.operators.windows import with_previous_amount
 from meterwise.params import (
     SCENARIO_DEFAULT_BASELINE,
     BaselineParams,
+    DashboardParams,
     ForecastPeriodParams,
     HistoryParams,
     ScenarioParams,
@@ -191,3 +192,10 @@ def year_bucket_report(usage_lines: DataFrame, p: ScenarioParams) -> DataFrame:
 def month_spine_report(usage_lines: DataFrame) -> DataFrame:
     """Every month from each account's first to last month with usage."""
     return account_month_spine(usage_lines)
+
+
+def dashboard(usage_lines: DataFrame, p: DashboardParams,
+              rule: str = "compound") -> tuple[DataFrame, DataFrame]:
+    """The usage report and the scenario for one account from one parameter
+    set (the scenario's baseline uses the same account and history range)."""
+    return usage_report(usage_lines, p.usage()), scenario_report(usage_lines, p.scenario(), rule)

@@ -156,3 +156,18 @@ def test_usage_report_is_not_grouped(spark):  # R9
     out = usage_report(usage, UsageParams("1", m(2020, 1), date(2020, 12, 31))).collect()
     assert [(r["month"], r["dollars"]) for r in out] == [
         (m(2020, 12), 10.0), (m(2020, 12), 10.0), (m(2020, 11), 3.0)]
+
+
+def test_dashboard_params_feed_both_reports(spark):  # R17
+    from meterwise.params import DashboardParams
+    from meterwise.plans.reports import dashboard
+
+    p = DashboardParams.for_today("1", date(2020, 12, 15), growth_pct=RATES)
+    assert (p.history_start, p.forecast_start, p.forecast_end) == (
+        date(2019, 12, 15), date(2021, 1, 15), date(2023, 12, 15))
+    usage = usage_lines(spark, [("1", m(2020, 12, 5), 10), ("2", m(2020, 12, 5), 99)])
+    lines, scenario = dashboard(usage, p)
+    assert [r["dollars"] for r in lines.collect()] == [10.0]
+    rows = scenario.collect()
+    assert len(rows) == 35 and rows[0]["month"] == m(2021, 2)  # mid-month start: loop rule drops it
+    assert rows[0]["projected_usage_dollars"] == 10.5
