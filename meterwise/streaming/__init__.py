@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reports this package rebuilds are batch reports over two fact tables; the
+original work has no streaming source, watermark, time window or state, so
+nothing is built here. Every report is a plain ``DataFrame -> DataFrame``
+function and would apply unchanged inside ``foreachBatch`` if a caller ever
+feeds the fact tables from a stream.
+"""
