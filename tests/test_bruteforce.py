@@ -191,3 +191,42 @@ def test_baselines_match_brute_force(spark, rows, end_day):
     for acct in accounts:
         assert trailing[acct] == float(brute_trailing(rows, acct, end, Decimal(0)))
         assert latest[acct] == float(brute_latest(rows, acct, start, end))
+
+
+@SETTINGS
+@given(rows=monthly_tables(), pattern=st.sampled_from(["%", "%ALPHA%", "beta"]),
+       lo=st.integers(0, 8), span=st.integers(-2, 12), limit=st.integers(1, 30))
+def test_forecast_period_matches_brute_force(spark, rows, pattern, lo, span, limit):
+    from meterwise.params import ForecastPeriodParams
+    from meterwise.plans.reports import forecast_period_report
+
+    start, end = month_add(date(2020, 1, 1), lo), month_add(date(2020, 1, 1), lo + span)
+    keep = [r for r in rows if like(r[1], pattern) and start <= r[2] <= end]
+    keep.sort(key=lambda r: (r[1], r[2], r[0]))
+    expect = [(r[1], r[2], r2(r[3])) for r in keep[:limit]]
+    got = forecast_period_report(account_monthly(spark, rows),
+                                 ForecastPeriodParams(pattern, start, end, limit)).collect()
+    assert [(g["account_name"], g["month"], g["amount"]) for g in got] == expect
+
+
+@SETTINGS
+@given(rows=usage_tables(), acct=st.sampled_from(["1", "2", "9"]), lo=st.integers(0, 100),
+       span=st.integers(0, 80), limit=st.integers(100, 120))
+def test_usage_report_and_totals_match_brute_force(spark, rows, acct, lo, span, limit):
+    from meterwise.params import UsageParams
+    from meterwise.plans.reports import usage_report, usage_totals
+
+    start = date(2020, 9, 1) + timedelta(days=lo)
+    end = start + timedelta(days=span)
+    keep = [r for r in rows if r[0] == acct and start <= r[1] <= end]
+    month = lambda d: date(d.year, d.month, 1)
+    expect = sorted(((month(r[1]), float(r[2])) for r in keep), key=lambda t: (-t[0].toordinal(), -t[1]))
+    usage = usage_lines(spark, rows)
+    got = usage_report(usage, UsageParams(acct, start, end, limit)).collect()
+    assert [(g["month"], g["dollars"]) for g in got] == expect[:limit]
+    totals = defaultdict(Decimal)
+    for r in keep:
+        totals[month(r[1])] += r[2]
+    got_t = {g["month"]: g["dollars"]
+             for g in usage_totals(usage, UsageParams(acct, start, end, None), "month").collect()}
+    assert got_t == {k: r2(v) for k, v in totals.items()}
