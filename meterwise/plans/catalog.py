@@ -60,6 +60,7 @@ class Registered:
     months: tuple[date, date] | None = None
     dates: tuple[date, date] | None = None
     columns: tuple[str, ...] | None = None
+    account_id: str | None = None
 
     def on_tables(self, spark: SparkSession, folder: str) -> DataFrame:
         tables = SourceTables(spark, folder)
@@ -67,7 +68,7 @@ class Registered:
             fact = account_monthly(tables, months=self.months)
         else:
             fact = usage_lines(tables, columns=list(self.columns) if self.columns else None,
-                               dates=self.dates)
+                               dates=self.dates, account_id=self.account_id)
         return self.build(fact)
 
     def on_fact(self, fact: DataFrame) -> DataFrame:
@@ -96,25 +97,28 @@ REGISTERED: dict[str, Registered] = {
     "forecast_period": Registered(MONTHLY, lambda f: reports.forecast_period_report(f, FORECAST),
                                   months=(FORECAST.start, FORECAST.end)),
     "usage_report": Registered(USAGE, lambda f: reports.usage_report(f, USAGE_ONE),
-                               dates=(USAGE_ONE.start, USAGE_ONE.end)),
+                               dates=(USAGE_ONE.start, USAGE_ONE.end), account_id=USAGE_ONE.account_id),
     "usage_by_month": _usage_totals("month"),
     "usage_by_sku": _usage_totals("sku"),
     "month_spine": Registered(USAGE, reports.month_spine_report, columns=("account_id", "usage_date")),
     "year_bucket": Registered(USAGE, lambda f: reports.year_bucket_report(f, YEAR_BUCKETS),
                               columns=("account_id",)),
     "baseline_trailing": Registered(USAGE, lambda f: reports.baseline_report(f, BASELINE_TRAILING),
-                                    dates=_trailing_dates(BASELINE_TRAILING.end), columns=BASE_COLUMNS),
+                                    dates=_trailing_dates(BASELINE_TRAILING.end), columns=BASE_COLUMNS,
+                                    account_id=BASELINE_TRAILING.account_id),
     "baseline_trailing_all": Registered(
         USAGE, lambda f: reports.baseline_report(f, BASELINE_TRAILING_ALL), columns=BASE_COLUMNS),
     "baseline_latest_month": Registered(
         USAGE, lambda f: reports.baseline_report(f, BASELINE_LATEST_ALL), columns=BASE_COLUMNS),
     "scenario_flat": Registered(USAGE, lambda f: reports.scenario_report(f, SCENARIO_FLAT, "flat"),
-                                dates=_trailing_dates(SCENARIO_FLAT.history_end), columns=BASE_COLUMNS),
+                                dates=_trailing_dates(SCENARIO_FLAT.history_end), columns=BASE_COLUMNS,
+                                account_id=SCENARIO_FLAT.account_id),
     "scenario_flat_all": Registered(
         USAGE, lambda f: reports.scenario_report(f, SCENARIO_FLAT_ALL, "flat"), columns=BASE_COLUMNS),
     "scenario_compound": Registered(
         USAGE, lambda f: reports.scenario_report(f, SCENARIO_COMPOUND, "compound"),
-        dates=(SCENARIO_COMPOUND.history_start, SCENARIO_COMPOUND.history_end), columns=BASE_COLUMNS),
+        dates=(SCENARIO_COMPOUND.history_start, SCENARIO_COMPOUND.history_end), columns=BASE_COLUMNS,
+        account_id=SCENARIO_COMPOUND.account_id),
     "scenario_compound_all": Registered(
         USAGE, lambda f: reports.scenario_report(f, SCENARIO_COMPOUND_ALL, "compound"),
         columns=BASE_COLUMNS),

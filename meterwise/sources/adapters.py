@@ -20,11 +20,14 @@ and part looked up only when their columns are asked for.
 
 ``months`` / ``dates`` add exact predicates on the raw order/ship timestamps
 so that a report's date range reaches the Parquet scan (``PushedFilters``);
-the report still applies its own filter on the derived column.
+``account_id`` does the same for the string account id of fact B, whose
+source is an integer key. The report still applies its own filter on the
+derived column.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -112,13 +115,26 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
     )
 
 
+def _custkey_for(account_id: str) -> Column:
+    """``o_custkey`` predicate equivalent to ``cast(o_custkey as string) = account_id``.
+
+    Only a canonical integer string can equal a cast integer, so the numeric
+    form (pushable to Parquet) is exact; any other string matches nothing.
+    """
+    s = str(account_id)
+    if re.fullmatch(r"-?(0|[1-9][0-9]{0,18})", s) and -2**63 <= int(s) < 2**63:
+        return F.col("o_custkey") == F.lit(int(s))
+    return F.lit(False)
+
+
 def usage_lines(tables: SourceTables, columns: list[str] | None = None,
-                dates: tuple[date, date] | None = None) -> DataFrame:
+                dates: tuple[date, date] | None = None, account_id: str | None = None) -> DataFrame:
     """Fact B from the test tables, one row per line item.
 
     ``columns`` restricts the output (and skips the supplier / part lookups
     when their columns are not needed). ``dates=(start, end)`` keeps lines
-    with ``start <= usage_date <= end`` via a range on the raw ship date.
+    with ``start <= usage_date <= end`` via a range on the raw ship date;
+    ``account_id`` keeps that account's lines via the integer order key.
     """
     want = list(columns or schemas.USAGE_LINES.fieldNames())
     li = tables("lineitem")
@@ -126,6 +142,8 @@ def usage_lines(tables: SourceTables, columns: list[str] | None = None,
         start, end = dates
         li = li.filter(_raw_range("l_shipdate", start, date.fromordinal(end.toordinal() + 1)))
     orders = tables("orders").select("o_orderkey", "o_custkey")
+    if account_id is not None:
+        orders = orders.filter(_custkey_for(account_id))
     lines = li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "workspace_name" in want:
         supplier = tables("supplier").select("s_suppkey", "s_name")

@@ -34,3 +34,21 @@ def test_scenario_all_has_no_join(spark):
 def test_baselines_skip_dimension_joins(spark):
     text = plan(QUERIES["baseline_trailing_all"](spark, SF))
     assert "supplier" not in text and "part.parquet" not in text
+
+
+def test_single_account_reaches_orders_scan(spark):
+    for key in ("usage_report", "baseline_trailing", "scenario_flat", "scenario_compound"):
+        text = plan(QUERIES[key](spark, SF))
+        assert "EqualTo(o_custkey,42)" in text, key
+
+
+def test_non_canonical_account_matches_nothing(spark):
+    from meterwise.params import UsageParams
+    from meterwise.plans.reports import usage_report
+    from meterwise.sources.adapters import usage_lines
+    from meterwise.sources.tables import SourceTables
+
+    for acct in ("042", "42.0", "x"):
+        p = UsageParams(acct, "1990-01-01", "2010-01-01", 1000)
+        fact = usage_lines(SourceTables(spark, SF), account_id=acct)
+        assert usage_report(fact, p).count() == 0
