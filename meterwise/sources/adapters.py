@@ -16,7 +16,10 @@ by Spark's own size check (broadcast under ``autoBroadcastJoinThreshold``,
 sort-merge above it).
 
 Fact B (usage line) is lineitem joined to orders the same way, with supplier
-and part looked up only when their columns are asked for.
+and part looked up only when their columns are asked for. When the caller
+asks for one account, the orders side is filtered to it first and the join
+strategy is left to Spark's size checks (AQE turns it into a broadcast only
+when the measured side is small).
 
 ``months`` / ``dates`` add exact predicates on the raw order/ship timestamps
 so that a report's date range reaches the Parquet scan (``PushedFilters``);
@@ -142,9 +145,15 @@ def usage_lines(tables: SourceTables, columns: list[str] | None = None,
         start, end = dates
         li = li.filter(_raw_range("l_shipdate", start, date.fromordinal(end.toordinal() + 1)))
     orders = tables("orders").select("o_orderkey", "o_custkey")
-    if account_id is not None:
+    if account_id is None:
+        # All accounts: orders is unbounded, always a sort-merge join.
+        orders = orders.hint("merge")
+    else:
+        # One account: its orders may be few or (a hot account) very many, so
+        # the strategy is left to Spark's size checks -- static statistics,
+        # then AQE's runtime conversion from measured shuffle sizes.
         orders = orders.filter(_custkey_for(account_id))
-    lines = li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "workspace_name" in want:
         supplier = tables("supplier").select("s_suppkey", "s_name")
         lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
