@@ -41,13 +41,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    The cluster's ``spark.checkpoint.dir`` always wins. Only when nothing is
+    The cluster's ``spark.checkpoint.dir`` always wins (read through the
+    session conf, which also works over Spark Connect). Only when nothing is
     set (tests) is a scratch folder chosen.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
+    current = spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None:
+        current = current or sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
     if not current:
         current = tempfile.mkdtemp(prefix="meterwise-ckpt-")
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    return current
