@@ -52,3 +52,22 @@ def test_non_canonical_account_matches_nothing(spark):
         p = UsageParams(acct, "1990-01-01", "2010-01-01", 1000)
         fact = usage_lines(SourceTables(spark, SF), account_id=acct)
         assert usage_report(fact, p).count() == 0
+
+
+SINGLE_ACCOUNT = {"usage_report", "baseline_trailing", "scenario_flat", "scenario_compound"}
+
+
+def test_scale_invariants_of_every_registered_query(spark):
+    """No nested-loop or Cartesian join, no Python UDF, and for every
+    all-accounts query the line-to-order join is never a broadcast."""
+    for key, fn in QUERIES.items():
+        df = fn(spark, SF)
+        text = df._jdf.queryExecution().executedPlan().toString()
+        for banned in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
+                       "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+            assert banned not in text, (key, banned)
+        if key not in SINGLE_ACCOUNT and "l_orderkey" in text:
+            assert "SortMergeJoin" in text, key
+            for line in text.splitlines():
+                if "BroadcastHashJoin" in line:
+                    assert "l_orderkey" not in line and "o_orderkey" not in line, (key, line)
