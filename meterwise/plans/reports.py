@@ -132,6 +132,22 @@ def baseline_report(usage_lines: DataFrame, p: BaselineParams) -> DataFrame:
     return out.withColumn("baseline_dollars", F.col("baseline_dollars").cast("double"))
 
 
+def _projection(usage_lines: DataFrame, p: ScenarioParams, rule: str) -> DataFrame:
+    """Baseline(s) plus the projected months; money still exact decimal."""
+    every = p.account_id is None
+    if rule == "flat":
+        base = trailing_baseline(usage_lines, p.history_end, SCENARIO_DEFAULT_BASELINE,
+                                 p.account_id, all_accounts=every)
+        return flat_scenario(base, p)
+    if rule == "compound":
+        if p.history_start is None:
+            raise ValueError("the compound rule needs history_start for its baseline")
+        base = latest_month_baseline(usage_lines, p.history_start, p.history_end,
+                                     p.account_id, all_accounts=every)
+        return compound_scenario(base, p)
+    raise ValueError(f"rule must be 'flat' or 'compound', got {rule!r}")
+
+
 def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat",
                     ordered: bool | None = None) -> DataFrame:
     """P5: projected usage by forecast month.
@@ -144,35 +160,23 @@ def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat
     output is small).
     """
     every = p.account_id is None
-    if rule == "flat":
-        base = trailing_baseline(usage_lines, p.history_end, SCENARIO_DEFAULT_BASELINE,
-                                 p.account_id, all_accounts=every)
-        proj = flat_scenario(base, p)
-    elif rule == "compound":
-        if p.history_start is None:
-            raise ValueError("the compound rule needs history_start for its baseline")
-        base = latest_month_baseline(usage_lines, p.history_start, p.history_end,
-                                     p.account_id, all_accounts=every)
-        proj = compound_scenario(base, p)
-    else:
-        raise ValueError(f"rule must be 'flat' or 'compound', got {rule!r}")
-    cols = (["account_id"] if every else []) + [
-        "month", "year_bucket",
+    keys = ["account_id"] if every else []
+    out = _projection(usage_lines, p, rule).select(
+        *keys, "month", "year_bucket",
         round_money("organic_growth_pct").alias("organic_growth_pct"),
         F.col("projected_usage_dollars").cast("double").alias("projected_usage_dollars"),
-    ]
-    out = proj.select(*cols)
-    if ordered if ordered is not None else not every:
-        out = out.orderBy(*(["account_id"] if every else []), "month")
-    return out
+    )
+    if ordered is None:
+        ordered = not every
+    return out.orderBy(*keys, "month") if ordered else out
 
 
 def projected_totals(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat") -> DataFrame:
-    """Projected dollars of all accounts per forecast month."""
-    proj = scenario_report(usage_lines, p, rule, ordered=False)
-    return (totals_by(proj.withColumn("_p", F.col("projected_usage_dollars").cast("decimal(38,2)")),
-                      F.col("month"), "_p", "projected_usage_dollars")
-            .withColumn("projected_usage_dollars", F.col("projected_usage_dollars").cast("double")))
+    """Projected dollars per forecast month, summed over the accounts
+    (exact sum of the rounded per-account projections)."""
+    totals = totals_by(_projection(usage_lines, p, rule), F.col("month"),
+                       "projected_usage_dollars", "projected_usage_dollars")
+    return totals.withColumn("projected_usage_dollars", F.col("projected_usage_dollars").cast("double"))
 
 
 def year_bucket_report(usage_lines: DataFrame, p: ScenarioParams) -> DataFrame:
