@@ -24,3 +24,28 @@ def test_matches_oracle(spark, key):
     assert res["cols"], res
     assert res["rows"] == res["oracle_rows"], res
     assert res["values"], res
+
+
+def test_matches_oracle_with_large_table_plans(spark):
+    """Broadcasts off (static and AQE), as when every table is too large to
+    broadcast: the plans switch to sort-merge joins and must give the same
+    results."""
+    keys = ("baseline_trailing", "history_name_pattern", "usage_report", "usage_by_sku",
+            "scenario_compound_all")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = queries()["usage_by_sku"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        res = compare(spark, SF, list(keys))
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    for key in keys:
+        assert res[key]["values"] and res[key]["rows"] == res[key]["oracle_rows"], (key, res[key])
