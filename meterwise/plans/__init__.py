@@ -10,7 +10,9 @@ from meterwise.plans.reports import (
     projected_totals,
     year_bucket_report,
     month_spine_report,
+    dashboard,
 )
+from meterwise.plans.facts import FactPaths, fact_paths, read_facts, write_facts
 
 __all__ = [
     "history_report",
@@ -22,4 +24,9 @@ __all__ = [
     "projected_totals",
     "year_bucket_report",
     "month_spine_report",
+    "dashboard",
+    "FactPaths",
+    "fact_paths",
+    "read_facts",
+    "write_facts",
 ]
