@@ -30,8 +30,11 @@ def account_month_spine(usage: DataFrame, date_col: str = "usage_date",
     One partial + final aggregation (min/max per account, map-side combined,
     so a hot account costs one row per task), then a per-row explode.
     """
+    # month_start is monotonic: truncating the per-account min/max equals the
+    # min/max of the truncated dates, with one truncation per account.
     bounds = usage.groupBy(key).agg(
-        F.min(month_start(date_col)).alias("_first"),
-        F.max(month_start(date_col)).alias("_last"),
+        F.min(date_col).alias("_first"),
+        F.max(date_col).alias("_last"),
     )
-    return bounds.select(key, F.explode(month_sequence(F.col("_first"), F.col("_last"))).alias(name))
+    return bounds.select(key, F.explode(month_sequence(month_start("_first"), month_start("_last")))
+                         .alias(name))
