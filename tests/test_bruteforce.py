@@ -20,7 +20,7 @@ from meterwise.plans.reports import baseline_report, history_report, scenario_re
 from tests.frames import account_monthly, usage_lines
 
 CENT = Decimal("0.01")
-SETTINGS = settings(max_examples=12, deadline=None,
+SETTINGS = settings(max_examples=20, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 
 

@@ -25,3 +25,39 @@ def test_cli_writes_reports(spark, argv, rows):
     assert cli.main(argv + ["--testdata", SF, "--out", out, "--format", "parquet"], spark=spark) == 0
     got = spark.read.parquet(out).count()
     assert got > 0 if rows is None else got == rows
+
+
+def test_cli_on_tables_in_the_source_layout(spark, capsys):
+    """Tables with the production column names, bound by the mapping."""
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    root = tempfile.mkdtemp(prefix="meterwise-src-")
+    monthly = spark.createDataFrame(
+        [("A1", "Acme", date(2024, 1, 1), Decimal("100.0000"), None, None, None, "U", "S"),
+         ("A1", "Acme", date(2024, 2, 1), Decimal("110.0000"), None, None, None, "U", "S")],
+        "account_id string, account_name string, usage_date date, dbu_dollars decimal(18,4), "
+        "organic_growth_baseline decimal(18,4), forecast_consumption_ds decimal(18,4), "
+        "submitted_ae_forecast decimal(18,4), business_unit string, BU1 string")
+    monthly.write.parquet(os.path.join(root, "monthly"))
+    usage = spark.createDataFrame(
+        [("A1", "w", "ws", "sku", datetime(2024, 2, 29, 23, 0), Decimal(1), Decimal("7.5"), Decimal(8))],
+        "sfdc_account_id string, sfdc_workspace_id string, sfdc_workspace_name string, sku_name string, "
+        "date timestamp_ntz, usage_quantity decimal(18,4), usage_dollars decimal(18,4), "
+        "usage_dollars_at_list decimal(18,4)")
+    usage.write.parquet(os.path.join(root, "usage"))
+
+    out = os.path.join(root, "h")
+    cli.main(["history", "--table", os.path.join(root, "monthly"), "--mapping", "source",
+              "--pattern", "%acme%", "--start", "2024-01-01", "--end", "2024-12-31",
+              "--out", out, "--format", "parquet"], spark=spark)
+    rows = spark.read.parquet(out).orderBy("month").collect()
+    assert [(r.month, r.amount, r.mom_growth_pct) for r in rows] == [
+        (date(2024, 1, 1), 100.0, None), (date(2024, 2, 1), 110.0, 10.0)]
+
+    out = os.path.join(root, "u")
+    cli.main(["usage", "--table", os.path.join(root, "usage"), "--mapping", "source",
+              "--account", "A1", "--start", "2024-02-01", "--end", "2024-02-29",
+              "--out", out, "--format", "parquet"], spark=spark)
+    rows = spark.read.parquet(out).collect()
+    assert [(r.account_id, r.month, r.dollars) for r in rows] == [("A1", date(2024, 2, 1), 7.5)]
