@@ -12,7 +12,13 @@ from meterwise.plans.reports import (
     month_spine_report,
     dashboard,
 )
-from meterwise.plans.facts import FactPaths, fact_paths, read_facts, write_facts
+from meterwise.plans.facts import (
+    FactPaths,
+    fact_paths,
+    read_facts,
+    write_account_monthly_table,
+    write_facts,
+)
 
 __all__ = [
     "history_report",
@@ -29,4 +35,5 @@ __all__ = [
     "fact_paths",
     "read_facts",
     "write_facts",
+    "write_account_monthly_table",
 ]

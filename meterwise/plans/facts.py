@@ -57,6 +57,23 @@ def write_account_monthly(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_account_monthly_table(df: DataFrame, table: str, buckets: int) -> str:
+    """Fact A as a catalog table bucketed by ``account_id`` (and partitioned
+    by ``month``), so the history window reads it with no shuffle: a bucketed
+    scan is already clustered by account.
+
+    Safe only because the grain is one row per account and month: a hot
+    account is at most one row per month in its bucket. (Usage lines are
+    never bucketed by account: one account's bucket would be a single task
+    reading all of its lines.)
+    """
+    (df.repartition(buckets, "account_id")
+       .write.mode("overwrite").partitionBy("month")
+       .bucketBy(buckets, "account_id").sortBy("account_id")
+       .saveAsTable(table))
+    return table
+
+
 def write_usage_lines(df: DataFrame, path: str) -> str:
     (df.withColumn("usage_month", month_start(F.col("usage_date")))
        .sortWithinPartitions("usage_month", "account_id", "usage_date")

@@ -31,7 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     # One machine: a fresh scratch folder per session (ignored if a session
     # with its own setting already exists).
-    builder = builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="meterwise-ckpt-"))
+    builder = (builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="meterwise-ckpt-"))
+               .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="meterwise-warehouse-")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)

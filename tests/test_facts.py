@@ -27,3 +27,17 @@ def test_reports_on_written_facts(spark):
          reports.scenario_report(live_b, catalog.SCENARIO_COMPOUND_ALL, "compound"))
     plan = reports.usage_report(fact_b, catalog.USAGE_ONE)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(usage_month" in plan
+
+
+def test_bucketed_account_monthly_needs_no_shuffle_for_the_window(spark):
+    from meterwise.plans.facts import write_account_monthly_table
+    from meterwise.sources.tables import read_account_monthly
+
+    tables = SourceTables(spark, SF)
+    table = write_account_monthly_table(account_monthly(tables), "meterwise_test_account_monthly", 4)
+    fact = read_account_monthly(spark, table)
+    report = reports.history_report(fact, catalog.HISTORY_MIN_GROWTH)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan, plan
+    same(report, reports.history_report(account_monthly(tables), catalog.HISTORY_MIN_GROWTH))
+    spark.sql(f"DROP TABLE {table}")
