@@ -81,10 +81,19 @@ def write_usage_lines(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_facts(spark: SparkSession, tables: SourceTables, root: str | None = None) -> FactPaths:
-    """Build fact A and fact B from the source tables and write them."""
+def write_facts(spark: SparkSession, tables: SourceTables, root: str | None = None,
+                monthly_table: str | None = None, buckets: int | None = None) -> FactPaths:
+    """Build fact A and fact B from the source tables and write them.
+
+    With ``monthly_table`` (and ``buckets``) fact A becomes a catalog table
+    bucketed by account instead of a folder; ``read_facts`` reads either.
+    """
     paths = fact_paths(spark, root)
-    write_account_monthly(account_monthly(tables), paths.account_monthly)
+    if monthly_table:
+        write_account_monthly_table(account_monthly(tables), monthly_table, buckets or 16)
+        paths = FactPaths(monthly_table, paths.usage_lines)
+    else:
+        write_account_monthly(account_monthly(tables), paths.account_monthly)
     write_usage_lines(usage_lines(tables), paths.usage_lines)
     return paths
 
