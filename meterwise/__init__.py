@@ -12,6 +12,7 @@ from meterwise.params import (
     BaselineParams,
     ScenarioParams,
     DashboardParams,
+    ConsumptionParams,
 )
 
 __all__ = [
@@ -21,4 +22,5 @@ __all__ = [
     "BaselineParams",
     "ScenarioParams",
     "DashboardParams",
+    "ConsumptionParams",
 ]

@@ -228,3 +228,25 @@ class DashboardParams:
     def scenario(self) -> ScenarioParams:
         return ScenarioParams(self.account_id, self.history_end, self.forecast_start,
                               self.forecast_end, self.growth_pct, self.history_start)
+
+
+@dataclass(frozen=True)
+class ConsumptionParams:
+    """One parameter set for the monthly history and the forecast-period
+    comparison, which share the name pattern and the row limit. Defaults are
+    the original front end's."""
+
+    name_pattern: str = "%"
+    history_start: date = date(2024, 1, 1)
+    history_end: date = date(2026, 1, 1)
+    forecast_start: date = date(2025, 1, 1)
+    forecast_end: date = date(2026, 6, 1)
+    min_growth_pct: float | None = None
+    limit: int = HISTORY_LIMIT_DEFAULT
+
+    def history(self) -> HistoryParams:
+        return HistoryParams(self.name_pattern, self.history_start, self.history_end,
+                             self.min_growth_pct, self.limit)
+
+    def forecast(self) -> ForecastPeriodParams:
+        return ForecastPeriodParams(self.name_pattern, self.forecast_start, self.forecast_end, self.limit)

@@ -65,3 +65,14 @@ def test_write_report_csv_and_parquet(spark):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError):
         write_report(df, os.path.join(out, "x"), "xlsx")
+
+
+def test_consumption_params_share_pattern_and_limit():
+    from meterwise.params import ConsumptionParams
+
+    p = ConsumptionParams("  ", min_growth_pct="5", limit="20000")
+    h, f = p.history(), p.forecast()
+    assert (h.name_pattern, f.name_pattern, h.limit, f.limit) == ("%", "%", 10000, 10000)
+    assert (h.start, h.end, f.start, f.end) == (date(2024, 1, 1), date(2026, 1, 1),
+                                                date(2025, 1, 1), date(2026, 6, 1))
+    assert h.min_growth_pct == 5.0
