@@ -57,6 +57,11 @@ class SourceTables:
             self._cache[name] = reader.parquet(path)
         return self._cache[name]
 
+    def with_table(self, name: str, df: DataFrame) -> "SourceTables":
+        """Use ``df`` for ``name`` (e.g. a table derived from the original)."""
+        self._cache[name] = df
+        return self
+
 
 def _load(spark: SparkSession, source: str) -> DataFrame:
     if "/" in source or source.endswith(".parquet"):

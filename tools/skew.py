@@ -47,9 +47,9 @@ def main() -> None:
 
     tables = SourceTables(spark, folder)
     orders = tables("orders")
-    tables._cache["orders"] = orders.withColumn(
+    tables.with_table("orders", orders.withColumn(
         "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(HOT_CUSTOMER).cast("bigint"))
-        .otherwise(F.col("o_custkey")))
+        .otherwise(F.col("o_custkey"))))
     share = (tables("orders").agg(F.avg((F.col("o_custkey") == HOT_CUSTOMER).cast("double"))).first()[0])
 
     runs = {
