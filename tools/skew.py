@@ -6,11 +6,12 @@ log on (UI off) and prints, per stage, the task count and the largest and
 median number of shuffle records a task reads. A straggler would show as a
 max far above the median.
 
-Usage: python tools/skew.py [sf_dir]
+Usage: python tools/skew.py [sf_dir] [--json]
 """
 
 from __future__ import annotations
 
+import json
 import os
 import statistics
 import sys
@@ -33,7 +34,9 @@ def main() -> None:
     from meterwise.sources.adapters import account_monthly, usage_lines
     from meterwise.sources.tables import SourceTables
 
-    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    argv = [a for a in sys.argv[1:] if a != "--json"]
+    as_json = "--json" in sys.argv[1:]
+    folder = argv[0] if argv else "/root/testdata/sf0.1"
     logdir = tempfile.mkdtemp(prefix="meterwise-skew-")
     spark = (SparkSession.builder.master("local[8]").appName("meterwise-skew")
              .config("spark.ui.enabled", "false")
@@ -79,15 +82,22 @@ def main() -> None:
             m = e.get("Task Metrics") or {}
             rec = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
             reads.setdefault(e["Stage ID"], []).append(rec)
-    print(f"hot customer {HOT_CUSTOMER} owns {share:.1%} of all orders")
+    result = {"hot_share": share, "queries": {}}
     for name, start, end in marks:
+        result["queries"][name] = [
+            {"stage": sid, "tasks": n, "max": max(reads[sid]), "median": statistics.median(reads[sid]),
+             "total": sum(reads[sid])}
+            for sid, (sub, n) in sorted(stages.items())
+            if start <= sub <= end and reads.get(sid) and max(reads[sid]) > 0]
+    if as_json:
+        print(json.dumps(result))
+        return
+    print(f"hot customer {HOT_CUSTOMER} owns {share:.1%} of all orders")
+    for name, rows in result["queries"].items():
         print(f"== {name}")
-        for sid, (sub, n) in sorted(stages.items()):
-            r = reads.get(sid, [])
-            if start <= sub <= end and r and max(r) > 0:
-                print(f"  stage {sid:3d}  tasks {n:3d}  shuffle records per task: "
-                      f"max {max(r):7d}  median {int(statistics.median(r)):7d}  total {sum(r):8d}")
-
+        for r in rows:
+            print(f"  stage {r['stage']:3d}  tasks {r['tasks']:3d}  shuffle records per task: "
+                  f"max {r['max']:7d}  median {int(r['median']):7d}  total {r['total']:8d}")
 
 if __name__ == "__main__":
     main()
