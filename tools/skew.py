@@ -1,10 +1,17 @@
-"""Hot-key check: one account owning a third of all orders.
+"""Hot-key checks on data derived by Spark from the test tables.
 
-Re-keys every third order of the given tables to customer 1 (data derived by
-Spark from the test tables), runs all-accounts reports on it with the event
-log on (UI off) and prints, per stage, the task count and the largest and
-median number of shuffle records a task reads. A straggler would show as a
-max far above the median.
+1. Hot account: every third order re-keyed to customer 1, so one account owns
+   a third of all orders and lines.
+2. Hot order key: every third line re-keyed to order 0, so one key of the
+   lines-to-orders sort-merge join holds a third of all lines. AQE splits
+   such a partition along map-task boundaries; the test files are a single
+   row group (one map task), so the lines are first spread round-robin over
+   8 map tasks, as a multi-file table would be, and AQE's skew thresholds are
+   scaled down to the test size (factor 2, 64 KB instead of 5x and 256 MB).
+
+Runs all-accounts reports with the event log on (UI off) and prints, per
+stage, the task count and the largest and median number of shuffle records
+a task reads. A straggler would show as a max far above the median.
 
 Usage: python tools/skew.py [sf_dir] [--json]
 """
@@ -42,6 +49,10 @@ def main() -> None:
              .config("spark.ui.enabled", "false")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+             .config("spark.sql.adaptive.skewJoin.enabled", "true")
+             .config("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+             .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+             .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.eventLog.enabled", "true")
              .config("spark.eventLog.dir", logdir)
@@ -55,6 +66,11 @@ def main() -> None:
         .otherwise(F.col("o_custkey"))))
     share = (tables("orders").agg(F.avg((F.col("o_custkey") == HOT_CUSTOMER).cast("double"))).first()[0])
 
+    hot_lines = SourceTables(spark, folder)
+    hot_lines.with_table("lineitem", hot_lines("lineitem").repartition(8).withColumn(
+        "l_orderkey", F.when(F.col("l_linenumber") % 3 == 0, F.lit(0).cast("bigint"))
+        .otherwise(F.col("l_orderkey"))))
+
     runs = {
         "fact A (account x month)": lambda: account_monthly(tables),
         "history_mom": lambda: reports.history_report(account_monthly(tables, months=(
@@ -65,6 +81,9 @@ def main() -> None:
         "scenario_compound_all": lambda: reports.scenario_report(
             usage_lines(tables, columns=list(catalog.BASE_COLUMNS)), catalog.SCENARIO_COMPOUND_ALL,
             "compound"),
+        "hot order key: baseline_trailing_all": lambda: reports.baseline_report(
+            usage_lines(hot_lines, columns=list(catalog.BASE_COLUMNS)),
+            BaselineParams(None, catalog.BASELINE_TRAILING_ALL.end)),
     }
     marks = []
     for name, build in runs.items():
