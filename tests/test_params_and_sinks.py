@@ -76,3 +76,41 @@ def test_consumption_params_share_pattern_and_limit():
     assert (h.start, h.end, f.start, f.end) == (date(2024, 1, 1), date(2026, 1, 1),
                                                 date(2025, 1, 1), date(2026, 6, 1))
     assert h.min_growth_pct == 5.0
+
+
+def test_baseline_and_scenario_validation():
+    from meterwise.params import BaselineParams
+
+    with pytest.raises(ValueError):
+        BaselineParams("1", date(2020, 12, 31), mode="median")
+    with pytest.raises(ValueError):
+        BaselineParams("1", date(2020, 12, 31), mode="latest_month")  # needs a start
+    with pytest.raises(ValueError):
+        ScenarioParams("1", date(2020, 12, 31), date(2021, 1, 1), date(2021, 12, 1),
+                       (Decimal(5), Decimal(5)))  # three rates
+    with pytest.raises(ValueError):
+        ScenarioParams("1", date(2020, 12, 31), date(2021, 1, 1), date(2021, 12, 1),
+                       (Decimal("NaN"), Decimal(5), Decimal(5)))
+    p = ScenarioParams(" 7 ", "2020-12-31", "2021-01-01", "2021-12-01", (5.5, 10, "20"))
+    assert p.account_id == "7" and p.growth_pct == (Decimal("5.5"), Decimal(10), Decimal(20))
+
+
+def test_cli_rejects_bad_arguments():
+    from meterwise import cli
+
+    for argv in (["history"], ["usage", "--testdata", "/x"], ["scenario", "--testdata", "/x"],
+                 ["history", "--testdata", "/x", "--table", "t"], ["nope"]):
+        with pytest.raises(SystemExit) as e:
+            cli.parser().parse_args(argv)
+        assert e.value.code == 2
+
+
+def test_compound_rule_needs_history_start(spark):
+    from meterwise.plans.reports import scenario_report
+
+    usage = spark.createDataFrame([], "account_id string, usage_date date, dollars decimal(18,4)")
+    p = ScenarioParams("1", date(2020, 12, 31), date(2021, 1, 1), date(2021, 12, 1))
+    with pytest.raises(ValueError):
+        scenario_report(usage, p, "compound")
+    with pytest.raises(ValueError):
+        scenario_report(usage, p, "linear")
