@@ -29,7 +29,7 @@ from meterwise.llm.minhash import slices
 SAMPLE = 3_000
 SAMPLE_BYTES = 32_768
 BLOCK, WIDTH, EMBED, FILTERS = 128, 5, 4, 16
-EPOCHS, STEP, BATCH = 8, 0.01, 32
+STEPS, RATE, BATCH = 900, 0.01, 32
 #: Blocks whose responses are held at once while scoring.
 PIECE = 1024
 
@@ -124,19 +124,20 @@ class Network:
         return g
 
     def fit(self, texts: list[bytes], labels: np.ndarray) -> Network:
-        """Adam over fixed shuffles; documents in a batch share no state."""
+        """``STEPS`` steps of Adam over fixed shuffles, the rate halved after
+        half of them."""
         if not len(texts):
             return self
         r = np.random.default_rng(3)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for epoch in range(EPOCHS):
+        while step < STEPS:
             order = r.permutation(len(texts))
             for a in range(0, len(order), BATCH):
                 own = order[a:a + BATCH]
                 step += 1
-                rate = STEP * (0.5 if epoch >= EPOCHS // 2 else 1.0)
+                rate = RATE * (0.5 if step > STEPS // 2 else 1.0)
                 for k, g in self._gradients([texts[i] for i in own], labels[own]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v2[k] = 0.999 * v2[k] + 0.001 * g * g
