@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meterwise.session import checkpoint_dir
@@ -30,10 +30,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark narrow ``df`` for broadcast if a count shows at most ``rows`` rows;
-    otherwise leave the join strategy to Spark (shuffle join)."""
-    return F.broadcast(df) if df.count() <= rows else df
+def materialize_with(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``materialize``, with aggregates (numbers) taken while writing."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), label)
+    return out, seen.get
+
+
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    out, seen = materialize_with(df, label, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
+    """Mark narrow ``df`` for broadcast if its count (``known``, if taken
+    before) is at most ``rows``; otherwise leave the join strategy to Spark
+    (shuffle join)."""
+    return F.broadcast(df) if (df.count() if known is None else known) <= rows else df
 
 
 def fresh(name: str, taken) -> str:
