@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.llm.scratch import materialize, materialize_counted, materialize_with
+from meterwise.llm.scratch import broadcast_if_small, materialize, materialize_counted, materialize_with
 
 #: Edges (two longs each) up to which one node's edges may meet in one task.
 SMALL_EDGES = 4_000_000
@@ -88,24 +88,28 @@ def confirm_by_hubs(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     lie in two components, so at least one end is a stray of that bucket and
     the pair is tested in the second round.
     """
-    hubs = materialize(
+    buckets, seen = materialize_with(
         keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count(F.lit(1)).alias("size"))
-        .where("hub < far").select("key", "hub", "size"), "hubs")
-    members = materialize(keys.join(hubs, "key").where("id <> hub"), "members")
-    spokes = materialize(confirm(members.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()), "spokes")
+        .where("hub < far"), "buckets", many=F.count(F.when(F.col("size") > 2, 1)))
+    # a bucket of two is its hub and its far end; only larger ones meet their keys again
+    large = buckets.where("size > 2").select("key", "hub")
+    members = materialize(keys.join(broadcast_if_small(large, known=seen["many"]), "key").where("id <> hub"), "members")
+    pairs = buckets.where("size = 2").select(F.col("far").alias("a"), F.col("hub").alias("b")).union(
+        members.select("id", "hub"))
+    spokes = materialize(confirm(pairs.distinct()), "spokes")
     label = materialize(components(spokes.where("linked")), "labels")
     of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     placed = (spokes.where("not linked").join(of("a"), "a", "left").join(of("b"), "b", "left")
               .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")))
     strays, n = materialize_counted(
-        members.where("size >= 3").join(
+        members.join(
             placed.where("ca <> cb").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.col("ca").alias("comp"),
                                             "near"), ["id", "hub"])
         .join(traits, "id").select("key", "id", "comp", F.struct("near", "trait").alias("what")), "strays")
     if not n:
         return label
     others = materialize(
-        members.where("size >= 3").join(strays.select("key").distinct(), "key", "left_semi")
+        members.join(strays.select("key").distinct(), "key", "left_semi")
         .join(spokes.select(F.col("a").alias("id"), F.col("b").alias("hub"), "near"), ["id", "hub"])
         .join(label.select(F.col("node").alias("id"), "component"), "id", "left")
         .join(traits, "id")
