@@ -1,0 +1,68 @@
+"""Directory and assignment against a recursive split, and DuckDB."""
+
+import hashlib
+import random
+
+import duckdb
+import pytest
+
+from meterwise.llm import sharding
+from meterwise.llm.queries import sharding_sql
+
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
+def h(key):
+    return int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:15], 16)
+
+
+def split(rows, limit, depth=0, prefix=""):
+    """(prefix, rows) of every bucket; rows: (hash, bytes)."""
+    if not rows:
+        return []
+    if sum(b for _, b in rows) <= limit or len({x for x, _ in rows}) == 1:
+        return [(prefix, rows)]
+    out = []
+    for bit in (0, 1):
+        out += split([r for r in rows if r[0] >> (59 - depth) & 1 == bit], limit, depth + 1, prefix + str(bit))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 50, 700, 10**6])
+def test_buckets_equal_a_recursive_split(frame, limit):
+    rng = random.Random(limit)
+    rows = [(i, "x" * rng.choice([0, 3, 40, 300])) for i in range(120)]
+    rows += [(500, "y" * 5000), (501, None), (None, "zz"), (7, "again"), (7, "again")]
+    got = sharding.shard(frame(rows), limit=limit).collect()
+    assert len(got) == len(rows)
+    want = split([(h(i), len(t or "")) for i, t in rows], limit)
+    of = {x: p for p, rs in want for x, _ in rs}
+    size = {p: sum(b for _, b in rs) for p, rs in want}
+    for r in got:
+        p = of[h(r["doc_id"])]
+        assert (r["shard_id"], r["shard_depth"], r["shard_bytes"]) == (p, len(p), size[p])
+        assert r["n_bytes"] == len(r["text"] or "")
+
+
+def test_deep_split_looks_again(frame, monkeypatch):
+    monkeypatch.setattr(sharding, "LOOK", 0)
+    rows = [(i, "x" * 10) for i in range(200)] + [(1000, "y" * 10**5)]
+    got = {r["doc_id"]: r["shard_id"] for r in sharding.shard(frame(rows), limit=100).collect()}
+    want = {x: p for p, rs in split([(h(i), len(t)) for i, t in rows], 100) for x, _ in rs}
+    assert got == {i: want[h(i)] for i, _ in rows}
+
+
+def test_columns_and_empty_table(frame):
+    out = sharding.shard(frame([(1, "a")]))
+    assert set(out.columns) == set(frame([]).columns) | {"shard_id", "shard_depth", "shard_bytes", "shard_rows", "n_bytes"}
+    assert sharding.shard(frame([])).collect() == []
+
+
+def test_equals_sql_at_a_small_limit(spark):
+    docs = spark.read.parquet(SF).select("doc_id", "text")
+    got = sharding.shard(docs, limit=50_000).select(
+        "doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_rows").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(sharding_sql(50_000)).fetchall())
+    assert len({r["shard_id"] for r in got}) > 40
