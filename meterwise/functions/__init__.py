@@ -9,7 +9,6 @@ from meterwise.functions.dates import (
     first_month_on_or_after,
     first_month_after,
     add_months,
-    trailing_window_start,
 )
 from meterwise.functions.money import round_money, pct_change
 from meterwise.functions.growth import (
@@ -28,7 +27,6 @@ __all__ = [
     "first_month_on_or_after",
     "first_month_after",
     "add_months",
-    "trailing_window_start",
     "round_money",
     "pct_change",
     "flat_multipliers",

@@ -49,11 +49,6 @@ def first_month_after(d: date) -> date:
     return add_months(date(d.year, d.month, 1), 1)
 
 
-def trailing_window_start(end) -> Column:
-    """First day of the month before ``end``'s month (``end`` a date or Column)."""
-    return F.add_months(F.trunc(_lit_date(end), "MM"), -1)
-
-
 def months_since(month, start) -> Column:
     """Whole months from ``start``'s month to ``month``'s month (integer math)."""
     m = _col(month)

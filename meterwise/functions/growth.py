@@ -1,8 +1,9 @@
 """Growth multipliers by forecast year.
 
 The multipliers depend only on the rate parameters and the year number, so
-they are computed exactly (``decimal.Decimal``) from the parameters and enter
-the plan as a ``CASE`` on the year: no per-row loop, no floating error.
+they are computed as decimals from the parameters (28 significant digits, so
+exact for a few years of rates with two decimals and rounded beyond that) and
+enter the plan as a ``CASE`` on the year: no per-row loop, no binary floats.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ _HUNDRED = Decimal(100)
 
 
 def _tidy(d: Decimal) -> Decimal:
-    """Shortest exact form with a non-negative scale (valid Spark literal)."""
+    """Shortest equal form with a non-negative scale (valid Spark literal)."""
     if d == 0:
         return Decimal(0)
     n = d.normalize()

@@ -11,7 +11,7 @@ the baseline by a factor of that year:
   carries g3, later years carry the fixed 5 %), and a month before the raw
   forecast start (a mid-month start) is dropped.
 
-Factors are exact decimals computed from the parameters; the per-row work is
+Factors are decimals computed from the parameters; the per-row work is
 one explode and one multiplication, so the all-accounts form is a narrow
 transformation of the per-account baselines (no join, no shuffle).
 """

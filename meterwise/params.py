@@ -12,13 +12,10 @@ from datetime import date
 from decimal import Decimal
 
 # Fixed values of the reports (bounds and defaults of the original front ends).
+# Top-k sizes the front ends offer by default, and the largest they accept.
 HISTORY_LIMIT_DEFAULT = 500
-HISTORY_LIMIT_MIN = 1
-HISTORY_LIMIT_MAX = 10000
 USAGE_LIMIT_DEFAULT = 1000
-USAGE_LIMIT_MIN = 100
-USAGE_LIMIT_MAX = 10000
-USAGE_DATASET_LIMIT = 5000
+LIMIT_MAX = 10000
 GROWTH_PCT_MIN = Decimal("-100")
 GROWTH_PCT_MAX = Decimal("500")
 GROWTH_PCT_DEFAULT = Decimal("5")
@@ -31,13 +28,18 @@ SCENARIO_DEFAULT_BASELINE = Decimal("1")
 LATEST_MONTH_ZERO_PLACEHOLDER = Decimal("1")
 
 
-def clamp_limit(value, lo: int, hi: int, default: int) -> int:
-    """Parse and clamp a row limit; unparsable input gives the default."""
+def parse_limit(value) -> int | None:
+    """Rows of a top-k report, 1 to ``LIMIT_MAX``; ``None`` means the whole
+    report. Anything else raises: a limit is never changed silently."""
+    if value is None:
+        return None
     try:
         n = int(str(value).strip())
-    except (TypeError, ValueError):
-        return default
-    return max(lo, min(hi, n))
+    except ValueError:
+        raise ValueError(f"limit must be a whole number or None, got {value!r}") from None
+    if not 1 <= n <= LIMIT_MAX:
+        raise ValueError(f"limit must be within 1..{LIMIT_MAX} or None for all rows, got {value!r}")
+    return n
 
 
 def parse_min_growth(text) -> float | None:
@@ -92,15 +94,14 @@ class HistoryParams:
     start: date = date(2024, 1, 1)
     end: date = date(2026, 1, 1)
     min_growth_pct: float | None = None
-    limit: int = HISTORY_LIMIT_DEFAULT
+    limit: int | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "name_pattern", normalize_pattern(self.name_pattern))
         object.__setattr__(self, "start", _as_date(self.start))
         object.__setattr__(self, "end", _as_date(self.end))
         object.__setattr__(self, "min_growth_pct", parse_min_growth(self.min_growth_pct))
-        object.__setattr__(self, "limit", clamp_limit(
-            self.limit, HISTORY_LIMIT_MIN, HISTORY_LIMIT_MAX, HISTORY_LIMIT_DEFAULT))
+        object.__setattr__(self, "limit", parse_limit(self.limit))
 
 
 @dataclass(frozen=True)
@@ -110,14 +111,13 @@ class ForecastPeriodParams:
     name_pattern: str = "%"
     start: date = date(2025, 1, 1)
     end: date = date(2026, 6, 1)
-    limit: int = HISTORY_LIMIT_DEFAULT
+    limit: int | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "name_pattern", normalize_pattern(self.name_pattern))
         object.__setattr__(self, "start", _as_date(self.start))
         object.__setattr__(self, "end", _as_date(self.end))
-        object.__setattr__(self, "limit", clamp_limit(
-            self.limit, HISTORY_LIMIT_MIN, HISTORY_LIMIT_MAX, HISTORY_LIMIT_DEFAULT))
+        object.__setattr__(self, "limit", parse_limit(self.limit))
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ class UsageParams:
     account_id: str | None
     start: date
     end: date
-    limit: int | None = USAGE_LIMIT_DEFAULT
+    limit: int | None = None
 
     def __post_init__(self):
         if self.account_id is not None:
@@ -137,9 +137,7 @@ class UsageParams:
             object.__setattr__(self, "account_id", acct)
         object.__setattr__(self, "start", _as_date(self.start))
         object.__setattr__(self, "end", _as_date(self.end))
-        if self.limit is not None:
-            object.__setattr__(self, "limit", clamp_limit(
-                self.limit, USAGE_LIMIT_MIN, USAGE_LIMIT_MAX, USAGE_LIMIT_DEFAULT))
+        object.__setattr__(self, "limit", parse_limit(self.limit))
 
 
 @dataclass(frozen=True)
@@ -210,7 +208,7 @@ class DashboardParams:
     forecast_start: date
     forecast_end: date
     growth_pct: tuple = field(default=(GROWTH_PCT_DEFAULT,) * 3)
-    limit: int = USAGE_LIMIT_DEFAULT
+    limit: int | None = USAGE_LIMIT_DEFAULT
 
     @classmethod
     def for_today(cls, account_id: str, today: date, **overrides) -> "DashboardParams":
@@ -242,7 +240,7 @@ class ConsumptionParams:
     forecast_start: date = date(2025, 1, 1)
     forecast_end: date = date(2026, 6, 1)
     min_growth_pct: float | None = None
-    limit: int = HISTORY_LIMIT_DEFAULT
+    limit: int | None = HISTORY_LIMIT_DEFAULT
 
     def history(self) -> HistoryParams:
         return HistoryParams(self.name_pattern, self.history_start, self.history_end,

@@ -3,8 +3,8 @@
 Each entry names the fact table it reads, the report that runs on it, and
 the exact pre-filters the adapter may add for pushdown. ``QUERIES`` maps a
 key to a callable ``(spark, folder) -> DataFrame`` that builds the fact from
-the whole test tables; ``Registered.on_fact`` runs the same report on an
-already written fact table. Parameters are those listed for the driver
+the whole test tables; ``Registered.on_facts`` runs the same report on
+already written facts. Parameters are those listed for the driver
 queries in FIXTURES.md.
 """
 
@@ -17,7 +17,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterwise.functions.dates import add_months
+from meterwise.operators.baselines import trailing_start
 from meterwise.params import (
     BaselineParams,
     ForecastPeriodParams,
@@ -26,28 +26,36 @@ from meterwise.params import (
     UsageParams,
 )
 from meterwise.plans import reports
-from meterwise.sources.adapters import account_monthly, usage_lines
+from meterwise.plans.facts import Facts, read_facts, write_facts
+from meterwise.sources.adapters import account_monthly, dollars_by_part, usage_lines
 from meterwise.sources.tables import SourceTables
 
 RATES = (Decimal(5), Decimal(10), Decimal(20))
 
-HISTORY_ALL = HistoryParams("%", date(1996, 1, 1), date(2000, 12, 31), None, 10000)
-HISTORY_MIN_GROWTH = HistoryParams("%", date(1996, 1, 1), date(2000, 12, 31), 5, 500)
-HISTORY_PATTERN = HistoryParams("%customer#0000000%", date(1996, 1, 1), date(2000, 12, 31), 5, 500)
-FORECAST = ForecastPeriodParams("%", date(2000, 1, 1), date(2001, 6, 1), 500)
-USAGE_ONE = UsageParams("42", date(1996, 1, 1), date(2000, 12, 31), 1000)
-USAGE_ALL = UsageParams(None, date(1996, 1, 1), date(2000, 12, 31), None)
-BASELINE_TRAILING = BaselineParams("42", date(2000, 12, 31), "trailing", Decimal(0))
+HISTORY_ALL = HistoryParams("%", date(1996, 1, 1), date(2000, 12, 31))
+HISTORY_MIN_GROWTH = HistoryParams("%", date(1996, 1, 1), date(2000, 12, 31), 5)
+HISTORY_PATTERN = HistoryParams("%customer#0000000%", date(1996, 1, 1), date(2000, 12, 31), 5)
+HISTORY_TOP = HistoryParams("%", date(1996, 1, 1), date(2000, 12, 31), None, 500)
+FORECAST = ForecastPeriodParams("%", date(2000, 1, 1), date(2001, 6, 1))
+FORECAST_TOP = ForecastPeriodParams("%", date(2000, 1, 1), date(2001, 6, 1), 100)
+USAGE_ONE = UsageParams("42", date(1996, 1, 1), date(2000, 12, 31))
+USAGE_TOP = UsageParams(None, date(1996, 1, 1), date(2000, 12, 31), 200)
+USAGE_ALL = UsageParams(None, date(1996, 1, 1), date(2000, 12, 31))
+# Account 9 has usage in November and December 2000 at every scale of the test
+# tables; no account is called -1.
+BASELINE_TRAILING = BaselineParams("9", date(2000, 12, 31), "trailing", Decimal(0))
+BASELINE_TRAILING_NONE = BaselineParams("-1", date(2000, 12, 31), "trailing", Decimal(0))
 BASELINE_TRAILING_ALL = BaselineParams(None, date(2000, 12, 31), "trailing", Decimal(0))
 BASELINE_LATEST_ALL = BaselineParams(None, date(2000, 12, 31), "latest_month",
                                      start=date(1996, 1, 1))
-SCENARIO_FLAT = ScenarioParams("42", date(2000, 12, 31), date(2001, 1, 1), date(2003, 12, 1), RATES)
+SCENARIO_FLAT = ScenarioParams("9", date(2000, 12, 31), date(2001, 1, 1), date(2003, 12, 1), RATES)
+SCENARIO_FLAT_NONE = ScenarioParams("-1", date(2000, 12, 31), date(2001, 1, 1), date(2003, 12, 1), RATES)
 SCENARIO_FLAT_ALL = ScenarioParams(None, date(2000, 12, 31), date(2001, 1, 1), date(2003, 12, 1), RATES)
 SCENARIO_COMPOUND = ScenarioParams("42", date(2000, 12, 31), date(2001, 1, 1), date(2006, 12, 1),
                                    RATES, history_start=date(1996, 1, 1))
 SCENARIO_COMPOUND_ALL = ScenarioParams(None, date(2000, 12, 31), date(2001, 1, 15), date(2006, 12, 1),
                                        RATES, history_start=date(1996, 1, 1))
-YEAR_BUCKETS = ScenarioParams(None, date(2000, 12, 31), date(2001, 1, 15), date(2003, 12, 1), RATES)
+YEAR_BUCKET_START = date(1998, 1, 15)
 
 BASE_COLUMNS = ("account_id", "usage_date", "dollars")
 MONTHLY, USAGE = "account_monthly", "usage_lines"
@@ -55,77 +63,122 @@ MONTHLY, USAGE = "account_monthly", "usage_lines"
 
 @dataclass(frozen=True)
 class Registered:
+    """``build`` runs the report on its fact; with ``every`` it also takes the
+    account list of written facts."""
+
     fact: str
-    build: Callable[[DataFrame], DataFrame]
+    build: Callable[..., DataFrame]
     months: tuple[date, date] | None = None
     dates: tuple[date, date] | None = None
     columns: tuple[str, ...] | None = None
     account_id: str | None = None
+    name_pattern: str = "%"
+    every: bool = False
+    tables_only: Callable[[SourceTables], DataFrame] | None = None
 
     def on_tables(self, spark: SparkSession, folder: str) -> DataFrame:
         tables = SourceTables(spark, folder)
+        if self.tables_only is not None:
+            return self.tables_only(tables)
         if self.fact == MONTHLY:
-            fact = account_monthly(tables, months=self.months)
-        else:
-            fact = usage_lines(tables, columns=list(self.columns) if self.columns else None,
-                               dates=self.dates, account_id=self.account_id)
-        return self.build(fact)
+            return self.build(account_monthly(tables, self.months, self.name_pattern))
+        return self.build(usage_lines(tables, columns=list(self.columns) if self.columns else None,
+                                      dates=self.dates, account_id=self.account_id))
 
-    def on_fact(self, fact: DataFrame) -> DataFrame:
-        return self.build(fact)
+    def on_facts(self, facts: Facts) -> DataFrame:
+        fact = facts.monthly if self.fact == MONTHLY else facts.usage
+        return self.build(fact, facts.accounts) if self.every else self.build(fact)
 
 
 def _trailing_dates(end: date) -> tuple[date, date]:
-    return add_months(date(end.year, end.month, 1), -1), end
+    return trailing_start(end), end
 
 
 def _history(p: HistoryParams) -> Registered:
-    return Registered(MONTHLY, lambda f: reports.history_report(f, p), months=(p.start, p.end))
+    return Registered(MONTHLY, lambda f: reports.history_report(f, p), months=(p.start, p.end),
+                      name_pattern=p.name_pattern)
+
+
+def _forecast(p: ForecastPeriodParams) -> Registered:
+    return Registered(MONTHLY, lambda f: reports.forecast_period_report(f, p), months=(p.start, p.end),
+                      name_pattern=p.name_pattern)
+
+
+def _usage(p: UsageParams) -> Registered:
+    return Registered(USAGE, lambda f: reports.usage_report(f, p), dates=(p.start, p.end), account_id=p.account_id)
 
 
 def _usage_totals(by: str) -> Registered:
     p = USAGE_ALL
     cols = BASE_COLUMNS + (("sku_name",) if by == "sku" else ())
+    by_part = None
+    if by == "sku":
+        def by_part(tables):
+            return reports.sku_totals(dollars_by_part(tables, (p.start, p.end)))
     return Registered(USAGE, lambda f: reports.usage_totals(f, p, by), dates=(p.start, p.end),
-                      columns=cols)
+                      columns=cols, tables_only=by_part)
+
+
+def _baseline_one(p: BaselineParams) -> Registered:
+    return Registered(USAGE, lambda f: reports.baseline_report(f, p), dates=_trailing_dates(p.end),
+                      columns=BASE_COLUMNS, account_id=p.account_id)
+
+
+def _flat_one(p: ScenarioParams) -> Registered:
+    return Registered(USAGE, lambda f: reports.scenario_report(f, p, "flat"), dates=_trailing_dates(p.history_end),
+                      columns=BASE_COLUMNS, account_id=p.account_id)
+
+
+def _for_every(build: Callable[..., DataFrame]) -> Registered:
+    return Registered(USAGE, lambda f, accounts=None: build(f, accounts), columns=BASE_COLUMNS, every=True)
+
+
+def _served(key: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The report on facts that are written first and then bound and read."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return REGISTERED[key].on_facts(read_facts(spark, write_facts(spark, SourceTables(spark, folder))))
+
+    return run
 
 
 REGISTERED: dict[str, Registered] = {
     "history_mom": _history(HISTORY_ALL),
     "history_mom_min_growth": _history(HISTORY_MIN_GROWTH),
     "history_name_pattern": _history(HISTORY_PATTERN),
-    "forecast_period": Registered(MONTHLY, lambda f: reports.forecast_period_report(f, FORECAST),
-                                  months=(FORECAST.start, FORECAST.end)),
-    "usage_report": Registered(USAGE, lambda f: reports.usage_report(f, USAGE_ONE),
-                               dates=(USAGE_ONE.start, USAGE_ONE.end), account_id=USAGE_ONE.account_id),
+    "history_top": _history(HISTORY_TOP),
+    "forecast_period": _forecast(FORECAST),
+    "forecast_period_top": _forecast(FORECAST_TOP),
+    "usage_report": _usage(USAGE_ONE),
+    "usage_report_top": _usage(USAGE_TOP),
     "usage_by_month": _usage_totals("month"),
     "usage_by_sku": _usage_totals("sku"),
     "month_spine": Registered(USAGE, reports.month_spine_report, columns=("account_id", "usage_date")),
-    "year_bucket": Registered(USAGE, lambda f: reports.year_bucket_report(f, YEAR_BUCKETS),
-                              columns=("account_id",)),
-    "baseline_trailing": Registered(USAGE, lambda f: reports.baseline_report(f, BASELINE_TRAILING),
-                                    dates=_trailing_dates(BASELINE_TRAILING.end), columns=BASE_COLUMNS,
-                                    account_id=BASELINE_TRAILING.account_id),
-    "baseline_trailing_all": Registered(
-        USAGE, lambda f: reports.baseline_report(f, BASELINE_TRAILING_ALL), columns=BASE_COLUMNS),
-    "baseline_latest_month": Registered(
-        USAGE, lambda f: reports.baseline_report(f, BASELINE_LATEST_ALL), columns=BASE_COLUMNS),
-    "scenario_flat": Registered(USAGE, lambda f: reports.scenario_report(f, SCENARIO_FLAT, "flat"),
-                                dates=_trailing_dates(SCENARIO_FLAT.history_end), columns=BASE_COLUMNS,
-                                account_id=SCENARIO_FLAT.account_id),
-    "scenario_flat_all": Registered(
-        USAGE, lambda f: reports.scenario_report(f, SCENARIO_FLAT_ALL, "flat"), columns=BASE_COLUMNS),
+    "year_bucket": Registered(USAGE, lambda f: reports.year_bucket_report(f, YEAR_BUCKET_START),
+                              columns=BASE_COLUMNS),
+    "baseline_trailing": _baseline_one(BASELINE_TRAILING),
+    "baseline_trailing_none": _baseline_one(BASELINE_TRAILING_NONE),
+    "baseline_trailing_all": _for_every(lambda f, a: reports.baseline_report(f, BASELINE_TRAILING_ALL, a)),
+    "baseline_latest_month": _for_every(lambda f, a: reports.baseline_report(f, BASELINE_LATEST_ALL, a)),
+    "scenario_flat": _flat_one(SCENARIO_FLAT),
+    "scenario_flat_none": _flat_one(SCENARIO_FLAT_NONE),
+    "scenario_flat_all": _for_every(
+        lambda f, a: reports.scenario_report(f, SCENARIO_FLAT_ALL, "flat", accounts=a)),
     "scenario_compound": Registered(
         USAGE, lambda f: reports.scenario_report(f, SCENARIO_COMPOUND, "compound"),
         dates=(SCENARIO_COMPOUND.history_start, SCENARIO_COMPOUND.history_end), columns=BASE_COLUMNS,
         account_id=SCENARIO_COMPOUND.account_id),
-    "scenario_compound_all": Registered(
-        USAGE, lambda f: reports.scenario_report(f, SCENARIO_COMPOUND_ALL, "compound"),
-        columns=BASE_COLUMNS),
-    "projected_by_month": Registered(
-        USAGE, lambda f: reports.projected_totals(f, SCENARIO_FLAT_ALL, "flat"), columns=BASE_COLUMNS),
+    "scenario_compound_all": _for_every(
+        lambda f, a: reports.scenario_report(f, SCENARIO_COMPOUND_ALL, "compound", accounts=a)),
+    "projected_by_month": _for_every(lambda f, a: reports.projected_totals(f, SCENARIO_FLAT_ALL, "flat", a)),
+    "projected_by_month_compound": _for_every(
+        lambda f, a: reports.projected_totals(f, SCENARIO_COMPOUND_ALL, "compound", a)),
 }
 
+# The same reports on written and bound facts: one key per table.
+SERVED = {"served_history_mom": "history_mom", "served_baseline_latest_month": "baseline_latest_month",
+          "served_usage_by_month": "usage_by_month"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    key: reg.on_tables for key, reg in REGISTERED.items()
+    **{key: reg.on_tables for key, reg in REGISTERED.items()},
+    **{key: _served(of) for key, of in SERVED.items()},
 }

@@ -15,25 +15,28 @@ Layout, chosen for the reports' predicates:
   The (account, month) grain is unique, so every range can be split: an
   account holds at most one row per month.
 * usage lines, partitioned by ``usage_month`` (the month of ``usage_date``)
-  and written straight from the partitions that produce them (no extra
-  shuffle of the largest table; those partitions are hash-balanced, so no
-  hot account, day or group of identical lines can gather in one task), each
-  task sorted by (``usage_month``, ``account_id``, ``usage_date``): a
-  date-range filter prunes month folders (see
-  ``operators.filters.in_date_range``) and Parquet min/max statistics on
-  ``account_id`` skip row groups inside them. Each task writes one file per
-  month it holds.
+  and range-partitioned on (``usage_month``, ``account_id``, a hash of the
+  other columns): a date range prunes month folders (see
+  ``operators.filters.in_date_range``), a month folder gets a few files with
+  account ranges that do not overlap, so one account opens one of them, and
+  the hash lets an account that holds a large share of a month split over
+  several files. Only identical lines cannot be split.
+* accounts, the distinct account ids of the usage lines, so that reports on
+  every account read the window and this narrow list instead of all lines.
+
+Every call writes to a folder of its own, so two jobs never replace each
+other's tables; a given ``root`` must not hold facts yet.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.functions.dates import month_start
-
 from meterwise.session import checkpoint_dir
 from meterwise.sources.adapters import account_monthly, usage_lines
 from meterwise.sources.tables import SourceTables, read_account_monthly, read_usage_lines
@@ -43,24 +46,37 @@ from meterwise.sources.tables import SourceTables, read_account_monthly, read_us
 class FactPaths:
     account_monthly: str
     usage_lines: str
+    accounts: str
+
+
+@dataclass(frozen=True)
+class Facts:
+    """The two facts and the account list, bound to the fixed schemas."""
+
+    monthly: DataFrame
+    usage: DataFrame
+    accounts: DataFrame
 
 
 def fact_paths(spark: SparkSession, root: str | None = None) -> FactPaths:
-    base = (root or f"{checkpoint_dir(spark).rstrip('/')}/meterwise-facts").rstrip("/")
-    return FactPaths(f"{base}/account_monthly", f"{base}/usage_lines")
+    """Paths under ``root``, or under a new folder of the shared folder."""
+    base = (root or f"{checkpoint_dir(spark).rstrip('/')}/meterwise-facts-{uuid.uuid4().hex}").rstrip("/")
+    return FactPaths(f"{base}/account_monthly", f"{base}/usage_lines", f"{base}/accounts")
 
 
 def write_account_monthly(df: DataFrame, path: str) -> str:
     (df.repartitionByRange("month", "account_id")
        .sortWithinPartitions("month", "account_id")
-       .write.mode("overwrite").partitionBy("month").parquet(path))
+       .write.partitionBy("month").parquet(path))
     return path
 
 
-def write_account_monthly_table(df: DataFrame, table: str, buckets: int) -> str:
+def write_account_monthly_table(df: DataFrame, table: str, buckets: int, path: str) -> str:
     """Fact A as a catalog table bucketed by ``account_id`` (and partitioned
     by ``month``), so the history window reads it with no shuffle: a bucketed
-    scan is already clustered by account.
+    scan is already clustered by account. The files go to ``path``, which
+    must be shared. ``buckets`` is the number of tasks of that window: choose
+    it from the table's size.
 
     Safe only because the grain is one row per account and month: a hot
     account is at most one row per month in its bucket. (Usage lines are
@@ -68,37 +84,48 @@ def write_account_monthly_table(df: DataFrame, table: str, buckets: int) -> str:
     reading all of its lines.)
     """
     (df.repartition(buckets, "account_id")
-       .write.mode("overwrite").partitionBy("month")
+       .write.partitionBy("month").option("path", path)
        .bucketBy(buckets, "account_id").sortBy("account_id")
        .saveAsTable(table))
     return table
 
 
 def write_usage_lines(df: DataFrame, path: str) -> str:
+    rest = [c for c in df.columns if c != "account_id"]
     (df.withColumn("usage_month", month_start(F.col("usage_date")))
-       .sortWithinPartitions("usage_month", "account_id", "usage_date")
-       .write.mode("overwrite").partitionBy("usage_month").parquet(path))
+       .withColumn("_spread", F.xxhash64(*rest))
+       .repartitionByRange("usage_month", "account_id", "_spread")
+       .sortWithinPartitions("usage_month", "account_id", "_spread").drop("_spread")
+       .write.partitionBy("usage_month").parquet(path))
+    return path
+
+
+def write_accounts(usage: DataFrame, path: str) -> str:
+    usage.select("account_id").distinct().write.parquet(path)
     return path
 
 
 def write_facts(spark: SparkSession, tables: SourceTables, root: str | None = None,
                 monthly_table: str | None = None, buckets: int | None = None) -> FactPaths:
-    """Build fact A and fact B from the source tables and write them.
+    """Build fact A, fact B and the account list and write them.
 
     With ``monthly_table`` (and ``buckets``) fact A becomes a catalog table
-    bucketed by account instead of a folder; ``read_facts`` reads either.
+    bucketed by account; ``read_facts`` reads either.
     """
     paths = fact_paths(spark, root)
     if monthly_table:
-        write_account_monthly_table(account_monthly(tables), monthly_table, buckets or 16)
-        paths = FactPaths(monthly_table, paths.usage_lines)
+        if not buckets:
+            raise ValueError("a bucketed table needs the number of buckets")
+        write_account_monthly_table(account_monthly(tables), monthly_table, buckets, paths.account_monthly)
+        paths = FactPaths(monthly_table, paths.usage_lines, paths.accounts)
     else:
         write_account_monthly(account_monthly(tables), paths.account_monthly)
     write_usage_lines(usage_lines(tables), paths.usage_lines)
+    write_accounts(read_usage_lines(spark, paths.usage_lines), paths.accounts)
     return paths
 
 
-def read_facts(spark: SparkSession, paths: FactPaths) -> tuple[DataFrame, DataFrame]:
-    """(account x month, usage lines) bound to the fixed schemas."""
-    return (read_account_monthly(spark, paths.account_monthly),
-            read_usage_lines(spark, paths.usage_lines))
+def read_facts(spark: SparkSession, paths: FactPaths) -> Facts:
+    return Facts(read_account_monthly(spark, paths.account_monthly),
+                 read_usage_lines(spark, paths.usage_lines),
+                 spark.read.parquet(paths.accounts))

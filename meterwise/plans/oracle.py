@@ -1,10 +1,9 @@
 """DuckDB oracle SQL, one statement per registered query.
 
-Written from the report rules, not from the Spark code: each statement builds
-the two fact tables from the test tables with plain joins and grouping, then
-states the report the way the original SQL does (window ``LAG``, ``CASE`` on
-the year with the growth product written out, ``COALESCE(SUM(..))``, ...).
-Money is exact decimal up to the final ``ROUND(.., 2)``, then DOUBLE.
+Written from the report rules (SURVEY 2.12), in a form of its own: the previous
+row is found by joining numbered rows, forecast months are enumerated as
+year x month of the year, and each year's growth and factor are listed in a
+table. Money is exact decimal up to the final ``ROUND(.., 2)``, then DOUBLE.
 """
 
 from __future__ import annotations
@@ -48,293 +47,177 @@ fact_b AS (
 )"""
 
 
-def _history(pattern: str, start: str, end: str, min_growth: float | None, limit: int) -> str:
-    threshold = "" if min_growth is None else (
-        f"\n    AND (mom_growth_pct IS NULL OR mom_growth_pct >= {float(min_growth)})")
+def _cents(column: str, name: str | None = None) -> str:
+    return f"CAST(ROUND({column}, 2) AS DOUBLE) AS {name or column}"
+
+
+FACT_A_MONEY = ", ".join(_cents(c) for c in ("baseline", "model_forecast", "submitted_forecast"))
+HISTORY_ORDER = "account_name NULLS FIRST, month DESC NULLS LAST, account_id NULLS FIRST"
+
+
+def _history(pattern: str, min_growth: float | None, limit: int | None) -> str:
+    """P1 over 1996-2000. R3: the predecessor is the account's previous row in
+    range, whatever its month; R4: it may be a row that is not shown."""
+    wanted = "" if min_growth is None else f"AND (pct IS NULL OR pct >= {float(min_growth)})"
+    top = "" if limit is None else f"ORDER BY {HISTORY_ORDER} LIMIT {limit}"
     return f"""WITH {FACT_A},
-historical AS (
-  SELECT account_id, account_name, month, amount, baseline, model_forecast,
-         submitted_forecast, unit, sub_unit,
-         LAG(amount, 1) OVER (PARTITION BY account_id ORDER BY month) AS prev_amount
-  FROM fact_a
-  WHERE account_name ILIKE '{pattern}'
-    AND month >= DATE '{start}' AND month <= DATE '{end}'
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY month) AS k
+  FROM fact_a WHERE account_name ILIKE '{pattern}' AND month BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
 ),
-with_pct AS (
-  SELECT *,
-         CASE WHEN prev_amount > 0
-              THEN CAST(amount - prev_amount AS DOUBLE) / CAST(prev_amount AS DOUBLE) * 100
-              ELSE NULL END AS mom_growth_pct
-  FROM historical
+paired AS (
+  SELECT cur.*, before.amount AS prev_amount,
+         IF(before.amount > 0, 100 * (CAST(cur.amount - before.amount AS DOUBLE) / CAST(before.amount AS DOUBLE)),
+            NULL) AS pct
+  FROM numbered cur LEFT JOIN numbered before ON before.account_id = cur.account_id AND before.k + 1 = cur.k
 )
-SELECT account_name,
-       month,
-       CAST(ROUND(amount, 2) AS DOUBLE) AS amount,
-       CAST(ROUND(prev_amount, 2) AS DOUBLE) AS prev_amount,
-       ROUND(mom_growth_pct, 2) AS mom_growth_pct,
-       CAST(ROUND(baseline, 2) AS DOUBLE) AS baseline,
-       CAST(ROUND(model_forecast, 2) AS DOUBLE) AS model_forecast,
-       CAST(ROUND(submitted_forecast, 2) AS DOUBLE) AS submitted_forecast,
-       unit,
-       sub_unit
-FROM with_pct
-WHERE amount > 0{threshold}
-ORDER BY account_name ASC NULLS FIRST, month DESC NULLS LAST, account_id ASC NULLS FIRST
-LIMIT {limit}"""
-
-
-FORECAST_PERIOD = f"""WITH {FACT_A}
-SELECT account_name,
-       month,
-       CAST(ROUND(amount, 2) AS DOUBLE) AS amount,
-       CAST(ROUND(baseline, 2) AS DOUBLE) AS baseline,
-       CAST(ROUND(model_forecast, 2) AS DOUBLE) AS model_forecast,
-       CAST(ROUND(submitted_forecast, 2) AS DOUBLE) AS submitted_forecast,
-       unit,
-       sub_unit
-FROM fact_a
-WHERE account_name ILIKE '%'
-  AND month >= DATE '2000-01-01' AND month <= DATE '2001-06-01'
-ORDER BY account_name ASC NULLS FIRST, month ASC NULLS FIRST, account_id ASC NULLS FIRST
-LIMIT 500"""
-
-USAGE_REPORT = f"""WITH {FACT_B}
-SELECT account_id,
-       workspace_id,
-       workspace_name,
-       sku_name,
-       CAST(date_trunc('month', usage_date) AS DATE) AS month,
-       CAST(quantity AS DOUBLE) AS quantity,
-       CAST(dollars AS DOUBLE) AS dollars,
-       CAST(dollars_at_list AS DOUBLE) AS dollars_at_list
-FROM fact_b
-WHERE account_id = '42'
-  AND usage_date >= DATE '1996-01-01'
-  AND usage_date <= DATE '2000-12-31'
-ORDER BY month DESC NULLS LAST, dollars DESC NULLS LAST,
-         account_id ASC NULLS FIRST, workspace_id ASC NULLS FIRST,
-         workspace_name ASC NULLS FIRST, sku_name ASC NULLS FIRST,
-         quantity ASC NULLS FIRST, dollars_at_list ASC NULLS FIRST
-LIMIT 1000"""
-
-USAGE_BY_MONTH = f"""WITH {FACT_B}
-SELECT CAST(date_trunc('month', usage_date) AS DATE) AS month,
-       CAST(ROUND(SUM(dollars), 2) AS DOUBLE) AS dollars
-FROM fact_b
-WHERE usage_date >= DATE '1996-01-01' AND usage_date <= DATE '2000-12-31'
-GROUP BY CAST(date_trunc('month', usage_date) AS DATE)"""
-
-USAGE_BY_SKU = f"""WITH {FACT_B}
-SELECT sku_name,
-       CAST(ROUND(SUM(dollars), 2) AS DOUBLE) AS dollars
-FROM fact_b
-WHERE usage_date >= DATE '1996-01-01' AND usage_date <= DATE '2000-12-31'
-GROUP BY sku_name"""
+SELECT account_name, month, {_cents('amount')}, {_cents('prev_amount')}, ROUND(pct, 2) AS mom_growth_pct,
+       {FACT_A_MONEY}, unit, sub_unit
+FROM paired WHERE amount > 0 {wanted} {top}"""
+
+
+def _forecast_period(limit: int | None) -> str:
+    top = "" if limit is None else f"ORDER BY account_name NULLS FIRST, month NULLS FIRST, account_id NULLS FIRST LIMIT {limit}"
+    return f"""WITH {FACT_A}
+SELECT account_name, month, {_cents('amount')}, {FACT_A_MONEY}, unit, sub_unit
+FROM fact_a WHERE account_name IS NOT NULL AND month BETWEEN DATE '2000-01-01' AND DATE '2001-06-01' {top}"""
+
+
+MONTH = "CAST(date_trunc('month', usage_date) AS DATE)"
+HISTORY_RANGE = "usage_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"
+# The month before the end month, and the end month up to the end date.
+TRAILING_RANGE = "usage_date BETWEEN DATE '2000-11-01' AND DATE '2000-12-31'"
+
+
+def _usage_report(account: str | None, limit: int | None) -> str:
+    only = "TRUE" if account is None else f"account_id = '{account}'"
+    top = "" if limit is None else (
+        "ORDER BY month DESC NULLS LAST, dollars DESC NULLS LAST, account_id NULLS FIRST, workspace_id NULLS FIRST, "
+        f"workspace_name NULLS FIRST, sku_name NULLS FIRST, quantity NULLS FIRST, dollars_at_list NULLS FIRST LIMIT {limit}")
+    return f"""WITH {FACT_B}
+SELECT account_id, workspace_id, workspace_name, sku_name, {MONTH} AS month, CAST(quantity AS DOUBLE) AS quantity,
+       CAST(dollars AS DOUBLE) AS dollars, CAST(dollars_at_list AS DOUBLE) AS dollars_at_list
+FROM fact_b WHERE {only} AND {HISTORY_RANGE} {top}"""
+
+
+def _usage_by(key: str, name: str) -> str:
+    return f"""WITH {FACT_B}
+SELECT {key} AS {name}, {_cents('SUM(dollars)', 'dollars')} FROM fact_b WHERE {HISTORY_RANGE} GROUP BY ALL"""
+
 
 MONTH_SPINE = f"""WITH {FACT_B},
-bounds AS (
-  SELECT account_id,
-         MIN(CAST(date_trunc('month', usage_date) AS DATE)) AS first_month,
-         MAX(CAST(date_trunc('month', usage_date) AS DATE)) AS last_month
-  FROM fact_b GROUP BY account_id
-)
-SELECT account_id, CAST(m.month AS DATE) AS month
-FROM bounds,
-     LATERAL (SELECT unnest(generate_series(first_month, last_month, INTERVAL 1 MONTH)) AS month) m"""
+span AS (SELECT account_id, MIN({MONTH}) AS a, MAX({MONTH}) AS b FROM fact_b GROUP BY account_id)
+SELECT account_id, CAST(unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS month FROM span"""
 
+# Year buckets count from 1998-01 (R14); months before 1998-01-15 are history.
 YEAR_BUCKET = f"""WITH {FACT_B},
-accounts AS (SELECT DISTINCT account_id FROM fact_b),
-months AS (
-  SELECT CAST(unnest(generate_series(DATE '2001-01-01', DATE '2003-12-01', INTERVAL 1 MONTH)) AS DATE) AS month
-)
-SELECT a.account_id,
-       m.month,
-       CASE WHEN m.month < DATE '2001-01-15' THEN NULL
-            ELSE CAST(FLOOR(datediff('month', DATE '2001-01-01', m.month) / 12) + 1 AS INTEGER) END AS yr_num,
-       CASE WHEN m.month < DATE '2001-01-15' THEN 'Historical'
-            ELSE 'Yr' || CAST(CAST(FLOOR(datediff('month', DATE '2001-01-01', m.month) / 12) + 1 AS INTEGER) AS VARCHAR) END AS year_bucket
-FROM accounts a CROSS JOIN months m"""
-
-TRAILING_WINDOW = ("usage_date >= CAST(date_trunc('month', DATE '2000-12-31') - INTERVAL 1 MONTH AS DATE)"
-                   " AND usage_date <= DATE '2000-12-31'")
-
-BASELINE_TRAILING = f"""WITH {FACT_B}
-SELECT CAST(COALESCE(SUM(dollars), 0) AS DOUBLE) AS baseline_dollars
-FROM fact_b
-WHERE account_id = '42' AND {TRAILING_WINDOW}"""
-
-BASELINE_TRAILING_ALL = f"""WITH {FACT_B},
-accounts AS (SELECT DISTINCT account_id FROM fact_b),
-sums AS (
-  SELECT account_id, SUM(dollars) AS total FROM fact_b
-  WHERE {TRAILING_WINDOW}
-  GROUP BY account_id
+monthly AS (SELECT {MONTH} AS month, SUM(dollars) AS d FROM fact_b GROUP BY ALL),
+placed AS (
+  SELECT d, IF(month < DATE '1998-01-15', NULL, 1 + (12 * (year(month) - 1998) + month(month) - 1) // 12) AS y FROM monthly
 )
-SELECT a.account_id, CAST(COALESCE(s.total, 0) AS DOUBLE) AS baseline_dollars
-FROM accounts a LEFT JOIN sums s ON a.account_id = s.account_id"""
-
-BASELINE_LATEST_MONTH = f"""WITH {FACT_B},
-accounts AS (SELECT DISTINCT account_id FROM fact_b),
-monthly AS (
-  SELECT account_id, CAST(date_trunc('month', usage_date) AS DATE) AS month, SUM(dollars) AS total
-  FROM fact_b
-  WHERE usage_date >= DATE '1996-01-01' AND usage_date <= DATE '2000-12-31'
-  GROUP BY account_id, CAST(date_trunc('month', usage_date) AS DATE)
-),
-latest AS (SELECT account_id, MAX(month) AS month FROM monthly GROUP BY account_id)
-SELECT a.account_id,
-       CAST(CASE WHEN m.total IS NULL OR m.total = 0 THEN 1 ELSE m.total END AS DOUBLE) AS baseline_dollars
-FROM accounts a
-LEFT JOIN latest l ON a.account_id = l.account_id
-LEFT JOIN monthly m ON m.account_id = l.account_id AND m.month = l.month"""
-
-# Rates 5 / 10 / 20 % -> factors 1.05 / 1.10 / 1.20; after Yr3 the loop rule
-# carries 1.05 per year.
-# Each branch is rounded on its own: a CASE over decimals of different scales
-# would otherwise widen past 38 digits and fall back to DOUBLE in DuckDB.
-FLAT_CASE = """CASE yr_num
-         WHEN 1 THEN ROUND(total * 1.05, 2)
-         WHEN 2 THEN ROUND(total * 1.05 * 1.10, 2)
-         ELSE ROUND(total * 1.05 * 1.10 * 1.20, 2) END"""
-COMPOUND_CASE = """CASE yr_num
-         WHEN 1 THEN ROUND(total * 1.05, 2)
-         WHEN 2 THEN ROUND(total * 1.05 * 1.10, 2)
-         WHEN 3 THEN ROUND(total * 1.05 * 1.10 * 1.20, 2)
-         WHEN 4 THEN ROUND(total * 1.05 * 1.10 * 1.20 * 1.20, 2)
-         WHEN 5 THEN ROUND(total * 1.05 * 1.10 * 1.20 * 1.05 * 1.20, 2)
-         WHEN 6 THEN ROUND(total * 1.05 * 1.10 * 1.20 * 1.05 * 1.05 * 1.20, 2) END"""
-GROWTH_CASE = "CASE yr_num WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 20 END"
-
-
-def _spine(start: str, end: str) -> str:
-    return (f"SELECT CAST(unnest(generate_series(CAST(date_trunc('month', DATE '{start}') AS DATE), "
-            f"CAST(date_trunc('month', DATE '{end}') AS DATE), INTERVAL 1 MONTH)) AS DATE) AS month")
-
-
-def _yr(start: str) -> str:
-    return (f"CAST(FLOOR(datediff('month', CAST(date_trunc('month', DATE '{start}') AS DATE), month) / 12) + 1"
-            f" AS INTEGER)")
-
-
-SCENARIO_FLAT = f"""WITH {FACT_B},
-baseline AS (
-  SELECT COALESCE(SUM(dollars), 1) AS total FROM fact_b
-  WHERE account_id = '42' AND {TRAILING_WINDOW}
-),
-forecast_months AS ({_spine('2001-01-01', '2003-12-01')}),
-with_yr AS (SELECT month, {_yr('2001-01-01')} AS yr_num FROM forecast_months)
-SELECT month,
-       'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
-       CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST({FLAT_CASE} AS DOUBLE) AS projected_usage_dollars
-FROM with_yr CROSS JOIN baseline
-WHERE yr_num >= 1"""
-
-ALL_TRAILING_BASELINES = f"""accounts AS (SELECT DISTINCT account_id FROM fact_b),
-sums AS (
-  SELECT account_id, SUM(dollars) AS s FROM fact_b
-  WHERE {TRAILING_WINDOW}
-  GROUP BY account_id
+SELECT CAST(y AS INTEGER) AS yr_num, COALESCE('Yr' || CAST(y AS VARCHAR), 'Historical') AS year_bucket,
+       COUNT(*) AS months, {_cents('SUM(d)', 'dollars')}
+FROM placed GROUP BY ALL"""
+
+
+def _trailing(account: str | None, fallback: int) -> str:
+    """Baseline table (account_id, total): one row for ``account``, whether it
+    exists or not, or one per account (R20)."""
+    who = "SELECT DISTINCT account_id FROM fact_b" if account is None else f"SELECT '{account}' AS account_id"
+    return f"""base AS (
+  SELECT who.account_id, COALESCE(CAST(SUM(dollars) AS DECIMAL(28,4)), {fallback}) AS total
+  FROM ({who}) who LEFT JOIN (SELECT * FROM fact_b WHERE {TRAILING_RANGE}) u ON u.account_id = who.account_id
+  GROUP BY who.account_id
+)"""
+
+
+def _latest(account: str | None) -> str:
+    """Baseline table from each account's latest month with usage; 0 and no
+    usage count as 1."""
+    who = "SELECT DISTINCT account_id FROM fact_b" if account is None else f"SELECT '{account}' AS account_id"
+    return f"""monthly AS (
+  SELECT account_id, {MONTH} AS month, CAST(SUM(dollars) AS DECIMAL(28,4)) AS t FROM fact_b
+  WHERE {HISTORY_RANGE} GROUP BY ALL
 ),
-baseline AS (
-  SELECT a.account_id, COALESCE(s.s, 1) AS total
-  FROM accounts a LEFT JOIN sums s ON a.account_id = s.account_id
+base AS (
+  SELECT who.account_id, COALESCE(NULLIF(t, 0), 1) AS total
+  FROM ({who}) who LEFT JOIN (SELECT * FROM monthly QUALIFY month = MAX(month) OVER (PARTITION BY account_id)) m
+  ON m.account_id = who.account_id
 )"""
 
-SCENARIO_FLAT_ALL = f"""WITH {FACT_B},
-{ALL_TRAILING_BASELINES},
-forecast_months AS ({_spine('2001-01-01', '2003-12-01')}),
-with_yr AS (SELECT month, {_yr('2001-01-01')} AS yr_num FROM forecast_months)
-SELECT b.account_id,
-       month,
-       'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
-       CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST({FLAT_CASE} AS DOUBLE) AS projected_usage_dollars
-FROM with_yr CROSS JOIN baseline b
-WHERE yr_num >= 1"""
-
-PROJECTED_BY_MONTH = f"""WITH {FACT_B},
-{ALL_TRAILING_BASELINES},
-forecast_months AS ({_spine('2001-01-01', '2003-12-01')}),
-with_yr AS (SELECT month, {_yr('2001-01-01')} AS yr_num FROM forecast_months),
-projected AS (
-  SELECT month, {FLAT_CASE} AS p
-  FROM with_yr CROSS JOIN baseline b
-  WHERE yr_num >= 1
-)
-SELECT month, CAST(SUM(p) AS DOUBLE) AS projected_usage_dollars
-FROM projected GROUP BY month"""
 
+def _baseline(base: str, every: bool) -> str:
+    key = "account_id, " if every else ""
+    return f"WITH {FACT_B},\n{base}\nSELECT {key}CAST(total AS DOUBLE) AS baseline_dollars FROM base"
 
-def _latest_month_baselines(account_filter: str) -> str:
-    return f"""accounts AS (SELECT DISTINCT account_id FROM fact_b WHERE {account_filter}),
-monthly AS (
-  SELECT account_id, CAST(date_trunc('month', usage_date) AS DATE) AS month, SUM(dollars) AS t
-  FROM fact_b
-  WHERE {account_filter} AND usage_date >= DATE '1996-01-01' AND usage_date <= DATE '2000-12-31'
-  GROUP BY account_id, CAST(date_trunc('month', usage_date) AS DATE)
-),
-latest AS (SELECT account_id, MAX(month) AS month FROM monthly GROUP BY account_id),
-baseline AS (
-  SELECT a.account_id, CASE WHEN m.t IS NULL OR m.t = 0 THEN 1 ELSE m.t END AS total
-  FROM accounts a
-  LEFT JOIN latest l ON a.account_id = l.account_id
-  LEFT JOIN monthly m ON m.account_id = l.account_id AND m.month = l.month
+
+# R12/R13 with rates 5, 10 and 20 %: (year, rate shown, factor on the baseline).
+# Flat: the product of the rates up to the year, the same after the third.
+FLAT_YEARS = [(1, 5, "1.05"), (2, 10, "1.05 * 1.10"), (3, 20, "1.05 * 1.10 * 1.20")]
+# Compound: a year's own rate on all earlier rates; from the fourth year on its
+# own rate is the third's, and earlier years count 5 % each.
+COMPOUND_YEARS = FLAT_YEARS + [(4, 20, "1.05 * 1.10 * 1.20 * 1.20"), (5, 20, "1.05 * 1.10 * 1.20 * 1.05 * 1.20"),
+                               (6, 20, "1.05 * 1.10 * 1.20 * 1.05 * 1.05 * 1.20")]
+
+
+def _projected(base: str, years: list[tuple[int, int, str]], start: str, end: str) -> str:
+    """CTEs up to ``projected`` (account_id, month, y, rate, dollars): the
+    baseline times the year's factor for the twelve months of each year, from
+    ``start`` (raw) to ``end``."""
+    table = ", ".join(f"({y}, {rate}, CAST({factor} AS DECIMAL(9,7)))" for y, rate, factor in years)
+    return f"""WITH {FACT_B},
+{base},
+years(y, rate, factor) AS (VALUES {table}),
+projected AS (
+  SELECT account_id, CAST(date_trunc('month', DATE '{start}') + to_months(12 * (y - 1) + CAST(k AS INTEGER)) AS DATE) AS month,
+         y, rate, ROUND(total * factor, 2) AS dollars
+  FROM base, years, range(12) t(k)
 )"""
 
 
-SCENARIO_COMPOUND = f"""WITH {FACT_B},
-monthly AS (
-  SELECT CAST(date_trunc('month', usage_date) AS DATE) AS month, SUM(dollars) AS t
-  FROM fact_b
-  WHERE account_id = '42' AND usage_date >= DATE '1996-01-01' AND usage_date <= DATE '2000-12-31'
-  GROUP BY CAST(date_trunc('month', usage_date) AS DATE)
-),
-baseline AS (
-  SELECT COALESCE(NULLIF((SELECT t FROM monthly ORDER BY month DESC LIMIT 1), 0), 1) AS total
-),
-forecast_months AS ({_spine('2001-01-01', '2006-12-01')}),
-with_yr AS (
-  SELECT month, {_yr('2001-01-01')} AS yr_num FROM forecast_months
-  WHERE month >= DATE '2001-01-01'
-)
-SELECT month,
-       'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
-       CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST({COMPOUND_CASE} AS DOUBLE) AS projected_usage_dollars
-FROM with_yr CROSS JOIN baseline"""
-
-SCENARIO_COMPOUND_ALL = f"""WITH {FACT_B},
-{_latest_month_baselines('TRUE')},
-forecast_months AS ({_spine('2001-01-15', '2006-12-01')}),
-with_yr AS (
-  SELECT month, {_yr('2001-01-15')} AS yr_num FROM forecast_months
-  WHERE month >= DATE '2001-01-15'
-)
-SELECT b.account_id,
-       month,
-       'Yr' || CAST(yr_num AS VARCHAR) AS year_bucket,
-       CAST(ROUND({GROWTH_CASE}, 2) AS DOUBLE) AS organic_growth_pct,
-       CAST({COMPOUND_CASE} AS DOUBLE) AS projected_usage_dollars
-FROM with_yr CROSS JOIN baseline b"""
+def _scenario(base: str, years: list[tuple[int, int, str]], start: str, end: str, every: bool) -> str:
+    key = "account_id, " if every else ""
+    return f"""{_projected(base, years, start, end)}
+SELECT {key}month, 'Yr' || CAST(y AS VARCHAR) AS year_bucket, CAST(rate AS DOUBLE) AS organic_growth_pct,
+       CAST(dollars AS DOUBLE) AS projected_usage_dollars
+FROM projected WHERE month BETWEEN DATE '{start}' AND DATE '{end}'"""
+
+
+def _scenario_totals(base: str, years: list[tuple[int, int, str]], start: str, end: str) -> str:
+    return f"""{_projected(base, years, start, end)}
+SELECT month, CAST(SUM(dollars) AS DOUBLE) AS projected_usage_dollars
+FROM projected WHERE month BETWEEN DATE '{start}' AND DATE '{end}' GROUP BY month"""
+
 
+FLAT_MONTHS = ("2001-01-01", "2003-12-01")
+COMPOUND_MONTHS = ("2001-01-01", "2006-12-01")
+MID_MONTH = ("2001-01-15", "2006-12-01")
 
 ORACLE_SQL: dict[str, str] = {
-    "history_mom": _history("%", "1996-01-01", "2000-12-31", None, 10000),
-    "history_mom_min_growth": _history("%", "1996-01-01", "2000-12-31", 5.0, 500),
-    "history_name_pattern": _history("%customer#0000000%", "1996-01-01", "2000-12-31", 5.0, 500),
-    "forecast_period": FORECAST_PERIOD,
-    "usage_report": USAGE_REPORT,
-    "usage_by_month": USAGE_BY_MONTH,
-    "usage_by_sku": USAGE_BY_SKU,
+    "history_mom": _history("%", None, None),
+    "history_mom_min_growth": _history("%", 5, None),
+    "history_name_pattern": _history("%customer#0000000%", 5, None),
+    "history_top": _history("%", None, 500),
+    "forecast_period": _forecast_period(None),
+    "forecast_period_top": _forecast_period(100),
+    "usage_report": _usage_report("42", None),
+    "usage_report_top": _usage_report(None, 200),
+    "usage_by_month": _usage_by(MONTH, "month"),
+    "usage_by_sku": _usage_by("sku_name", "sku_name"),
     "month_spine": MONTH_SPINE,
     "year_bucket": YEAR_BUCKET,
-    "baseline_trailing": BASELINE_TRAILING,
-    "baseline_trailing_all": BASELINE_TRAILING_ALL,
-    "baseline_latest_month": BASELINE_LATEST_MONTH,
-    "scenario_flat": SCENARIO_FLAT,
-    "scenario_flat_all": SCENARIO_FLAT_ALL,
-    "scenario_compound": SCENARIO_COMPOUND,
-    "scenario_compound_all": SCENARIO_COMPOUND_ALL,
-    "projected_by_month": PROJECTED_BY_MONTH,
+    "baseline_trailing": _baseline(_trailing("9", 0), False),
+    "baseline_trailing_none": _baseline(_trailing("-1", 0), False),
+    "baseline_trailing_all": _baseline(_trailing(None, 0), True),
+    "baseline_latest_month": _baseline(_latest(None), True),
+    "scenario_flat": _scenario(_trailing("9", 1), FLAT_YEARS, *FLAT_MONTHS, every=False),
+    "scenario_flat_none": _scenario(_trailing("-1", 1), FLAT_YEARS, *FLAT_MONTHS, every=False),
+    "scenario_flat_all": _scenario(_trailing(None, 1), FLAT_YEARS, *FLAT_MONTHS, every=True),
+    "scenario_compound": _scenario(_latest("42"), COMPOUND_YEARS, *COMPOUND_MONTHS, every=False),
+    "scenario_compound_all": _scenario(_latest(None), COMPOUND_YEARS, *MID_MONTH, every=True),
+    "projected_by_month": _scenario_totals(_trailing(None, 1), FLAT_YEARS, *FLAT_MONTHS),
+    "projected_by_month_compound": _scenario_totals(_latest(None), COMPOUND_YEARS, *MID_MONTH),
 }
+ORACLE_SQL |= {"served_history_mom": ORACLE_SQL["history_mom"],
+               "served_baseline_latest_month": ORACLE_SQL["baseline_latest_month"],
+               "served_usage_by_month": ORACLE_SQL["usage_by_month"]}

@@ -8,6 +8,8 @@ to cents (decimal), then as double.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from meterwise.operators.filters import (
     positive_amount,
 )
 from meterwise.operators.scenarios import compound_scenario, flat_scenario
-from meterwise.operators.spine import account_month_spine, with_month_spine
+from meterwise.operators.spine import account_month_spine
 from meterwise.operators.topk import top_rows
 from meterwise.operators.totals import totals_by
 from meterwise.operators.windows import with_previous_amount
@@ -121,35 +123,44 @@ def usage_totals(usage_lines: DataFrame, p: UsageParams, by: str) -> DataFrame:
     return totals.withColumn("dollars", round_money("dollars"))
 
 
-def baseline_report(usage_lines: DataFrame, p: BaselineParams) -> DataFrame:
+def sku_totals(dollars: DataFrame) -> DataFrame:
+    """P6 by SKU over (``sku_name``, ``dollars``) rows that are already summed
+    in part, such as one row per part."""
+    return totals_by(dollars, F.col("sku_name"), "dollars", "dollars").withColumn("dollars", round_money("dollars"))
+
+
+def baseline_report(usage_lines: DataFrame, p: BaselineParams,
+                    accounts: DataFrame | None = None) -> DataFrame:
     """``(baseline_dollars)`` for one account, or
-    ``(account_id, baseline_dollars)`` per account when ``p.account_id`` is None."""
+    ``(account_id, baseline_dollars)`` per account when ``p.account_id`` is
+    None. With an account list (``accounts``) only the window is read."""
     every = p.account_id is None
     if p.mode == "trailing":
-        out = trailing_baseline(usage_lines, p.end, p.default, p.account_id, all_accounts=every)
+        out = trailing_baseline(usage_lines, p.end, p.default, p.account_id, every, accounts)
     else:
-        out = latest_month_baseline(usage_lines, p.start, p.end, p.account_id, all_accounts=every)
+        out = latest_month_baseline(usage_lines, p.start, p.end, p.account_id, every, accounts)
     return out.withColumn("baseline_dollars", F.col("baseline_dollars").cast("double"))
 
 
-def _projection(usage_lines: DataFrame, p: ScenarioParams, rule: str) -> DataFrame:
+def _projection(usage_lines: DataFrame, p: ScenarioParams, rule: str,
+                accounts: DataFrame | None) -> DataFrame:
     """Baseline(s) plus the projected months; money still exact decimal."""
     every = p.account_id is None
     if rule == "flat":
         base = trailing_baseline(usage_lines, p.history_end, SCENARIO_DEFAULT_BASELINE,
-                                 p.account_id, all_accounts=every)
+                                 p.account_id, every, accounts)
         return flat_scenario(base, p)
     if rule == "compound":
         if p.history_start is None:
             raise ValueError("the compound rule needs history_start for its baseline")
         base = latest_month_baseline(usage_lines, p.history_start, p.history_end,
-                                     p.account_id, all_accounts=every)
+                                     p.account_id, every, accounts)
         return compound_scenario(base, p)
     raise ValueError(f"rule must be 'flat' or 'compound', got {rule!r}")
 
 
 def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat",
-                    ordered: bool | None = None) -> DataFrame:
+                    ordered: bool | None = None, accounts: DataFrame | None = None) -> DataFrame:
     """P5: projected usage by forecast month.
 
     ``rule="flat"`` projects from the trailing baseline (default 1);
@@ -161,7 +172,7 @@ def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat
     """
     every = p.account_id is None
     keys = ["account_id"] if every else []
-    out = _projection(usage_lines, p, rule).select(
+    out = _projection(usage_lines, p, rule, accounts).select(
         *keys, "month", "year_bucket",
         round_money("organic_growth_pct").alias("organic_growth_pct"),
         F.col("projected_usage_dollars").cast("double").alias("projected_usage_dollars"),
@@ -171,26 +182,24 @@ def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat
     return out.orderBy(*keys, "month") if ordered else out
 
 
-def projected_totals(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat") -> DataFrame:
+def projected_totals(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat",
+                     accounts: DataFrame | None = None) -> DataFrame:
     """Projected dollars per forecast month, summed over the accounts
     (exact sum of the rounded per-account projections)."""
-    totals = totals_by(_projection(usage_lines, p, rule), F.col("month"),
+    totals = totals_by(_projection(usage_lines, p, rule, accounts), F.col("month"),
                        "projected_usage_dollars", "projected_usage_dollars")
     return totals.withColumn("projected_usage_dollars", F.col("projected_usage_dollars").cast("double"))
 
 
-def year_bucket_report(usage_lines: DataFrame, p: ScenarioParams) -> DataFrame:
-    """The forecast months of every account labelled ``Historical`` (before
-    the raw forecast start) or ``Yr<n>``."""
-    accounts = (for_account(usage_lines, p.account_id).select("account_id").distinct())
-    start_month = month_start(F.lit(p.forecast_start))
-    spine = with_month_spine(accounts, p.forecast_start, p.forecast_end)
-    return spine.select(
-        "account_id", "month",
-        F.when(F.col("month") < F.lit(p.forecast_start), F.lit(None).cast("int"))
-        .otherwise(year_number(F.col("month"), start_month)).alias("yr_num"),
-        year_bucket(F.col("month"), F.lit(p.forecast_start)).alias("year_bucket"),
-    )
+def year_bucket_report(usage_lines: DataFrame, forecast_start: date) -> DataFrame:
+    """Months with usage and dollars per year bucket: ``Historical`` before
+    the raw ``forecast_start``, else ``Yr<n>`` counted from its month."""
+    monthly = totals_by(usage_lines, month_start("usage_date").alias("month"), "dollars", "dollars")
+    start_month = month_start(F.lit(forecast_start))
+    past = F.col("month") < F.lit(forecast_start)
+    yr = F.when(~past, year_number(F.col("month"), start_month))
+    return (monthly.groupBy(yr.alias("yr_num"), year_bucket(F.col("month"), F.lit(forecast_start)).alias("year_bucket"))
+            .agg(F.count(F.lit(1)).alias("months"), round_money(F.sum("dollars")).alias("dollars")))
 
 
 def month_spine_report(usage_lines: DataFrame) -> DataFrame:

@@ -33,10 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         # (error messages lose the Python line context).
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
-    # One machine: a fresh scratch folder per session (ignored if a session
-    # with its own setting already exists).
-    builder = (builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="meterwise-ckpt-"))
-               .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="meterwise-warehouse-")))
+    builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="meterwise-warehouse-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -47,8 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     The cluster's ``spark.checkpoint.dir`` always wins (read through the
-    session conf, which also works over Spark Connect). Only when nothing is
-    set (tests) is a scratch folder chosen.
+    session conf, which also works over Spark Connect). Where it is unset, a
+    local master (tests) gets a scratch folder; on a cluster that would put
+    files on each machine's own disk, so it is an error.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     try:
@@ -58,6 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None:
         current = current or sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
     if not current:
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="meterwise-ckpt-")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)

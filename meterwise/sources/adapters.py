@@ -71,12 +71,16 @@ def _raw_range(col: str, first: date | None, stop: date | None) -> Column | None
     return cond
 
 
-def account_monthly(tables: SourceTables, months: tuple[date, date] | None = None) -> DataFrame:
+def account_monthly(tables: SourceTables, months: tuple[date, date] | None = None,
+                    name_pattern: str = "%") -> DataFrame:
     """Fact A from the test tables.
 
     ``months=(start, end)`` keeps only rows whose month ``m`` satisfies
     ``start <= m <= end``; the same predicate a report applies to ``month``,
-    turned into an exact range on the raw order date.
+    turned into an exact range on the raw order date. ``name_pattern`` other
+    than ``%`` keeps only the orders of customers whose name matches before
+    they meet the lines, so the lines that are shuffled on can be pruned by
+    the orders that are left.
     """
     lines = tables("lineitem").select(
         "l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
@@ -85,6 +89,10 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
         start, end = months
         orders = orders.filter(_raw_range(
             "o_orderdate", first_month_on_or_after(start), first_month_after(end)))
+    customer = tables("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    if name_pattern != "%":
+        customer = customer.filter(F.col("c_name").ilike(name_pattern))
+        orders = orders.join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     monthly = (
         lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey"), month_start("o_orderdate").alias("month"))
@@ -96,7 +104,6 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
             F.sum(line_price()).alias("submitted_sum"),
         )
     )
-    customer = tables("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = tables("nation").select("n_nationkey", "n_name", "n_regionkey")
     region = tables("region").select("r_regionkey", "r_name")
     joined = (
@@ -118,6 +125,19 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
     )
 
 
+def dollars_by_part(tables: SourceTables, dates: tuple[date, date]) -> DataFrame:
+    """Fact B's ``sku_name`` and ``dollars``, summed per part before the part
+    lookup: the join carries one row per part instead of one per line."""
+    start, end = dates
+    lines = tables("lineitem").filter(_raw_range("l_shipdate", start, date.fromordinal(end.toordinal() + 1)))
+    orders = tables("orders").select("o_orderkey").hint("merge")
+    per_part = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+                .groupBy("l_partkey").agg(F.sum(line_net().cast(schemas.MONEY_LINE)).alias("dollars")))
+    part = tables("part").select("p_partkey", "p_brand")
+    return (per_part.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+            .select(F.col("p_brand").alias("sku_name"), "dollars"))
+
+
 def _custkey_for(account_id: str) -> Column:
     """``o_custkey`` predicate equivalent to ``cast(o_custkey as string) = account_id``.
 

@@ -3,27 +3,34 @@
 The original front ends turned a fetched result into a one-sheet spreadsheet
 in memory. Here a report is written by the executors: every task writes its
 own part file with a header row, so nothing passes through the driver. Only a
-report with a row cap (a top-k report) may ask for a single output file.
+top-k report may ask for a single output file.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from meterwise.params import LIMIT_MAX
+
 FORMATS = ("csv", "parquet", "json")
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False,
-                 mode: str = "overwrite") -> str:
+def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file_rows: int | None = None,
+                 overwrite: bool = False) -> str:
     """Write ``df`` to ``path``; returns ``path``.
 
-    ``single_file`` coalesces to one partition and is meant for capped
-    reports only (at most the report's row limit passes through that task).
+    ``single_file_rows`` is the row limit of a top-k report: at most that many
+    rows pass through one task into one file; a larger report is refused an
+    output of this kind. A path that exists is an error unless ``overwrite``.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, got {fmt!r}")
-    out = df.coalesce(1) if single_file else df
-    writer = out.write.mode(mode)
+    out = df
+    if single_file_rows is not None:
+        if not 1 <= single_file_rows <= LIMIT_MAX:
+            raise ValueError(f"a single file holds at most {LIMIT_MAX} rows")
+        out = df.limit(single_file_rows).coalesce(1)
+    writer = out.write.mode("overwrite" if overwrite else "errorifexists")
     if fmt == "csv":
         writer = writer.option("header", True)
     getattr(writer, fmt)(path)

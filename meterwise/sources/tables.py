@@ -63,8 +63,15 @@ class SourceTables:
         return self
 
 
+def qualified_name(*parts: str) -> str:
+    """``catalog``, ``schema``, ``table`` (or fewer) as one quoted name."""
+    if not parts or not all(p and p.strip() for p in parts):
+        raise ValueError(f"empty part in table name {parts!r}")
+    return ".".join("`" + p.strip().replace("`", "``") + "`" for p in parts)
+
+
 def _load(spark: SparkSession, source: str) -> DataFrame:
-    if "/" in source or source.endswith(".parquet"):
+    if not source.startswith("`") and ("/" in source or source.endswith(".parquet")):
         return spark.read.parquet(source)
     return spark.table(source)
 

@@ -19,6 +19,9 @@ SF = "/root/testdata/sf0.001"
     (["baseline", "--end", "2000-12-31", "--mode", "latest_month", "--start", "1996-01-01"], 150),
     (["scenario", "--account", "42", "--history-end", "2000-12-31", "--forecast-start", "2001-01-01",
       "--forecast-end", "2003-12-01", "--growth", "5", "10", "20"], 36),
+    (["scenario", "--history-end", "2000-12-31", "--forecast-start", "2001-01-01", "--forecast-end", "2003-12-01",
+      "--totals", "month"], 36),
+    (["history", "--start", "1996-01-01", "--end", "2000-12-31", "--limit", "all"], 1110),
 ])
 def test_cli_writes_reports(spark, argv, rows):
     out = os.path.join(tempfile.mkdtemp(prefix="meterwise-cli-"), "r")
@@ -27,6 +30,34 @@ def test_cli_writes_reports(spark, argv, rows):
     assert got > 0 if rows is None else got == rows
 
 
+def test_cli_runs_joint_parameter_sets(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="meterwise-cli-"), "r")
+    cli.main(["dashboard", "--testdata", SF, "--account", "9", "--today", "2000-12-31", "--out", out,
+              "--format", "parquet"], spark=spark)
+    assert spark.read.parquet(out + "/scenario").count() == 36 and spark.read.parquet(out + "/usage").count() > 0
+    out += "2"
+    cli.main(["consumption", "--testdata", SF, "--history-start", "1996-01-01", "--history-end", "2000-12-31",
+              "--limit", "10", "--out", out, "--format", "parquet"], spark=spark)
+    assert spark.read.parquet(out + "/history").count() == 10
+
+
+def test_cli_does_not_replace_a_result_unasked(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="meterwise-cli-"), "r")
+    argv = ["baseline", "--testdata", SF, "--end", "2000-12-31", "--out", out, "--format", "parquet"]
+    cli.main(argv, spark=spark)
+    with pytest.raises(Exception, match="already exists"):
+        cli.main(argv, spark=spark)
+    cli.main([*argv, "--overwrite"], spark=spark)
+
+
+def test_table_name_parts_are_quoted():
+    from meterwise.sources.tables import qualified_name
+
+    assert qualified_name("main", "a.b", "t`x") == "`main`.`a.b`.`t``x`"
+    with pytest.raises(ValueError):
+        qualified_name("main", " ", "t")
+
+
 def test_cli_on_tables_in_the_source_layout(spark, capsys):
     """Tables with the production column names, bound by the mapping."""
     from datetime import date, datetime

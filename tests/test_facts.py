@@ -2,10 +2,21 @@
 
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
+from meterwise.operators.filters import in_date_range
+from meterwise.operators.windows import with_previous_amount
 from meterwise.plans import catalog, reports
-from meterwise.plans.facts import read_facts, write_facts
+from meterwise.plans.facts import (
+    fact_paths,
+    read_facts,
+    write_account_monthly_table,
+    write_facts,
+    write_usage_lines,
+)
 from meterwise.sources.adapters import account_monthly, usage_lines
-from meterwise.sources.tables import SourceTables
+from meterwise.sources.tables import SourceTables, read_account_monthly
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,30 +25,69 @@ def same(a, b):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_reports_on_written_facts(spark):
+@pytest.fixture(scope="module")
+def facts(spark):
+    root = tempfile.mkdtemp(prefix="meterwise-facts-")
+    return read_facts(spark, write_facts(spark, SourceTables(spark, SF), f"{root}/facts"))
+
+
+def test_reports_on_written_facts(spark, facts):
     tables = SourceTables(spark, SF)
-    paths = write_facts(spark, tables, tempfile.mkdtemp(prefix="meterwise-facts-"))
-    fact_a, fact_b = read_facts(spark, paths)
-    live_a, live_b = account_monthly(tables), usage_lines(tables)
-    assert fact_a.count() == live_a.count() and fact_b.count() == live_b.count()
-    same(reports.history_report(fact_a, catalog.HISTORY_MIN_GROWTH),
-         reports.history_report(live_a, catalog.HISTORY_MIN_GROWTH))
-    same(reports.usage_report(fact_b, catalog.USAGE_ONE), reports.usage_report(live_b, catalog.USAGE_ONE))
-    same(reports.scenario_report(fact_b, catalog.SCENARIO_COMPOUND_ALL, "compound"),
-         reports.scenario_report(live_b, catalog.SCENARIO_COMPOUND_ALL, "compound"))
-    plan = reports.usage_report(fact_b, catalog.USAGE_ONE)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(usage_month" in plan
+    assert facts.monthly.count() == account_monthly(tables).count()
+    assert facts.usage.count() == usage_lines(tables).count()
+    for key in ("history_min_growth", "usage_report", "scenario_compound_all", "baseline_trailing_all",
+                "baseline_latest_month", "projected_by_month"):
+        key = "history_mom_min_growth" if key == "history_min_growth" else key
+        same(catalog.REGISTERED[key].on_facts(facts), catalog.QUERIES[key](spark, SF))
 
 
-def test_bucketed_account_monthly_needs_no_shuffle_for_the_window(spark):
-    from meterwise.plans.facts import write_account_monthly_table
-    from meterwise.sources.tables import read_account_monthly
+def test_served_date_ranges_prune_month_folders(spark, facts):
+    for key in ("usage_report", "usage_by_month", "baseline_trailing", "baseline_trailing_all",
+                "baseline_latest_month", "scenario_flat", "scenario_flat_all", "scenario_compound",
+                "scenario_compound_all", "projected_by_month"):
+        df = catalog.REGISTERED[key].on_facts(facts)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(usage_month" in plan, key
+        if key.endswith("_all") or key == "baseline_latest_month":
+            assert df.select("account_id").distinct().count() == 150, key
+
+
+def test_usage_lines_lie_in_few_files_with_disjoint_accounts(spark, facts):
+    per_file = (facts.usage.select("usage_month", "account_id", F.input_file_name().alias("file"))
+                .groupBy("usage_month", "file").agg(F.min("account_id").alias("a"), F.max("account_id").alias("b"))
+                .orderBy("usage_month", "a", "b").collect())
+    months = len({r["usage_month"] for r in per_file})
+    assert len(per_file) <= months + 8  # a range ends in a month, or a month in a range
+    for x, y in zip(per_file, per_file[1:]):
+        assert x["usage_month"] != y["usage_month"] or x["b"] <= y["a"]
 
+
+def test_a_hot_account_splits_over_files(spark):
+    one = usage_lines(SourceTables(spark, SF)).withColumn("account_id", F.lit("1")).withColumn(
+        "usage_date", F.lit("2000-01-01").cast("date"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        path = write_usage_lines(one, tempfile.mkdtemp(prefix="meterwise-hot-") + "/u")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_two_writes_do_not_meet(spark):
+    assert fact_paths(spark) != fact_paths(spark)
+    with pytest.raises(ValueError):
+        write_facts(spark, SourceTables(spark, SF), tempfile.mkdtemp() + "/f", monthly_table="t")
+
+
+def test_bucketed_account_monthly_needs_no_shuffle_for_the_window(spark):
     tables = SourceTables(spark, SF)
-    table = write_account_monthly_table(account_monthly(tables), "meterwise_test_account_monthly", 4)
+    folder = tempfile.mkdtemp(prefix="meterwise-bucketed-") + "/t"
+    table = write_account_monthly_table(account_monthly(tables), "meterwise_test_account_monthly", 4, folder)
     fact = read_account_monthly(spark, table)
-    report = reports.history_report(fact, catalog.HISTORY_MIN_GROWTH)
-    plan = report._jdf.queryExecution().executedPlan().toString()
+    scoped = with_previous_amount(in_date_range(fact, catalog.HISTORY_ALL.start, catalog.HISTORY_ALL.end, "month"))
+    plan = scoped._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "Exchange" not in plan, plan
-    same(report, reports.history_report(account_monthly(tables), catalog.HISTORY_MIN_GROWTH))
+    same(reports.history_report(fact, catalog.HISTORY_MIN_GROWTH),
+         reports.history_report(account_monthly(tables), catalog.HISTORY_MIN_GROWTH))
     spark.sql(f"DROP TABLE {table}")

@@ -12,7 +12,7 @@ from meterwise.params import (
     HistoryParams,
     ScenarioParams,
     UsageParams,
-    clamp_limit,
+    parse_limit,
     parse_min_growth,
 )
 from meterwise.sources.sinks import write_report
@@ -28,12 +28,66 @@ def test_min_growth_parsing():  # R18
             parse_min_growth(bad)
 
 
-def test_limits_are_clamped():
-    assert clamp_limit("20000", 1, 10000, 500) == 10000
-    assert clamp_limit("0", 1, 10000, 500) == 1
-    assert clamp_limit("x", 1, 10000, 500) == 500
-    assert HistoryParams(limit=0).limit == 1
-    assert UsageParams("1", date(2020, 1, 1), date(2020, 2, 1), limit=5).limit == 100
+def test_limits_are_kept_or_refused():
+    assert parse_limit(None) is None and HistoryParams().limit is None
+    assert parse_limit(" 250 ") == 250
+    assert UsageParams("1", date(2020, 1, 1), date(2020, 2, 1), limit=5).limit == 5
+    for bad in ("20000", 0, -1, "x", ""):
+        with pytest.raises(ValueError):
+            parse_limit(bad)
+    with pytest.raises(ValueError):
+        HistoryParams(limit=50000)
+
+
+def test_no_limit_gives_the_whole_report(spark):
+    from meterwise.plans.reports import history_report
+    from tests.frames import account_monthly
+
+    rows = [(a, f"n{a:05d}", date(2020, 1 + m, 1), 1) for a in range(950) for m in range(12)]
+    fact = account_monthly(spark, rows)
+    assert history_report(fact, HistoryParams("%", "2020-01-01", "2020-12-31")).count() == 11_400
+    assert history_report(fact, HistoryParams("%", "2020-01-01", "2020-12-31", limit=7)).count() == 7
+
+
+def test_checkpoint_dir_is_the_configured_one():
+    from types import SimpleNamespace
+
+    from meterwise.session import checkpoint_dir
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.set = master, None
+
+        def getCheckpointDir(self):
+            return self.set
+
+        def getConf(self):
+            return SimpleNamespace(get=lambda k, d: d)
+
+        def setCheckpointDir(self, d):
+            self.set = d
+
+    def session(master, value):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: value or d), sparkContext=Context(master))
+
+    given = session("spark://host:7077", "hdfs:///shared")
+    assert checkpoint_dir(given) == "hdfs:///shared" == given.sparkContext.set
+    assert checkpoint_dir(session("local[2]", "/preset")) == "/preset"
+    assert os.path.isdir(checkpoint_dir(session("local[2]", None)))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(session("spark://host:7077", None))
+
+
+def test_local_session_keeps_a_preset_folder():
+    import subprocess
+    import sys
+
+    code = ("from pyspark.sql import SparkSession; from meterwise.session import local_session, checkpoint_dir; "
+            "SparkSession.builder.master('local[1]').config('spark.checkpoint.dir', '/tmp/preset-ckpt')"
+            ".config('spark.ui.enabled', 'false').getOrCreate(); print(checkpoint_dir(local_session(1)))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().splitlines()[-1] == "/tmp/preset-ckpt", out.stderr[-2000:]
 
 
 def test_blank_pattern_means_all():  # R5
@@ -58,21 +112,27 @@ def test_growth_bounds():
 def test_write_report_csv_and_parquet(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     out = tempfile.mkdtemp(prefix="meterwise-sink-")
-    path = write_report(df, os.path.join(out, "csv"), "csv", single_file=True)
+    path = write_report(df, os.path.join(out, "csv"), "csv", single_file_rows=2)
     back = spark.read.option("header", True).csv(path)
     assert back.columns == ["id", "name"] and back.count() == 2
     path = write_report(df, os.path.join(out, "pq"), "parquet")
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError):
         write_report(df, os.path.join(out, "x"), "xlsx")
+    with pytest.raises(ValueError):
+        write_report(df, os.path.join(out, "x"), single_file_rows=1_000_000)
+    with pytest.raises(Exception, match="already exists"):
+        write_report(df, path, "parquet")
+    write_report(df.limit(1), path, "parquet", overwrite=True)
+    assert spark.read.parquet(path).count() == 1
 
 
 def test_consumption_params_share_pattern_and_limit():
     from meterwise.params import ConsumptionParams
 
-    p = ConsumptionParams("  ", min_growth_pct="5", limit="20000")
+    p = ConsumptionParams("  ", min_growth_pct="5", limit="200")
     h, f = p.history(), p.forecast()
-    assert (h.name_pattern, f.name_pattern, h.limit, f.limit) == ("%", "%", 10000, 10000)
+    assert (h.name_pattern, f.name_pattern, h.limit, f.limit) == ("%", "%", 200, 200)
     assert (h.start, h.end, f.start, f.end) == (date(2024, 1, 1), date(2026, 1, 1),
                                                 date(2025, 1, 1), date(2026, 6, 1))
     assert h.min_growth_pct == 5.0
