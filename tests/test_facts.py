@@ -65,11 +65,11 @@ def test_usage_lines_lie_in_few_files_with_disjoint_accounts(spark, facts):
 def test_a_hot_account_splits_over_files(spark):
     one = usage_lines(SourceTables(spark, SF)).withColumn("account_id", F.lit("1")).withColumn(
         "usage_date", F.lit("2000-01-01").cast("date"))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         path = write_usage_lines(one, tempfile.mkdtemp(prefix="meterwise-hot-") + "/u")
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) >= 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
