@@ -48,13 +48,14 @@ class Network:
         self.trained = False
 
     def _layout(self, texts: list[bytes]):
-        """Padded bytes of all texts and the blocks of each; every text ends
-        in at least ``WIDTH - 1`` zero bytes of its own."""
+        """Padded bytes of all texts and the blocks of each. ``WIDTH - 1`` zero
+        bytes come before every text, so no filter sees two texts."""
+        lead = WIDTH - 1
         sizes = np.array([len(t) for t in texts])
-        blocks = (sizes + WIDTH - 1) // BLOCK + 1
+        blocks = np.maximum(1, -(-(sizes + lead) // BLOCK))
         data = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
         for t, a in zip(texts, np.concatenate([[0], np.cumsum(blocks)]) * BLOCK, strict=False):
-            data[a:a + len(t)] = np.frombuffer(t, np.uint8)
+            data[a + lead:a + lead + len(t)] = np.frombuffer(t, np.uint8)
         return data, blocks
 
     def _conv(self, data: np.ndarray) -> np.ndarray:
@@ -79,7 +80,7 @@ class Network:
         per = np.maximum(blocks - 1, 1)
         start = np.concatenate([[0], np.cumsum(per)[:-1]])
         feats = np.concatenate([np.add.reduceat(chunk, start, axis=0) / per[:, None],
-                                np.maximum.reduceat(chunk, start, axis=0)], axis=1).astype(np.float32)
+                                np.maximum.reduceat(chunk, start, axis=0)], axis=1).astype(chunk.dtype)
         return left, right, chunk, per, start, feats
 
     def score(self, texts: list[bytes]) -> np.ndarray:

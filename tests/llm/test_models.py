@@ -98,7 +98,7 @@ def test_network_gradients_are_those_of_the_loss():
 
 def test_whole_text_counts_and_batches_do_not(monkeypatch):
     net = quality.Network().fit([b"good words here " * 20, b"@@@@ #### !!!! " * 20] * 20, np.array([1, 0] * 20, np.float32))
-    assert net.score([b"good words here " * 9])[0] > 0.5 > net.score([b"@@@@ #### " * 9])[0]
+    assert net.score([b"good words here " * 9])[0] > 0.5 > net.score([b"@@@@ #### !!!! " * 9])[0]
     long = b"good words here " * 5000
     assert net.score([long + b"@@@@ #### !!!! " * 2000])[0] < net.score([long])[0]
     texts = [b"", b"a", long, b"@" * 127, b"@" * 128]
