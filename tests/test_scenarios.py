@@ -132,13 +132,12 @@ def test_batch_equals_single_account(spark):  # R20
                 assert sorted(tuple(r) for r in single) == expect
 
 
-def test_year_bucket_labels(spark):
-    usage = usage_lines(spark, [("1", m(2020, 12, 5), 1)])
-    p = ScenarioParams(None, date(2020, 12, 31), date(2021, 1, 15), m(2022, 1), RATES)
-    out = {r["month"]: (r["yr_num"], r["year_bucket"]) for r in year_bucket_report(usage, p).collect()}
-    assert out[m(2021, 1)] == (None, "Historical")
-    assert out[m(2021, 2)] == (1, "Yr1") and out[m(2021, 12)] == (1, "Yr1")
-    assert out[m(2022, 1)] == (2, "Yr2")
+def test_year_bucket_totals(spark):  # R14
+    usage = usage_lines(spark, [("1", m(2020, 12, 5), 1), ("1", m(2021, 1, 20), 2), ("2", m(2021, 2, 1), 3),
+                                ("1", m(2021, 12, 31), 4), ("1", m(2022, 1, 1), 5), ("3", m(2021, 2, 3), "0.5")])
+    out = {tuple(r) for r in year_bucket_report(usage, date(2021, 1, 15)).collect()}
+    # January 2021 starts before the raw forecast start, but its year counts from it
+    assert out == {(None, "Historical", 2, 3.0), (1, "Yr1", 2, 7.5), (2, "Yr2", 1, 5.0)}
 
 
 def test_projection_rounds_the_exact_product(spark):  # R7
