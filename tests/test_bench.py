@@ -5,7 +5,7 @@ import os
 import subprocess
 import sys
 
-from meterwise.plans.catalog import QUERIES
+from meterwise.plans.catalog import REGISTERED
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,5 +19,5 @@ def test_bench_prints_one_json_line():
     lines = [line for line in out.stdout.splitlines() if line.strip()]
     assert len(lines) == 1
     d = json.loads(lines[0])
-    assert d["unit"] == "sec" and d["sf"] == 0.001 and set(d["queries"]) == set(QUERIES)
+    assert d["unit"] == "sec" and d["sf"] == 0.001 and set(d["queries"]) == set(REGISTERED)
     assert abs(d["value"] - sum(d["queries"].values())) < 1e-6
