@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,15 +192,14 @@ def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, col: int, limit: int = 4 << 20) -> Iterator[tuple[int, int, list]]:
     """Row ranges of a batch whose texts hold about ``limit`` bytes, with the
     texts as bytes."""
-    texts = batch.column(col).cast(pa.binary()).to_pylist()
-    a = size = 0
-    for b, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= limit:
-            yield a, b + 1, texts[a:b + 1]
-            a, size = b + 1, 0
-    if a < len(texts):
-        yield a, len(texts), texts[a:]
+    texts = batch.column(col).cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = done = 0
+    while a < len(texts):
+        # up to the row that reaches the limit; only these rows become Python bytes
+        b = min(int(np.searchsorted(ends, done + limit)) + 1, len(texts))
+        yield a, b, texts.slice(a, b - a).to_pylist()
+        a, done = b, int(ends[b - 1])
 
 
 def _signatures(batches):

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import (ann, decontaminate, langid, line_dedup, minhash, mixing, quality, secrets, sharding, warc)
+from meterwise.llm import (ann, decontaminate, dialogue, langid, line_dedup, minhash, mixing, negatives, quality, secrets,
+                           sharding, tokens, warc)
+from meterwise.llm.scratch import scratch_path
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -72,10 +74,29 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """With a cache of its own, so every distinct content is encoded once."""
+    import public_tokenizers
+
+    vocabulary = tokens.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.count_tokens(read(spark, folder, "documents"), vocabulary, scratch_path(spark, "token-cache"))
+
+
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations")
+    return dialogue.repair(dialogue.damage(rows), rows)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_sharding, op3_quality, op4_mixing, op5_language_id, op6_decontamination,
-              op7_secrets, op8_warc, op9_nearest, op10_near_duplicates)
+              op7_secrets, op8_warc, op9_nearest, op10_near_duplicates, op11_token_counts, op12_conversations,
+              op13_hard_negatives)
 }
 
 
@@ -209,10 +230,97 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(y, d
        doc_id IS NOT DISTINCT FROM least(doc_id, coalesce(y, doc_id)) AS kept
 FROM w LEFT JOIN sizes USING (r) LEFT JOIN label ON label.x = doc_id"""
 
+CONVERSATIONS_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                   lambda ch: ascii(ch)::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END,
+                             xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, IF(kind = 4, 'user', role) AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM c WHERE kind <> 0
+), n AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (w ROWS UNBOUNDED PRECEDING) AS i,
+         lag(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au') AS wrong,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), m AS (
+  SELECT *, CASE WHEN tail = '' THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                WHEN tail NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM n
+), arcs(e, s, ini, t, cost) AS (
+  VALUES ('D', 0, NULL, 0, 4), ('D', 1, NULL, 1, 4), ('D', 2, NULL, 2, 4), ('D', 3, NULL, 3, 4),
+         ('R', 0, NULL, 2, 3), ('R', 1, NULL, 2, 3), ('R', 2, NULL, 3, 3), ('R', 3, NULL, 2, 3),
+         ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 3, 'u', 2, 0), ('K', 2, 'a', 3, 0)
+), adds(s, t, cost, e, said) AS (
+  SELECT s, s, 0, '', '' FROM range(4) x(s)
+  UNION ALL VALUES (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'),
+    (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 2, 3, 'I', chr(10) || 'user:'),
+    (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, t AS s, {'cost': cost, 'audit': e, 'said': said} AS b
+  FROM (SELECT DISTINCT conv_id FROM n), adds WHERE s = 0
+  UNION ALL
+  SELECT conv_id, i, s, min(b) FROM (
+    SELECT best.conv_id, m.i, adds.t AS s, {
+      'cost': best.b.cost + arcs.cost + adds.cost + IF(m.fault = 't' AND arcs.e <> 'D', 3, 0),
+      'audit': best.b.audit || arcs.e || adds.e,
+      'said': best.b.said || CASE arcs.e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || m.role || ':' || m.text
+              ELSE chr(10) || IF(arcs.t = 2, 'user:', 'assistant:') || m.text END || adds.said} AS b
+    FROM best JOIN m ON m.conv_id IS NOT DISTINCT FROM best.conv_id AND m.i = best.i + 1
+    JOIN arcs ON arcs.s = best.s AND (arcs.e = 'D' OR m.fault NOT IN ('b', 'd')) AND (arcs.e <> 'K' OR arcs.ini = m.ini)
+    JOIN adds ON adds.s = arcs.t
+  ) GROUP BY conv_id, i, s
+), marks AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (wrong) AS illegal
+  FROM m GROUP BY conv_id
+), done AS (
+  SELECT marks.conv_id, min(b) AS b FROM best JOIN marks ON marks.conv_id IS NOT DISTINCT FROM best.conv_id AND best.i = n
+  WHERE s IN (0, 3) GROUP BY marks.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit,
+       sha256(coalesce(substr(b.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN marks ON marks.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, IF(vec_id % 7 = 0, (label + 1) % 10, label) AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id,
+         coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+), p AS (
+  SELECT anchor_id, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score
+  AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 3"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding_sql(),
     "op6_decontamination": DECONTAMINATION_SQL,
     "op7_secrets": SECRETS_SQL,
     "op8_warc": WARC_SQL,
     "op10_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op12_conversations": CONVERSATIONS_SQL,
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }
