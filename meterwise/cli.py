@@ -79,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     h.add_argument("--start", type=_date, default=date(2024, 1, 1))
     h.add_argument("--end", type=_date, default=date(2026, 1, 1))
     h.add_argument("--min-growth", default=None)
+    h.add_argument("--strict-calendar", action="store_true", help="compare with the previous calendar month, not row")
     h.add_argument("--limit", type=_limit, default=HISTORY_LIMIT_DEFAULT)
 
     f = sub.add_parser("forecast-period", help="actual vs baseline and forecasts")
@@ -115,6 +116,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--growth", nargs=3, default=[str(GROWTH_PCT_DEFAULT)] * 3)
     s.add_argument("--rule", choices=("flat", "compound"), default="flat")
     s.add_argument("--totals", choices=("month",), default=None, help="projected dollars per month")
+    s.add_argument("--own-growth", action="store_true", help="every account's rates from its own last three years")
 
     d = sub.add_parser("dashboard", help="usage report and scenario of one account")
     common(d)
@@ -154,7 +156,7 @@ def build(spark: SparkSession, args) -> dict[str, tuple[DataFrame, int | None]]:
     its row limit."""
     fact = _fact(spark, args)
     if args.report == "history":
-        p = HistoryParams(args.pattern, args.start, args.end, args.min_growth, args.limit)
+        p = HistoryParams(args.pattern, args.start, args.end, args.min_growth, args.limit, args.strict_calendar)
         return {"": (reports.history_report(fact, p), p.limit)}
     if args.report == "forecast-period":
         p = ForecastPeriodParams(args.pattern, args.start, args.end, args.limit)
@@ -182,6 +184,8 @@ def build(spark: SparkSession, args) -> dict[str, tuple[DataFrame, int | None]]:
                        tuple(Decimal(g) for g in args.growth), args.history_start)
     if args.totals:
         return {"": (reports.projected_totals(fact, p, args.rule), None)}
+    if args.own_growth:
+        return {"": (reports.own_growth_scenario(fact, p, args.rule), None)}
     return {"": (reports.scenario_report(fact, p, args.rule), None)}
 
 
@@ -191,7 +195,8 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
     for name, (df, limit) in build(spark, args).items():
         if args.out:
             path = f"{args.out.rstrip('/')}/{name}" if name else args.out
-            print(write_report(df, path, args.format, single_file_rows=limit, overwrite=args.overwrite))
+            written = write_report(df, path, args.format, single_file_rows=limit, overwrite=args.overwrite)
+            print(written or f"no rows: {path} not written")
         else:
             df.show(args.show, truncate=False)
     return 0

@@ -4,6 +4,7 @@ from meterwise.functions.dates import (
     month_start,
     month_sequence,
     months_since,
+    month_ordinal,
     year_number,
     year_bucket,
     first_month_on_or_after,
@@ -16,12 +17,16 @@ from meterwise.functions.growth import (
     compound_multipliers,
     year_growth_pct,
     by_year,
+    compound_factor,
+    flat_factor,
+    rate_of_year,
 )
 
 __all__ = [
     "month_start",
     "month_sequence",
     "months_since",
+    "month_ordinal",
     "year_number",
     "year_bucket",
     "first_month_on_or_after",
@@ -33,4 +38,7 @@ __all__ = [
     "compound_multipliers",
     "year_growth_pct",
     "by_year",
+    "compound_factor",
+    "flat_factor",
+    "rate_of_year",
 ]

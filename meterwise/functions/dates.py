@@ -56,6 +56,12 @@ def months_since(month, start) -> Column:
     return (F.year(m) - F.year(s)) * 12 + (F.month(m) - F.month(s))
 
 
+def month_ordinal(month) -> Column:
+    """Months counted from year 0, so neighbours differ by one."""
+    m = _col(month)
+    return F.year(m) * 12 + F.month(m)
+
+
 def year_number(month, start) -> Column:
     """1 for the first 12 months from ``start``'s month, 2 for the next 12, ..."""
     return (F.floor(months_since(month, start) / F.lit(12)) + 1).cast("int")

@@ -4,6 +4,10 @@ The multipliers depend only on the rate parameters and the year number, so
 they are computed as decimals from the parameters (28 significant digits, so
 exact for a few years of rates with two decimals and rounded beyond that) and
 enter the plan as a ``CASE`` on the year: no per-row loop, no binary floats.
+
+Where each row brings rates of its own (an array column of percentages), the
+factor is a fold over a slice of that array, in decimals with eight digits after
+the point that are rounded half-up after every year.
 """
 
 from __future__ import annotations
@@ -62,6 +66,35 @@ def compound_multipliers(rates_pct, years: int, carry_pct: Decimal) -> list[Deci
     return out
 
 
+#: Decimal type of a factor that is folded from rates in a column.
+FACTOR = "decimal(18,8)"
+
+
+def _fold(rates: Column) -> Column:
+    """Product of ``1 + rate / 100`` over an array of decimal(7,2) rates."""
+    return F.aggregate(rates, F.lit(1).cast(FACTOR),
+                       lambda acc, r: (acc * (r.cast("decimal(7,2)") * F.lit(Decimal("0.01")) + F.lit(1))).cast(FACTOR))
+
+
+def rate_of_year(rates: Column, yr: Column) -> Column:
+    """The rate of year ``yr``: the last rate for every later year."""
+    return F.get(rates, F.least(yr, F.size(rates)) - 1)
+
+
+def flat_factor(rates: Column, yr: Column) -> Column:
+    """SQL rule on a rate column: the product up to the year, flat after the
+    last rate."""
+    return _fold(F.slice(rates, F.lit(1), F.least(yr, F.size(rates))))
+
+
+def compound_factor(rates: Column, yr: Column, carry_pct: Decimal) -> Column:
+    """Loop rule on a rate column: earlier years at their own rates, those
+    beyond the array at ``carry_pct``, times the year's own rate."""
+    carried = F.array_repeat(F.lit(carry_pct).cast("decimal(7,2)"), F.greatest(yr - 1 - F.size(rates), F.lit(0)))
+    earlier = F.slice(F.concat(rates.cast("array<decimal(7,2)>"), carried), F.lit(1), yr - 1)
+    return _fold(F.concat(earlier, F.array(rate_of_year(rates, yr).cast("decimal(7,2)"))))
+
+
 def by_year(yr: Column, values: list) -> Column:
     """``CASE yr WHEN 1 THEN values[0] ... ELSE values[-1]`` as a Column."""
     if not values:

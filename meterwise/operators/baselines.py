@@ -13,7 +13,8 @@ window. With a narrow account list (``accounts``; ``plans.facts`` writes one
 beside the usage table) only the window is read: the date filter prunes the
 usage table's month folders, and the sums are joined to the list. Without a
 list, one pass over the usage table finds the accounts and sums the window
-conditionally. Either way the sums are partial + final aggregations on the
+conditionally. With a month summary as well (``months``), the latest-month form
+reads it from the newest month backwards (``operators.latest_month``). Either way the sums are partial + final aggregations on the
 account key (a hot account contributes one partial row per task).
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from meterwise.functions.dates import add_months, month_start
 from meterwise.operators.filters import for_account, in_date_range
+from meterwise.operators.latest_month import latest_totals
 from meterwise.params import LATEST_MONTH_ZERO_PLACEHOLDER
 
 NAME = "baseline_dollars"
@@ -67,13 +69,16 @@ def latest_month_baseline(usage: DataFrame, start: date, end: date, account_id=N
                           all_accounts: bool = False, accounts: DataFrame | None = None,
                           placeholder: Decimal = LATEST_MONTH_ZERO_PLACEHOLDER,
                           date_col: str = "usage_date", value: str = "dollars",
-                          key: str = "account_id") -> DataFrame:
+                          key: str = "account_id", months: DataFrame | None = None) -> DataFrame:
     """Total of the latest month with usage in ``start..end`` (0 -> placeholder)."""
     ph = F.lit(Decimal(placeholder))
 
     def settle(total: Column) -> Column:
         return F.when(total.isNull() | (total == 0), ph).otherwise(total)
 
+    if all_accounts and accounts is not None and months is not None:
+        latest = _for_every(accounts, latest_totals(usage, months, accounts, start, end, key), key)
+        return latest.select(key, settle(F.col("_latest")).alias(NAME))
     if all_accounts and accounts is None:
         # Out-of-window rows keep their account (month NULL) so that every
         # account appears; max_by ignores the NULL month.

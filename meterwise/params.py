@@ -95,6 +95,8 @@ class HistoryParams:
     end: date = date(2026, 1, 1)
     min_growth_pct: float | None = None
     limit: int | None = None
+    #: previous calendar month instead of the previous row
+    strict_calendar: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "name_pattern", normalize_pattern(self.name_pattern))

@@ -16,6 +16,7 @@ from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meterwise.operators.baselines import trailing_start
 from meterwise.params import (
@@ -26,7 +27,7 @@ from meterwise.params import (
     UsageParams,
 )
 from meterwise.plans import reports
-from meterwise.plans.facts import Facts, read_facts, write_facts
+from meterwise.plans.facts import FactPaths, Facts, read_facts, refresh_facts, write_facts
 from meterwise.sources.adapters import account_monthly, dollars_by_part, usage_lines
 from meterwise.sources.tables import SourceTables
 
@@ -40,6 +41,7 @@ FORECAST = ForecastPeriodParams("%", date(2000, 1, 1), date(2001, 6, 1))
 FORECAST_TOP = ForecastPeriodParams("%", date(2000, 1, 1), date(2001, 6, 1), 100)
 USAGE_ONE = UsageParams("42", date(1996, 1, 1), date(2000, 12, 31))
 USAGE_TOP = UsageParams(None, date(1996, 1, 1), date(2000, 12, 31), 200)
+HISTORY_STRICT = HistoryParams("%", date(1996, 1, 1), date(2000, 12, 31), strict_calendar=True)
 USAGE_ALL = UsageParams(None, date(1996, 1, 1), date(2000, 12, 31))
 # Account 9 has usage in November and December 2000 at every scale of the test
 # tables; no account is called -1.
@@ -55,6 +57,11 @@ SCENARIO_COMPOUND = ScenarioParams("42", date(2000, 12, 31), date(2001, 1, 1), d
                                    RATES, history_start=date(1996, 1, 1))
 SCENARIO_COMPOUND_ALL = ScenarioParams(None, date(2000, 12, 31), date(2001, 1, 15), date(2006, 12, 1),
                                        RATES, history_start=date(1996, 1, 1))
+SCENARIO_OWN_GROWTH = ScenarioParams(None, date(2000, 12, 31), date(2001, 1, 1), date(2006, 12, 1),
+                                     RATES, history_start=date(1996, 1, 1))
+# Facts are first written without the orders from this day on (their lines
+# too), then the months that these change are refreshed.
+REFRESH_FROM = date(2000, 7, 1)
 YEAR_BUCKET_START = date(1998, 1, 15)
 
 BASE_COLUMNS = ("account_id", "usage_date", "dollars")
@@ -63,8 +70,8 @@ MONTHLY, USAGE = "account_monthly", "usage_lines"
 
 @dataclass(frozen=True)
 class Registered:
-    """``build`` runs the report on its fact; with ``every`` it also takes the
-    account list of written facts."""
+    """``build`` runs the report on its fact; on written facts, it also takes
+    the account list and the month totals (``every``), or the names (``named``)."""
 
     fact: str
     build: Callable[..., DataFrame]
@@ -74,6 +81,7 @@ class Registered:
     account_id: str | None = None
     name_pattern: str = "%"
     every: bool = False
+    named: bool = False
     tables_only: Callable[[SourceTables], DataFrame] | None = None
 
     def on_tables(self, spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +95,9 @@ class Registered:
 
     def on_facts(self, facts: Facts) -> DataFrame:
         fact = facts.monthly if self.fact == MONTHLY else facts.usage
-        return self.build(fact, facts.accounts) if self.every else self.build(fact)
+        if self.every:
+            return self.build(fact, facts.accounts, facts.months)
+        return self.build(fact, facts.names) if self.named else self.build(fact)
 
 
 def _trailing_dates(end: date) -> tuple[date, date]:
@@ -95,13 +105,13 @@ def _trailing_dates(end: date) -> tuple[date, date]:
 
 
 def _history(p: HistoryParams) -> Registered:
-    return Registered(MONTHLY, lambda f: reports.history_report(f, p), months=(p.start, p.end),
-                      name_pattern=p.name_pattern)
+    return Registered(MONTHLY, lambda f, names=None: reports.history_report(f, p, names), months=(p.start, p.end),
+                      name_pattern=p.name_pattern, named=True)
 
 
 def _forecast(p: ForecastPeriodParams) -> Registered:
-    return Registered(MONTHLY, lambda f: reports.forecast_period_report(f, p), months=(p.start, p.end),
-                      name_pattern=p.name_pattern)
+    return Registered(MONTHLY, lambda f, names=None: reports.forecast_period_report(f, p, names),
+                      months=(p.start, p.end), name_pattern=p.name_pattern, named=True)
 
 
 def _usage(p: UsageParams) -> Registered:
@@ -130,7 +140,8 @@ def _flat_one(p: ScenarioParams) -> Registered:
 
 
 def _for_every(build: Callable[..., DataFrame]) -> Registered:
-    return Registered(USAGE, lambda f, accounts=None: build(f, accounts), columns=BASE_COLUMNS, every=True)
+    return Registered(USAGE, lambda f, accounts=None, months=None: build(f, accounts, months), columns=BASE_COLUMNS,
+                      every=True)
 
 
 def _served(key: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -141,11 +152,32 @@ def _served(key: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def refreshed(spark: SparkSession, folder: str) -> FactPaths:
+    """Facts written before the orders from ``REFRESH_FROM`` on came in, then
+    refreshed by the months that these orders and their lines fall into."""
+    tables = SourceTables(spark, folder)
+    late = F.col("o_orderdate") >= F.lit(REFRESH_FROM)
+    early = SourceTables(spark, folder).with_table("orders", tables("orders").where(~late))
+    paths = write_facts(spark, early)
+    new = tables("lineitem").join(tables("orders").where(late).select("o_orderkey"),
+                                  F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    shipped = new.agg(F.min("l_shipdate").cast("date").alias("a"), F.max("l_shipdate").cast("date").alias("b")).first()
+    ordered = tables("orders").where(late).agg(F.max("o_orderdate").cast("date").alias("b")).first()
+    return refresh_facts(spark, tables, paths, monthly=(REFRESH_FROM, ordered["b"] or REFRESH_FROM),
+                         usage=(shipped["a"] or REFRESH_FROM, shipped["b"] or REFRESH_FROM))
+
+
+def _refreshed(key: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The report on facts that were written early and refreshed since."""
+    return lambda spark, folder: REGISTERED[key].on_facts(read_facts(spark, refreshed(spark, folder)))
+
+
 REGISTERED: dict[str, Registered] = {
     "history_mom": _history(HISTORY_ALL),
     "history_mom_min_growth": _history(HISTORY_MIN_GROWTH),
     "history_name_pattern": _history(HISTORY_PATTERN),
     "history_top": _history(HISTORY_TOP),
+    "history_strict_calendar": _history(HISTORY_STRICT),
     "forecast_period": _forecast(FORECAST),
     "forecast_period_top": _forecast(FORECAST_TOP),
     "usage_report": _usage(USAGE_ONE),
@@ -157,28 +189,34 @@ REGISTERED: dict[str, Registered] = {
                               columns=BASE_COLUMNS),
     "baseline_trailing": _baseline_one(BASELINE_TRAILING),
     "baseline_trailing_none": _baseline_one(BASELINE_TRAILING_NONE),
-    "baseline_trailing_all": _for_every(lambda f, a: reports.baseline_report(f, BASELINE_TRAILING_ALL, a)),
-    "baseline_latest_month": _for_every(lambda f, a: reports.baseline_report(f, BASELINE_LATEST_ALL, a)),
+    "baseline_trailing_all": _for_every(lambda f, a, m: reports.baseline_report(f, BASELINE_TRAILING_ALL, a)),
+    "baseline_latest_month": _for_every(lambda f, a, m: reports.baseline_report(f, BASELINE_LATEST_ALL, a, m)),
     "scenario_flat": _flat_one(SCENARIO_FLAT),
     "scenario_flat_none": _flat_one(SCENARIO_FLAT_NONE),
     "scenario_flat_all": _for_every(
-        lambda f, a: reports.scenario_report(f, SCENARIO_FLAT_ALL, "flat", accounts=a)),
+        lambda f, a, m: reports.scenario_report(f, SCENARIO_FLAT_ALL, "flat", accounts=a)),
     "scenario_compound": Registered(
         USAGE, lambda f: reports.scenario_report(f, SCENARIO_COMPOUND, "compound"),
         dates=(SCENARIO_COMPOUND.history_start, SCENARIO_COMPOUND.history_end), columns=BASE_COLUMNS,
         account_id=SCENARIO_COMPOUND.account_id),
     "scenario_compound_all": _for_every(
-        lambda f, a: reports.scenario_report(f, SCENARIO_COMPOUND_ALL, "compound", accounts=a)),
-    "projected_by_month": _for_every(lambda f, a: reports.projected_totals(f, SCENARIO_FLAT_ALL, "flat", a)),
+        lambda f, a, m: reports.scenario_report(f, SCENARIO_COMPOUND_ALL, "compound", accounts=a, months=m)),
+    "scenario_compound_own_growth": _for_every(
+        lambda f, a, m: reports.own_growth_scenario(f, SCENARIO_OWN_GROWTH, "compound", a, m)),
+    "projected_by_month": _for_every(lambda f, a, m: reports.projected_totals(f, SCENARIO_FLAT_ALL, "flat", a)),
     "projected_by_month_compound": _for_every(
-        lambda f, a: reports.projected_totals(f, SCENARIO_COMPOUND_ALL, "compound", a)),
+        lambda f, a, m: reports.projected_totals(f, SCENARIO_COMPOUND_ALL, "compound", a, m)),
 }
 
 # The same reports on written and bound facts: one key per table.
 SERVED = {"served_history_mom": "history_mom", "served_baseline_latest_month": "baseline_latest_month",
-          "served_usage_by_month": "usage_by_month"}
+          "served_usage_by_month": "usage_by_month", "served_history_name_pattern": "history_name_pattern",
+          "served_scenario_compound_own_growth": "scenario_compound_own_growth"}
+# On facts of which some months were refreshed.
+REFRESHED = {"refreshed_history_mom": "history_mom", "refreshed_baseline_latest_month": "baseline_latest_month"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{key: reg.on_tables for key, reg in REGISTERED.items()},
     **{key: _served(of) for key, of in SERVED.items()},
+    **{key: _refreshed(of) for key, of in REFRESHED.items()},
 }

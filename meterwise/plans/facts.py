@@ -21,56 +21,94 @@ Layout, chosen for the reports' predicates:
   account ranges that do not overlap, so one account opens one of them, and
   the hash lets an account that holds a large share of a month split over
   several files. Only identical lines cannot be split.
-* accounts, the distinct account ids of the usage lines, so that reports on
-  every account read the window and this narrow list instead of all lines.
+* months, the total of each account and month with usage, partitioned by
+  ``month``: the latest-month baseline reads it from the newest month back.
+* accounts, the accounts of the usage lines with their first and last month, so
+  that reports on every account read the window and this narrow list instead
+  of all lines.
+* names, each (account, name) of fact A once, where name patterns are resolved.
+
+The joins behind a fact run once: their rows are staged unsorted, and the range
+partitioning, which samples its input before it sorts it, reads two narrow
+columns of files for that.
 
 Every call writes to a folder of its own, so two jobs never replace each
-other's tables; a given ``root`` must not hold facts yet.
+other's tables; a given ``root`` must not hold facts yet. ``refresh_facts``
+rebuilds only some months: it writes their folders to a new version folder and
+returns paths that put them in place of the older ones. Readers of the older
+paths see no change, and a job that is run again overwrites just the month
+folders it wrote (dynamic partition overwrite). ``compact_facts`` folds the
+versions into one.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.functions.dates import month_start
+from meterwise.functions.dates import first_month_after, month_start
+from meterwise.operators.latest_month import month_totals
+from meterwise.operators.names import distinct_names
 from meterwise.session import checkpoint_dir
 from meterwise.sources.adapters import account_monthly, usage_lines
+from meterwise.sources.staging import staged
 from meterwise.sources.tables import SourceTables, read_account_monthly, read_usage_lines
 
 
+@dataclass(frozen=True)
+class Refresh:
+    """A version folder that replaces the months ``first..last`` (first days)
+    of each fact; None where it leaves a fact as it was."""
+
+    root: str
+    monthly: tuple[date, date] | None
+    usage: tuple[date, date] | None
+
+
 @dataclass(frozen=True)
 class FactPaths:
     account_monthly: str
     usage_lines: str
     accounts: str
+    months: str
+    names: str
+    #: newest last
+    refreshes: tuple[Refresh, ...] = ()
 
 
 @dataclass(frozen=True)
 class Facts:
-    """The two facts and the account list, bound to the fixed schemas."""
+    """The two facts, bound to the fixed schemas, and the narrow tables beside
+    them: accounts, totals by account and month, names."""
 
     monthly: DataFrame
     usage: DataFrame
     accounts: DataFrame
+    months: DataFrame
+    names: DataFrame
 
 
 def fact_paths(spark: SparkSession, root: str | None = None) -> FactPaths:
     """Paths under ``root``, or under a new folder of the shared folder."""
     base = (root or f"{checkpoint_dir(spark).rstrip('/')}/meterwise-facts-{uuid.uuid4().hex}").rstrip("/")
-    return FactPaths(f"{base}/account_monthly", f"{base}/usage_lines", f"{base}/accounts")
+    return FactPaths(*[f"{base}/{name}" for name in ("account_monthly", "usage_lines", "accounts", "months", "names")])
 
 
-def write_account_monthly(df: DataFrame, path: str) -> str:
-    (df.repartitionByRange("month", "account_id")
-       .sortWithinPartitions("month", "account_id")
-       .write.partitionBy("month").parquet(path))
+def _write_months(df: DataFrame, path: str, month: str) -> str:
+    """One folder per month; a job that is run again replaces its own folders."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
     return path
 
 
+def write_account_monthly(df: DataFrame, path: str) -> str:
+    return _write_months(staged(df, "account-monthly").repartitionByRange("month", "account_id")
+                         .sortWithinPartitions("month", "account_id"), path, "month")
+
+
 def write_account_monthly_table(df: DataFrame, table: str, buckets: int, path: str) -> str:
     """Fact A as a catalog table bucketed by ``account_id`` (and partitioned
     by ``month``), so the history window reads it with no shuffle: a bucketed
@@ -92,16 +130,28 @@ def write_account_monthly_table(df: DataFrame, table: str, buckets: int, path: s
 
 def write_usage_lines(df: DataFrame, path: str) -> str:
     rest = [c for c in df.columns if c != "account_id"]
-    (df.withColumn("usage_month", month_start(F.col("usage_date")))
-       .withColumn("_spread", F.xxhash64(*rest))
-       .repartitionByRange("usage_month", "account_id", "_spread")
-       .sortWithinPartitions("usage_month", "account_id", "_spread").drop("_spread")
-       .write.partitionBy("usage_month").parquet(path))
+    lines = staged(df.withColumn("usage_month", month_start(F.col("usage_date")))
+                   .withColumn("_spread", F.xxhash64(*rest)), "usage-lines")
+    return _write_months(lines.repartitionByRange("usage_month", "account_id", "_spread")
+                         .sortWithinPartitions("usage_month", "account_id", "_spread").drop("_spread"),
+                         path, "usage_month")
+
+
+def write_months(usage: DataFrame, path: str) -> str:
+    """Totals by account and month; range-partitioned like fact A, so that a
+    month folder holds few files."""
+    return _write_months(staged(month_totals(usage), "months").repartitionByRange("month", "account_id")
+                         .sortWithinPartitions("month", "account_id"), path, "month")
+
+
+def write_accounts(months: DataFrame, path: str) -> str:
+    months.groupBy("account_id").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month")
+                                     ).write.parquet(path)
     return path
 
 
-def write_accounts(usage: DataFrame, path: str) -> str:
-    usage.select("account_id").distinct().write.parquet(path)
+def write_names(monthly: DataFrame, path: str) -> str:
+    distinct_names(monthly).write.parquet(path)
     return path
 
 
@@ -121,11 +171,98 @@ def write_facts(spark: SparkSession, tables: SourceTables, root: str | None = No
     else:
         write_account_monthly(account_monthly(tables), paths.account_monthly)
     write_usage_lines(usage_lines(tables), paths.usage_lines)
-    write_accounts(read_usage_lines(spark, paths.usage_lines), paths.accounts)
+    write_names(read_account_monthly(spark, paths.account_monthly), paths.names)
+    write_months(read_usage_lines(spark, paths.usage_lines), paths.months)
+    write_accounts(_months(spark, paths.months), paths.accounts)
     return paths
 
 
+def _months(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("account_id string, total decimal(28,4), lines long, month date").parquet(path)
+
+
+def _month_of(d: date) -> date:
+    return date(d.year, d.month, 1)
+
+
+def _current(versions: list[tuple[DataFrame, tuple[date, date] | None]], month: str) -> DataFrame:
+    """The base and its refreshes (with the months each replaces), newest
+    last, as one table: every version without the months that a later one
+    replaces. The conditions are on the partition column, so replaced folders
+    are never listed for reading."""
+    parts, hidden = [], []
+    for df, replaced in reversed(versions):
+        for first, last in hidden:
+            df = df.where((F.col(month) < F.lit(first)) | (F.col(month) > F.lit(last)))
+        parts.append(df)
+        if replaced is not None:
+            hidden.append(replaced)
+    out = parts[-1]
+    for df in reversed(parts[:-1]):
+        out = out.unionByName(df)
+    return out
+
+
+def _monthly_now(spark: SparkSession, paths: FactPaths) -> DataFrame:
+    return _current([(read_account_monthly(spark, paths.account_monthly), None)] + [
+        (read_account_monthly(spark, fact_paths(spark, r.root).account_monthly, like=paths.account_monthly), r.monthly)
+        for r in paths.refreshes if r.monthly], "month")
+
+
+def _months_now(spark: SparkSession, paths: FactPaths) -> DataFrame:
+    return _current([(_months(spark, paths.months), None)] + [
+        (_months(spark, fact_paths(spark, r.root).months), r.usage) for r in paths.refreshes if r.usage], "month")
+
+
 def read_facts(spark: SparkSession, paths: FactPaths) -> Facts:
-    return Facts(read_account_monthly(spark, paths.account_monthly),
-                 read_usage_lines(spark, paths.usage_lines),
-                 spark.read.parquet(paths.accounts))
+    usage = _current([(read_usage_lines(spark, paths.usage_lines), None)] + [
+        (read_usage_lines(spark, fact_paths(spark, r.root).usage_lines, like=paths.usage_lines), r.usage)
+        for r in paths.refreshes if r.usage], "usage_month")
+    return Facts(_monthly_now(spark, paths), usage, spark.read.parquet(paths.accounts), _months_now(spark, paths),
+                 spark.read.parquet(paths.names))
+
+
+def refresh_facts(spark: SparkSession, tables: SourceTables, paths: FactPaths,
+                  monthly: tuple[date, date] | None = None, usage: tuple[date, date] | None = None,
+                  root: str | None = None) -> FactPaths:
+    """Rebuild the months ``monthly`` (first day of the first and last month)
+    of fact A and ``usage`` of the usage lines from ``tables``, and nothing
+    else: the sources are read for these months only, through the same pushed
+    range as a report's. The totals of the refreshed usage months follow; the
+    account list and the names, both narrow, are written anew from the totals
+    and from the old names with the new months' (a name that no month holds any
+    more does no harm: the pattern also applies to the facts). ``root`` is the
+    version folder; give the same one to run a failed refresh again."""
+    if monthly is None and usage is None:
+        raise ValueError("name the months to refresh")
+    whole = lambda span: None if span is None else (_month_of(span[0]), _month_of(span[1]))
+    monthly, usage = whole(monthly), whole(usage)
+    new = fact_paths(spark, root)
+    base = new.accounts.rsplit("/", 1)[0]
+    if monthly:
+        write_account_monthly(account_monthly(tables, months=monthly), new.account_monthly)
+    if usage:
+        last = date.fromordinal(first_month_after(usage[1]).toordinal() - 1)
+        write_usage_lines(usage_lines(tables, dates=(usage[0], last)), new.usage_lines)
+        write_months(read_usage_lines(spark, new.usage_lines, like=paths.usage_lines), new.months)
+    out = FactPaths(paths.account_monthly, paths.usage_lines, paths.accounts, paths.months, paths.names,
+                    (*paths.refreshes, Refresh(base, monthly, usage)))
+    accounts, names = f"{base}/accounts-{uuid.uuid4().hex}", f"{base}/names-{uuid.uuid4().hex}"
+    write_accounts(_months_now(spark, out), accounts)
+    old = spark.read.parquet(paths.names)
+    if monthly:
+        old = old.unionByName(distinct_names(
+            read_account_monthly(spark, new.account_monthly, like=paths.account_monthly)))
+    write_names(old, names)
+    return FactPaths(out.account_monthly, out.usage_lines, accounts, out.months, names, out.refreshes)
+
+
+def compact_facts(spark: SparkSession, paths: FactPaths, root: str | None = None) -> FactPaths:
+    """The current facts written as one version, without the source joins."""
+    now, new = read_facts(spark, paths), fact_paths(spark, root)
+    write_account_monthly(now.monthly, new.account_monthly)
+    write_usage_lines(now.usage.drop("usage_month"), new.usage_lines)
+    write_names(_monthly_now(spark, new), new.names)
+    write_months(read_usage_lines(spark, new.usage_lines), new.months)
+    write_accounts(_months(spark, new.months), new.accounts)
+    return new

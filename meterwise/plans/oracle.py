@@ -55,6 +55,20 @@ FACT_A_MONEY = ", ".join(_cents(c) for c in ("baseline", "model_forecast", "subm
 HISTORY_ORDER = "account_name NULLS FIRST, month DESC NULLS LAST, account_id NULLS FIRST"
 
 
+HISTORY_STRICT = f"""WITH {FACT_A},
+shown AS (SELECT * FROM fact_a WHERE account_name IS NOT NULL AND month BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
+paired AS (
+  SELECT cur.*, before.amount AS prev_amount,
+         IF(before.amount > 0, 100 * (CAST(cur.amount - before.amount AS DOUBLE) / CAST(before.amount AS DOUBLE)),
+            NULL) AS pct
+  FROM shown cur LEFT JOIN shown before
+  ON before.account_id = cur.account_id AND cur.month = before.month + INTERVAL 1 MONTH
+)
+SELECT account_name, month, {_cents('amount')}, {_cents('prev_amount')}, ROUND(pct, 2) AS mom_growth_pct,
+       {FACT_A_MONEY}, unit, sub_unit
+FROM paired WHERE amount > 0"""
+
+
 def _history(pattern: str, min_growth: float | None, limit: int | None) -> str:
     """P1 over 1996-2000. R3: the predecessor is the account's previous row in
     range, whatever its month; R4: it may be a row that is not shown."""
@@ -189,6 +203,44 @@ SELECT month, CAST(SUM(dollars) AS DOUBLE) AS projected_usage_dollars
 FROM projected WHERE month BETWEEN DATE '{start}' AND DATE '{end}' GROUP BY month"""
 
 
+# Rates of an account from its own totals of 1997 to 2000, oldest first: hundredths
+# of a percent, half up, from 10,000ths of a dollar; 5 % where there is nothing to
+# grow from, and no rate outside -100..500 %. A factor is rounded to eight digits a year.
+def _rate(year: int) -> str:
+    return f"""CASE WHEN y{year - 1} <= 0 THEN 500 WHEN y{year} >= 6 * y{year - 1} THEN 50000
+       ELSE (20000 * greatest(y{year}, 0) + y{year - 1}) // (2 * y{year - 1}) - 10000 END"""
+
+
+def _year_total(year: int) -> str:
+    return f"CAST(10000 * COALESCE(SUM(dollars) FILTER (year(usage_date) = {year}), 0) AS HUGEINT) AS y{year}"
+
+
+_CARRIED = "CAST(0.05 AS DECIMAL(7,2))"
+_STEP = "CAST(list_reduce(list_prepend(CAST(1 AS DECIMAL(18,8)), {}), lambda f, g: CAST(f * g AS DECIMAL(18,8))) AS DECIMAL(18,8))"
+
+
+def _own_growth(base: str, end_year: int) -> str:
+    """Compound rule with each account's own three rates, for six years."""
+    rates = ", ".join(_rate(y) for y in range(end_year - 2, end_year + 1))
+    totals = ", ".join(_year_total(y) for y in range(end_year - 3, end_year + 1))
+    return f"""WITH {FACT_B},
+{base},
+totals AS (SELECT account_id, {totals} FROM fact_b
+           WHERE usage_date BETWEEN DATE '{end_year - 3}-01-01' AND DATE '{end_year}-12-31' GROUP BY account_id),
+rated AS (SELECT account_id, [{rates}] AS bp FROM totals),
+given AS (SELECT base.account_id, total, list_transform(COALESCE(bp, [500, 1000, 2000]),
+                 lambda r: CAST(CAST(r AS DECIMAL(12,0)) / 100 AS DECIMAL(7,2))) AS g
+          FROM base LEFT JOIN rated ON rated.account_id = base.account_id),
+factors AS (SELECT account_id, total, y, g[least(y, 3)] AS rate, {_STEP.format(
+        "list_transform(list_concat((g || [5::DECIMAL(7,2), 5::DECIMAL(7,2)])[1:y - 1], [g[least(y, 3)]]), "
+        "lambda r: CAST(1 + r / 100 AS DECIMAL(18,8)))")} AS factor
+            FROM given, range(1, 7) t(y))
+SELECT account_id, CAST(DATE '{end_year + 1}-01-01' + to_months(CAST(12 * (y - 1) + k AS INTEGER)) AS DATE) AS month,
+       'Yr' || CAST(y AS VARCHAR) AS year_bucket, CAST(rate AS DOUBLE) AS organic_growth_pct,
+       CAST(ROUND(CAST(total AS DECIMAL(19,4)) * factor, 2) AS DOUBLE) AS projected_usage_dollars
+FROM factors, range(12) u(k)"""
+
+
 FLAT_MONTHS = ("2001-01-01", "2003-12-01")
 COMPOUND_MONTHS = ("2001-01-01", "2006-12-01")
 MID_MONTH = ("2001-01-15", "2006-12-01")
@@ -198,6 +250,7 @@ ORACLE_SQL: dict[str, str] = {
     "history_mom_min_growth": _history("%", 5, None),
     "history_name_pattern": _history("%customer#0000000%", 5, None),
     "history_top": _history("%", None, 500),
+    "history_strict_calendar": HISTORY_STRICT,
     "forecast_period": _forecast_period(None),
     "forecast_period_top": _forecast_period(100),
     "usage_report": _usage_report("42", None),
@@ -215,9 +268,14 @@ ORACLE_SQL: dict[str, str] = {
     "scenario_flat_all": _scenario(_trailing(None, 1), FLAT_YEARS, *FLAT_MONTHS, every=True),
     "scenario_compound": _scenario(_latest("42"), COMPOUND_YEARS, *COMPOUND_MONTHS, every=False),
     "scenario_compound_all": _scenario(_latest(None), COMPOUND_YEARS, *MID_MONTH, every=True),
+    "scenario_compound_own_growth": _own_growth(_latest(None), 2000),
     "projected_by_month": _scenario_totals(_trailing(None, 1), FLAT_YEARS, *FLAT_MONTHS),
     "projected_by_month_compound": _scenario_totals(_latest(None), COMPOUND_YEARS, *MID_MONTH),
 }
 ORACLE_SQL |= {"served_history_mom": ORACLE_SQL["history_mom"],
                "served_baseline_latest_month": ORACLE_SQL["baseline_latest_month"],
-               "served_usage_by_month": ORACLE_SQL["usage_by_month"]}
+               "served_usage_by_month": ORACLE_SQL["usage_by_month"],
+               "served_history_name_pattern": ORACLE_SQL["history_name_pattern"],
+               "served_scenario_compound_own_growth": ORACLE_SQL["scenario_compound_own_growth"],
+               "refreshed_history_mom": ORACLE_SQL["history_mom"],
+               "refreshed_baseline_latest_month": ORACLE_SQL["baseline_latest_month"]}

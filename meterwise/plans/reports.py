@@ -20,10 +20,11 @@ from meterwise.operators.filters import (
     for_account,
     in_date_range,
     keep_growth_at_least,
-    name_matches,
     positive_amount,
 )
-from meterwise.operators.scenarios import compound_scenario, flat_scenario
+from meterwise.operators.growth_rates import account_growth_rates
+from meterwise.operators.names import accounts_named
+from meterwise.operators.scenarios import compound_scenario, flat_scenario, with_account_rates
 from meterwise.operators.spine import account_month_spine
 from meterwise.operators.topk import top_rows
 from meterwise.operators.totals import totals_by
@@ -41,18 +42,20 @@ from meterwise.params import (
 MONEY_A = ("baseline", "model_forecast", "submitted_forecast")
 
 
-def history_report(account_monthly: DataFrame, p: HistoryParams) -> DataFrame:
+def history_report(account_monthly: DataFrame, p: HistoryParams, names: DataFrame | None = None) -> DataFrame:
     """Monthly history with month-over-month growth.
 
     Order matters: name and date filters run before the previous-row window
     (the first month in range has no predecessor), ``amount > 0`` and the
     growth threshold run after it on the unrounded values (a hidden zero
-    month is still its successor's predecessor).
+    month is still its successor's predecessor). ``p.strict_calendar`` compares
+    with the previous calendar month instead of the previous row. ``names`` is
+    the name dimension of written facts.
     """
     scoped = (account_monthly
-              .transform(name_matches, p.name_pattern)
+              .transform(accounts_named, names, p.name_pattern)
               .transform(in_date_range, p.start, p.end, "month"))
-    shown = (with_previous_amount(scoped)
+    shown = (with_previous_amount(scoped, strict_calendar=p.strict_calendar)
              .transform(positive_amount)
              .transform(keep_growth_at_least, p.min_growth_pct))
     out = shown.select(
@@ -68,10 +71,11 @@ def history_report(account_monthly: DataFrame, p: HistoryParams) -> DataFrame:
     return top.drop("account_id")
 
 
-def forecast_period_report(account_monthly: DataFrame, p: ForecastPeriodParams) -> DataFrame:
+def forecast_period_report(account_monthly: DataFrame, p: ForecastPeriodParams,
+                           names: DataFrame | None = None) -> DataFrame:
     """Actual versus baseline and the two forecasts (no ``amount > 0``)."""
     scoped = (account_monthly
-              .transform(name_matches, p.name_pattern)
+              .transform(accounts_named, names, p.name_pattern)
               .transform(in_date_range, p.start, p.end, "month"))
     out = scoped.select(
         "account_id", "account_name", "month",
@@ -129,38 +133,44 @@ def sku_totals(dollars: DataFrame) -> DataFrame:
     return totals_by(dollars, F.col("sku_name"), "dollars", "dollars").withColumn("dollars", round_money("dollars"))
 
 
-def baseline_report(usage_lines: DataFrame, p: BaselineParams,
-                    accounts: DataFrame | None = None) -> DataFrame:
+def baseline_report(usage_lines: DataFrame, p: BaselineParams, accounts: DataFrame | None = None,
+                    months: DataFrame | None = None) -> DataFrame:
     """``(baseline_dollars)`` for one account, or
     ``(account_id, baseline_dollars)`` per account when ``p.account_id`` is
-    None. With an account list (``accounts``) only the window is read."""
+    None. With an account list (``accounts``) only the window is read; with a
+    month summary too (``months``) the latest-month form stops at the month
+    that settles the last account."""
     every = p.account_id is None
     if p.mode == "trailing":
         out = trailing_baseline(usage_lines, p.end, p.default, p.account_id, every, accounts)
     else:
-        out = latest_month_baseline(usage_lines, p.start, p.end, p.account_id, every, accounts)
+        out = latest_month_baseline(usage_lines, p.start, p.end, p.account_id, every, accounts, months=months)
     return out.withColumn("baseline_dollars", F.col("baseline_dollars").cast("double"))
 
 
-def _projection(usage_lines: DataFrame, p: ScenarioParams, rule: str,
-                accounts: DataFrame | None) -> DataFrame:
+def _projection(usage_lines: DataFrame, p: ScenarioParams, rule: str, accounts: DataFrame | None,
+                months: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
     """Baseline(s) plus the projected months; money still exact decimal."""
     every = p.account_id is None
+    if rates is not None and not every:
+        raise ValueError("rates of accounts need the all-accounts form")
+    rated = (lambda base: base) if rates is None else (lambda base: with_account_rates(base, rates, p.growth_pct))
     if rule == "flat":
         base = trailing_baseline(usage_lines, p.history_end, SCENARIO_DEFAULT_BASELINE,
                                  p.account_id, every, accounts)
-        return flat_scenario(base, p)
+        return flat_scenario(rated(base), p)
     if rule == "compound":
         if p.history_start is None:
             raise ValueError("the compound rule needs history_start for its baseline")
         base = latest_month_baseline(usage_lines, p.history_start, p.history_end,
-                                     p.account_id, every, accounts)
-        return compound_scenario(base, p)
+                                     p.account_id, every, accounts, months=months)
+        return compound_scenario(rated(base), p)
     raise ValueError(f"rule must be 'flat' or 'compound', got {rule!r}")
 
 
 def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat",
-                    ordered: bool | None = None, accounts: DataFrame | None = None) -> DataFrame:
+                    ordered: bool | None = None, accounts: DataFrame | None = None,
+                    months: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
     """P5: projected usage by forecast month.
 
     ``rule="flat"`` projects from the trailing baseline (default 1);
@@ -168,11 +178,12 @@ def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat
     ``history_start..history_end``. With ``p.account_id=None`` every account
     is projected in one pass and ``account_id`` leads the output.
     ``ordered`` sorts by month (default: only for a single account, whose
-    output is small).
+    output is small). ``rates`` (account_id, growth_pct) gives accounts yearly
+    rates of their own, the others keep those of ``p``.
     """
     every = p.account_id is None
     keys = ["account_id"] if every else []
-    out = _projection(usage_lines, p, rule, accounts).select(
+    out = _projection(usage_lines, p, rule, accounts, months, rates).select(
         *keys, "month", "year_bucket",
         round_money("organic_growth_pct").alias("organic_growth_pct"),
         F.col("projected_usage_dollars").cast("double").alias("projected_usage_dollars"),
@@ -182,11 +193,20 @@ def scenario_report(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat
     return out.orderBy(*keys, "month") if ordered else out
 
 
+def own_growth_scenario(usage_lines: DataFrame, p: ScenarioParams, rule: str = "compound",
+                        accounts: DataFrame | None = None, months: DataFrame | None = None) -> DataFrame:
+    """P5 for every account with the growth rates of its own last three
+    calendar years up to ``p.history_end``'s, oldest first, within the bounds
+    of the rate parameters (``p.growth_pct`` where an account has no usage)."""
+    rates = account_growth_rates(usage_lines, p.history_end.year)
+    return scenario_report(usage_lines, p, rule, accounts=accounts, months=months, rates=rates)
+
+
 def projected_totals(usage_lines: DataFrame, p: ScenarioParams, rule: str = "flat",
-                     accounts: DataFrame | None = None) -> DataFrame:
+                     accounts: DataFrame | None = None, months: DataFrame | None = None) -> DataFrame:
     """Projected dollars per forecast month, summed over the accounts
     (exact sum of the rounded per-account projections)."""
-    totals = totals_by(_projection(usage_lines, p, rule, accounts), F.col("month"),
+    totals = totals_by(_projection(usage_lines, p, rule, accounts, months), F.col("month"),
                        "projected_usage_dollars", "projected_usage_dollars")
     return totals.withColumn("projected_usage_dollars", F.col("projected_usage_dollars").cast("double"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from meterwise import schemas
+from meterwise.operators.windows import with_grain_checked
 
 
 # Schemas of the test tables the adapters read. Declaring them skips the
@@ -70,6 +71,12 @@ def qualified_name(*parts: str) -> str:
     return ".".join("`" + p.strip().replace("`", "``") + "`" for p in parts)
 
 
+def load_like(spark: SparkSession, source: str, model: str) -> DataFrame:
+    """The Parquet folder ``source`` with the schema of ``model``, so that a
+    folder without any file is an empty table."""
+    return spark.read.schema(_load(spark, model).schema).parquet(source)
+
+
 def _load(spark: SparkSession, source: str) -> DataFrame:
     if not source.startswith("`") and ("/" in source or source.endswith(".parquet")):
         return spark.read.parquet(source)
@@ -77,23 +84,30 @@ def _load(spark: SparkSession, source: str) -> DataFrame:
 
 
 def read_account_monthly(spark: SparkSession, source: str,
-                         mapping: Mapping[str, str] | None = None) -> DataFrame:
+                         mapping: Mapping[str, str] | None = None, check_grain: bool = False,
+                         like: str | None = None) -> DataFrame:
     """Fact A by table name or Parquet path.
 
     ``mapping`` maps neutral names to source columns; pass
     ``schemas.ACCOUNT_MONTHLY_SOURCE_COLUMNS`` for the production layout.
+    Two rows of one account and month fail every report with a previous-month
+    window; ``check_grain`` fails any use of the table that reads
+    ``account_id``, at the price of a shuffle. ``like`` names a table whose
+    schema this path has.
     """
-    return schemas.bind(_load(spark, source), schemas.ACCOUNT_MONTHLY, mapping,
+    raw = _load(spark, source) if like is None else load_like(spark, source, like)
+    fact = schemas.bind(raw, schemas.ACCOUNT_MONTHLY, mapping,
                         keep_account_type=True)
+    return with_grain_checked(fact) if check_grain else fact
 
 
-def read_usage_lines(spark: SparkSession, source: str,
-                     mapping: Mapping[str, str] | None = None) -> DataFrame:
+def read_usage_lines(spark: SparkSession, source: str, mapping: Mapping[str, str] | None = None,
+                     like: str | None = None) -> DataFrame:
     """Fact B by table name or Parquet path (see ``read_account_monthly``).
 
     A ``usage_month`` partition column, when present, is kept so that date
     filters can prune month folders.
     """
-    raw = _load(spark, source)
+    raw = _load(spark, source) if like is None else load_like(spark, source, like)
     extra = {schemas.USAGE_MONTH: T.DateType()} if schemas.USAGE_MONTH in raw.columns else None
     return schemas.bind(raw, schemas.USAGE_LINES, mapping, extra=extra)

@@ -1,0 +1,108 @@
+"""Growth rates as data: folded factors and rates from an account's own history."""
+
+from datetime import date
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from meterwise.functions.growth import compound_factor, flat_factor, rate_of_year
+from meterwise.operators.growth_rates import account_growth_rates, growth_rate
+from meterwise.operators.scenarios import with_account_rates
+from meterwise.params import ScenarioParams
+from meterwise.plans import reports
+from tests.frames import m, usage_lines
+
+RATES = (Decimal(5), Decimal(10), Decimal(20))
+rate = st.decimals(-100, 500, places=2)
+
+
+def params(**kw):
+    return ScenarioParams(None, m(2024, 12, 31), m(2025, 1), m(2032, 12), RATES, history_start=m(2020, 1), **kw)
+
+
+def rounded(x, places):
+    return x.quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.tuples(rate, rate, rate), st.integers(1, 9))
+def test_folds_equal_the_rules(spark, rates, yr):
+    """Flat: rates up to the year. Compound: earlier years' own rates, 5 %
+    beyond the third, then the year's own rate."""
+    def product(parts):
+        f = Decimal(1)
+        for r in parts:
+            f = rounded(f * (1 + r / 100), 8)
+        return f
+
+    own = [rates[min(k, 3) - 1] for k in range(1, yr + 1)]
+    earlier = [rates[k - 1] if k <= 3 else Decimal(5) for k in range(1, yr)]
+    c = F.array(*[F.lit(r) for r in rates]).cast("array<decimal(7,2)>")
+    got = spark.range(1).select(rate_of_year(c, F.lit(yr)).alias("r"), flat_factor(c, F.lit(yr)).alias("flat"),
+                                compound_factor(c, F.lit(yr), Decimal(5)).alias("compound")).first()
+    assert got["r"] == own[-1]
+    assert got["flat"] == product(rates[:yr])
+    assert got["compound"] == product([*earlier, own[-1]])
+
+
+@pytest.mark.parametrize("rule", ["flat", "compound"])
+def test_equal_rates_in_a_column_give_the_parameter_form(spark, rule):
+    usage = usage_lines(spark, [("a", m(2024, 12, 3), "1234.5"), ("b", m(2024, 11, 3), "0.07"), ("c", m(2021, 1, 1), 3)])
+    rates = spark.createDataFrame([("a", list(RATES)), ("b", None)], "account_id string, growth_pct array<decimal(7,2)>")
+    plain = reports.scenario_report(usage, params(), rule)
+    own = reports.scenario_report(usage, params(), rule, rates=rates)
+    assert plain.count() == 3 * 96
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_every_account_has_its_own_rates(spark):
+    usage = usage_lines(spark, [("a", m(2024, 12, 3), 100), ("b", m(2024, 12, 3), 100)])
+    rates = spark.createDataFrame([("a", [Decimal(0)] * 3), ("b", [Decimal(100), Decimal(-100), Decimal(500)])],
+                                  "account_id string, growth_pct array<decimal(7,2)>")
+    got = {(r["account_id"], r["year_bucket"]): (r["organic_growth_pct"], r["projected_usage_dollars"])
+           for r in reports.scenario_report(usage, params(), "compound", rates=rates).collect()}
+    assert all(v == (0.0, 100.0) for (a, y), v in got.items() if a == "a" and y <= "Yr3")
+    assert got["b", "Yr1"] == (100.0, 200.0) and got["b", "Yr2"] == (-100.0, 0.0) and got["b", "Yr3"] == (500.0, 0.0)
+    assert got["a", "Yr6"] == (0.0, 110.25)  # years four and five carry 5 %
+
+
+def test_rates_out_of_bounds_fail(spark):
+    base = spark.createDataFrame([("a", Decimal(1))], "account_id string, baseline_dollars decimal(38,4)")
+    for bad in ([Decimal(501)] * 3, [Decimal(-101)] * 3, [Decimal(5)] * 2, [Decimal(5), None, Decimal(5)]):
+        rates = spark.createDataFrame([("a", bad)], "account_id string, growth_pct array<decimal(7,2)>")
+        with pytest.raises(Exception, match="growth rates out of bounds"):
+            with_account_rates(base, rates, RATES).collect()
+    usage = usage_lines(spark, [("a", m(2024, 12, 3), 1)])
+    one = ScenarioParams("a", m(2024, 12, 31), m(2025, 1), m(2025, 12), RATES)
+    with pytest.raises(ValueError):
+        reports.scenario_report(usage, one, "flat", rates=rates)
+
+
+money = st.decimals(-50, 5000, places=4)
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.one_of(st.none(), money), st.one_of(st.none(), money))
+def test_rate_is_exact_half_up_in_bounds(spark, before, after):
+    got = spark.createDataFrame([(before, after)], "b decimal(28,4), a decimal(28,4)").select(
+        growth_rate(F.col("b"), F.col("a")).alias("g")).first()["g"]
+    if before is None or before <= 0:
+        want = Decimal(5)
+    else:
+        share = max(after or Decimal(0), Decimal(0)) * 10000 / before
+        want = min((share + Decimal("0.5")).to_integral_value("ROUND_FLOOR") / 100 - 100, Decimal(500))
+    assert got == want
+
+
+def test_rates_from_history(spark):
+    usage = usage_lines(spark, [
+        ("a", m(2021, 5), 100), ("a", m(2022, 5), 60), ("a", m(2022, 6), 60), ("a", m(2023, 1), 90), ("a", m(2024, 1), 9999),
+        ("b", m(2024, 2), 10), ("c", m(2020, 12, 31), 10), ("d", m(2021, 1), 10), ("a", m(2025, 1), 7)])
+    got = {r[0]: [float(x) for x in r[1]] for r in account_growth_rates(usage, 2024).collect()}
+    assert got == {"a": [20.0, -25.0, 500.0], "b": [5.0, 5.0, 5.0], "d": [-100.0, 5.0, 5.0]}
+    shown = reports.own_growth_scenario(usage, params())
+    first = {r["account_id"]: r["organic_growth_pct"] for r in shown.where(F.col("month") == F.lit(date(2025, 1, 1))).collect()}
+    assert first == {"a": 20.0, "b": 5.0, "c": 5.0, "d": -100.0}

@@ -174,3 +174,38 @@ def test_compound_rule_needs_history_start(spark):
         scenario_report(usage, p, "compound")
     with pytest.raises(ValueError):
         scenario_report(usage, p, "linear")
+
+
+def test_an_empty_report_leaves_no_file(spark):
+    out = tempfile.mkdtemp()
+    some = spark.range(3).selectExpr("id AS x")
+    for fmt in ("csv", "parquet", "json"):
+        path = os.path.join(out, fmt)
+        assert write_report(some.limit(0), path, fmt) is None
+        assert os.listdir(out) == []
+    path = os.path.join(out, "kept")
+    assert write_report(some, path, "parquet") == path
+    assert write_report(some.limit(0), path, "parquet", overwrite=True) is None
+    assert spark.read.parquet(path).count() == 3  # what was there stays
+    assert write_report(some.limit(0), path + "2", single_file_rows=5) is None
+    assert os.listdir(out) == ["kept"]
+
+
+def test_the_emptiness_of_a_report_needs_no_second_scan(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = os.path.join(tempfile.mkdtemp(), "r")
+    write_report(spark.range(100).mapInArrow(count, "id long"), path, "csv")
+    assert seen.value == 100
+
+
+def test_a_failed_report_leaves_no_target(spark):
+    path = os.path.join(tempfile.mkdtemp(), "r")
+    with pytest.raises(Exception):
+        write_report(spark.range(3).selectExpr("raise_error('no') AS x"), path, "csv")
+    assert not os.path.exists(path)
