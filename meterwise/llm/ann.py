@@ -20,6 +20,10 @@ components take no part, as query or candidate. Only vectors of one dimension
 meet. Rows with a null id take no part. Of rows that share an id, one stays
 (the smallest vector). Ties go to the smaller id; fewer candidates than k give
 all of them. An empty table gives an empty result; extra columns are ignored.
+Any magnitude is searched alike: a vector is scaled by the power of two that
+brings its largest component below one, which changes no digit, estimates and
+bounds are relative to the longest vector of the block, and a product beyond the
+range of doubles is infinite (ties of infinities go to the smaller id).
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterwise.llm.scratch import materialize
 
 NEAREST = 20
 BOUND = 3.0
-CANDIDATES, QUERIES = 8_192, 2_048
+CANDIDATES, QUERIES = 16_384, 16_384
 SEED = 5
 
 
@@ -43,8 +47,16 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of ``x`` divided by a power of two, so that its largest
+    component is at least a half and below one, and the exponents."""
+    exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+    return np.ldexp(x, -exponent[:, None]), exponent
+
+
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed bits, norm, correction scalar) of each row of ``x``."""
+    """(packed bits, norm, correction scalar) of each row of ``x``, whose rows
+    are scaled."""
     norm = np.linalg.norm(x, axis=1)
     turned = (x / norm[:, None]) @ rotation(x.shape[1])
     bits = turned > 0
@@ -62,7 +74,7 @@ def _encode(batches):
         code, norm, scalar = [b""] * n, np.zeros(n), np.zeros(n)
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
-            bits, norm[own], scalar[own] = encode(flat[at[own][:, None] + np.arange(d)])
+            bits, norm[own], scalar[own] = encode(scaled(flat[at[own][:, None] + np.arange(d)])[0])
             for i, row in zip(own, bits, strict=True):
                 code[i] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
@@ -72,27 +84,32 @@ def _encode(batches):
 
 def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray,
                      code: np.ndarray, norm: np.ndarray, scalar: np.ndarray, k: int):
-    """The best k of one block for each query: lists of (query, ids, scores)."""
+    """The best k of one block for each query: lists of (query, ids, scores).
+    ``norm`` is that of the scaled rows of ``x``."""
     dim = x.shape[1]
+    x, exponent = scaled(x)
+    queries, query_exponent = scaled(queries)
+    # lengths relative to the block's longest vector; queries count as unit vectors
+    norm = np.ldexp(norm, exponent - exponent.max(initial=0))
     signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries @ rotation(dim)).astype(np.float32)
-    length = np.linalg.norm(queries, axis=1)
-    factor = (norm / (scalar * np.sqrt(dim))).astype(np.float32)
-    spread = (BOUND * norm * np.sqrt(np.maximum(1 - scalar**2, 0) / max(dim - 1, 1)) / scalar + 1e-6 * norm
-              ).astype(np.float32)
+    units = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    turned = (units @ rotation(dim)).astype(np.float32)
+    factor = norm / (scalar * np.sqrt(dim))
+    spread = BOUND * norm * np.sqrt(np.maximum(1 - scalar**2, 0) / max(dim - 1, 1)) / scalar + 1e-6 * norm
     for a in range(0, len(queries), 256):
         estimate = (turned[a:a + 256] @ signs.T) * factor
         for i, est in enumerate(estimate, a):
-            err = spread * np.float32(length[i])
-            low = est - err
+            low = est - spread
             own = ids == query_ids[i]
             low[own] = -np.inf
-            if len(ids) > k:
+            # where products may be infinite their order is that of the ids: all are scored
+            if len(ids) > k and query_exponent[i] + exponent.max() < 1000:
                 floor = np.partition(low, len(ids) - k)[len(ids) - k]
-                pick = np.flatnonzero((est + err >= floor) & ~own)
+                pick = np.flatnonzero((est + spread >= floor) & ~own)
             else:
                 pick = np.flatnonzero(~own)
-            score = x[pick] @ queries[i]
+            with np.errstate(over="ignore"):  # beyond the range of doubles: infinite
+                score = np.ldexp(x[pick] @ queries[i], exponent[pick] + query_exponent[i])
             best = np.lexsort((ids[pick], -score))[:k]
             yield query_ids[i], ids[pick][best], score[best]
 
@@ -139,7 +156,6 @@ def search(vectors: DataFrame, queries: Column, k: int = NEAREST, id_col: str =
     q = asked.select("*", block(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
     met = (q.groupBy("dim", "qb", "cb").cogroup(cands.groupBy("dim", "qb", "cb"))
            .applyInPandas(_search(k), "query_id long, vec_id long, score double"))
-    best = met.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct((-F.col("score")).alias("down"), "vec_id", "score"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    # a rank limit: k rows of a query leave a task, and are merged without a list over all blocks
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

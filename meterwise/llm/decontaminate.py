@@ -130,17 +130,24 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                     items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
+def _fresh_keys(docs: DataFrame) -> list[str]:
+    """Names of a text's two hashes in ``docs`` and in a table that it meets."""
+    out = []
+    for name in ("k1", "k2", "f1", "f2"):
+        out.append(fresh(name, [*docs.columns, *out]))
+    return out
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", bench_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold an occurrence of a window."""
     hit = window_hits(docs, bench, id_col, text_col, item_col, bench_text_col, window)
+    c1, c2, f1, f2 = _fresh_keys(docs)
     bad = broadcast_if_small(materialize(hit.select(
-        F.col("k1").alias("f1"), F.col("k2").alias("f2")).distinct(), "contaminated"))
-    c1 = fresh("k1", docs.columns)
-    c2 = fresh("k2", [*docs.columns, c1])
+        F.col("k1").alias(f1), F.col("k2").alias(f2)).distinct(), "contaminated"))
     h1, h2 = _key(F.col(text_col), "k")
     return (docs.withColumn(c1, h1).withColumn(c2, h2)
-            .join(bad, (F.col(c1) == F.col("f1")) & (F.col(c2) == F.col("f2")), "left_anti").drop(c1, c2))
+            .join(bad, (F.col(c1) == F.col(f1)) & (F.col(c2) == F.col(f2)), "left_anti").drop(c1, c2))
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -148,15 +155,13 @@ def cut_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` with the hit words, and the characters between two hit words
     that follow each other, cut out of the text; other text is unchanged."""
     per = _per_document(window_hits(docs, bench, id_col, text_col, item_col, bench_text_col, window))
-    spans = materialize(per.groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(
-        F.max("spans").alias("hit_spans")), "spans")
-    c1 = fresh("k1", docs.columns)
-    c2 = fresh("k2", [*docs.columns, c1])
-    cs = fresh("hit_spans", [*docs.columns, c1, c2])
+    c1, c2, f1, f2 = _fresh_keys(docs)
+    cs = fresh("hit_spans", [*docs.columns, c1, c2, f1, f2])
+    spans = materialize(per.groupBy(F.col("k1").alias(f1), F.col("k2").alias(f2)).agg(
+        F.max("spans").alias(cs)), "spans")
     h1, h2 = _key(F.col(text_col), "k")
     j = (docs.withColumn(c1, h1).withColumn(c2, h2)
-         .join(spans.withColumnRenamed("hit_spans", cs),
-               (F.col(c1) == F.col("f1")) & (F.col(c2) == F.col("f2")), "left").drop("f1", "f2"))
+         .join(spans, (F.col(c1) == F.col(f1)) & (F.col(c2) == F.col(f2)), "left").drop(f1, f2))
     text = F.col(text_col)
     words = F.array_remove(F.split(text, NOT_RAW_WORD), "")
     gaps = F.split(text, RAW_WORD, -1)

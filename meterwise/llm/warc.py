@@ -9,12 +9,13 @@ the line separator between two records is an empty gzip member, which leaves
 the file a plain multi-member gzip.
 
 Reader (salvage): each archive is walked member by member. A record counts if
-its gzip member ends with the right checksum, its version line and headers
-parse, its block is as long as stated and matches the block digest. After a
-failed check the reader searches for the next place where a member or, in
-plain files, a version line starts and goes on there; the bytes passed over are
-logged as a quarantined gap with the reason. Nothing after damage is lost but
-the damaged record.
+its version line and headers parse, its block is as long as stated and matches
+the block digest, which it must have, with an id, where its gzip member is damaged. After a
+failed check the reader searches for the next version line within the member
+and, behind it, for the next place where a member or, in plain files, a version
+line starts, and goes on there; the bytes are logged as a quarantined gap with the
+reason. What precedes the damage within a member is inflated and read; what
+follows it in the same deflate stream cannot be, and nothing else is lost.
 
 Archives hold a bounded number of records, chosen from the mean payload, so
 that one archive fits a task.
@@ -106,18 +107,41 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int] | str:
     return {"head": head, "block": block}, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(inflated bytes, end of the member, ""), or what came out of a damaged
+    member before the damage, its start and what is wrong."""
     z = zlib.decompressobj(31)
-    out, pos = [], at
-    try:
-        while not z.eof and pos < len(data):
-            out.append(z.decompress(data[pos:pos + 65536]))
-            pos += 65536
-    except zlib.error:
-        return "gzip member is damaged"
+    out, pos, step = [], at, 65536
+    while not z.eof and pos < len(data):
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[pos:pos + step]))
+        except zlib.error:
+            if step > 1:  # feed the same bytes one by one, for what precedes the damage
+                z, step = before, 1
+                continue
+            return b"".join(out), at, "gzip member is damaged"
+        pos += step
     if not z.eof:
-        return "gzip member is cut off"
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+        return b"".join(out), at, "gzip member is cut off"
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), ""
+
+
+def _records(raw: bytes) -> tuple[list[dict], str]:
+    """The records of inflated ``raw``, going on at the next version line
+    after a bad one, and the first fault ("" if there is none)."""
+    good, fault, pos = [], "", 0
+    while pos < len(raw):
+        got = parse(raw, pos)
+        if isinstance(got, str):
+            fault = fault or got
+            pos = raw.find(b"WARC/1.", pos + 1)
+            if pos < 0:
+                break
+        else:
+            good.append(got[0])
+            pos = got[1]
+    return good, fault
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -128,25 +152,20 @@ def _next_start(data: bytes, at: int) -> int:
 
 def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
     """(record, start, end, reason) in file order; record is None for a
-    quarantined gap."""
+    quarantined gap. A member that holds a bad record gives its other records,
+    then a gap over the member, whose bytes cannot be told apart; a member that
+    breaks off gives the whole records before the break, and the gap lasts to
+    the next start of a record."""
     at, gap, why = 0, None, ""
     while at < len(data):
         good: list[dict] = []
         reason, end = "", at
         if data[at:at + 3] == MAGIC:
-            inflated = _inflate(data, at)
-            if isinstance(inflated, str):
-                reason = inflated
-            else:
-                raw, end = inflated
-                pos = 0
-                while pos < len(raw) and not reason:
-                    got = parse(raw, pos)
-                    if isinstance(got, str):
-                        reason = got
-                    else:
-                        good.append(got[0])
-                        pos = got[1]
+            raw, end, broken = _inflate(data, at)
+            good, fault = _records(raw)
+            reason = broken or fault
+            if broken:  # without a checksum, a record must prove itself
+                good = [r for r in good if r["head"].keys() >= {"warc-block-digest", "warc-record-id"}]
         else:
             got = parse(data, at)
             if isinstance(got, str):
@@ -162,7 +181,7 @@ def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
         if reason:
             if gap is None:
                 gap, why = at, reason
-            at = end if good else _next_start(data, at + 1)
+            at = end if end > at else _next_start(data, at + 1)
         else:
             at = end
     if gap is not None:

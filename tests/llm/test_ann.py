@@ -72,3 +72,28 @@ def test_error_bound_holds():
     bound = ann.BOUND * norm * np.sqrt(1 - scalar**2) / scalar / np.sqrt(63)
     assert (error <= bound).mean() > 0.995
     assert code.shape == (2000, 8)
+
+
+def same_as_exact(frame, rows, k=5):
+    got = found(ann.search(frame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=k))
+    x = {i: np.array(v) for i, v in rows}
+    power = {i: np.frexp(np.abs(v).max())[1] for i, v in x.items()}
+    part = {i: np.ldexp(v, -power[i]) for i, v in x.items()}
+    for q in (i for i in x if i % 20 == 0):
+        with np.errstate(over="ignore"):
+            s = sorted((-float(np.ldexp(part[q] @ part[i], power[q] + power[i])), i) for i in x if i != q)[:k]
+        assert [i for _, i, _ in got[q]] == [i for _, i in s], q
+        assert np.allclose([sc for _, _, sc in got[q]], [-m for m, _ in s], rtol=1e-12, atol=0), q
+
+
+def test_any_magnitude_is_searched(frame, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATES", 60)
+    for scale in (1e25, 1e-30, 1e39, 1e200, 1e-200):
+        same_as_exact(frame, [(i, [a * scale for a in v]) for i, v in vectors(3, 200, 16)])
+
+
+def test_vectors_of_mixed_magnitude(frame):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(a) for a in rng.normal(size=16) * s]) for i, s in
+            enumerate(rng.choice([1.0, 1e-3, 1e39, 1e-60, 1e150], 300, p=[0.6, 0.2, 0.05, 0.1, 0.05]))]
+    same_as_exact(frame, rows)

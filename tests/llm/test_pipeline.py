@@ -19,6 +19,13 @@ DOCS = [(1, LOW, "en", "a", 5), (2, LOW.lower() + " mu", "en", "a", 5), (3, None
 BENCH = [(1, "he said " + LOW + " and went"), (2, None), (3, "x y z")]
 PAGES = [(1, "u", "a"), (2, None, "a"), (3, "u", None), (3, "u", None), (None, "u", "a")]
 
+TURNS = [(c, t, r, x) for c in (1, 2, 3, None) for t, r, x in (
+    (0, "system", "Be brief."), (1, "user", "Hi."), (2, "assistant", "Yes?"), (4, "user", "cut of"), (5, None, None),
+    (6, "assistant", "Yes?"), (7, "tool", " Odd. "), (None, "user", "No turn."), (9, "", "No role!"), (7, "tool", " Odd. "))]
+VECTORS = [(i, [0.1 * (i % 7), 0.3, -0.2 * (i % 3), 0.05 * (i % 11)], i % 3) for i in range(120)] + [
+    (500, None, 1), (501, [1.0, None, 0.0, 0.0], 1), (502, [float("nan"), 0.0, 0.0, 0.0], 1), (None, [1.0, 0.0, 0.0, 0.0], 1),
+    (550, [0.2, 0.2, 0.2, 0.2], None), (600, [0.0, 0.0, 0.0, 0.0], 2)]
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -27,6 +34,10 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(DOCS, columns).coalesce(1).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(BENCH, "item_id long, text string").coalesce(1).write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1).write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(
+        f"{d}/conversations.parquet")
+    spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(
+        f"{d}/embeddings.parquet")
     return d
 
 
@@ -39,7 +50,7 @@ def rows(cur):
 @pytest.mark.parametrize("key", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, folder, key):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     df = QUERIES[key](spark, folder)
     names = sorted(df.columns)
@@ -97,5 +108,23 @@ def test_entry_lists_all_operators():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {k.split("_")[0] for k in names if k.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in names if k.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names and os.path.exists("corpus_pipeline.py")
+
+
+def test_columns_that_clash_with_the_stages_own(spark, tmp_path):
+    extra = "k1 string, k2 long, f1 string, f2 long, gone long, hit_spans string, c string"
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "a", 5, "x", 1, "y", 2, 3, "z", "c"), (2, words, "en", "a", 5, "x", 1, "y", 2, 3, "z", "c"),
+            (3, "1 2 3", None, None, 5, "x", 1, "y", 2, 3, "z", "c"), (4, "another text altogether", "en", "b", 5, "x", 1, "y", 2, 3, "z", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    spark.createDataFrame([("i", words)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    for stage, kept in ((corpus_pipeline.language, [1, 2, 4]), (corpus_pipeline.near_dedup, [1, 3, 4]),
+                        (corpus_pipeline.decontaminated, [3, 4])):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and ids(out) == kept
+    from meterwise.llm import decontaminate
+
+    cut = decontaminate.cut_spans(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet")))
+    assert cut.columns == docs.columns and cut.count() == 4

@@ -133,3 +133,45 @@ def test_damaged_archive_on_disk(spark, frame, tmp_path):
     out = warc.read_archives(spark, "file:" + path).collect()
     assert sum(r["reason"] is not None for r in out) >= 1
     assert len({r["page_id"] for r in out if r["reason"] is None}) >= 38
+
+
+def several(n=10):
+    raw = [warc.record(i, f"u{i}", (f"page {i} " * 200).encode(), warc.base32_sha1((f"page {i} " * 200).encode()), None, False)
+           for i in range(n)]
+    return raw, [warc.parse(r)[0]["head"]["warc-record-id"] for r in raw]
+
+
+def ids(records):
+    return [r["head"]["warc-record-id"] for r, *_ in records if r is not None]
+
+
+def test_a_bad_record_in_a_member_loses_only_itself():
+    raw, urns = several()
+    for hurt in (lambda r: r.replace(b"page 3", b"pAge 3", 1), lambda r: r.replace(b"Content-Length", b"Content-Len"),
+                 lambda r: r[:-40], lambda r: b"XXXX" + r[4:]):
+        bad = [*raw[:3], hurt(raw[3]), *raw[4:]]
+        data = warc.member(b"".join(bad)) + warc.member(raw[0])
+        got = list(warc.salvage(data))
+        assert ids(got) == urns[:3] + urns[4:] + urns[:1]
+        gaps = [g[1:] for g in got if g[0] is None]
+        assert len(gaps) == 1 and gaps[0][0] == 0 and gaps[0][2]
+
+
+def test_what_precedes_the_break_of_a_member_is_read():
+    raw, urns = several()
+    whole = warc.member(b"".join(raw))
+    flipped = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]
+    assert ids(warc.salvage(flipped)) == urns  # only the checksum is wrong
+    assert ids(warc.salvage(flipped + warc.member(raw[2]))) == urns + urns[2:3]
+    blocks = [random.Random(i).randbytes(20_000) for i in range(10)]
+    long = [warc.record(i, "u", b, warc.base32_sha1(b), None, False) for i, b in enumerate(blocks)]
+    names = [warc.parse(r)[0]["head"]["warc-record-id"] for r in long]
+    data = warc.member(b"".join(long))
+    for cut in (len(data) - 1, len(data) // 2, len(data) // 10, 30):
+        found_ = ids(warc.salvage(data[:cut]))
+        assert found_ == names[:len(found_)] and len(found_) >= 10 * cut // len(data) - 1
+    broken = bytearray(data)
+    at = len(data) // 2
+    broken[at:at + 400] = b"\xff" * 400
+    got = ids(warc.salvage(bytes(broken) + warc.member(raw[5])))
+    assert got[-1] == urns[5] and got[:4] == names[:4]
