@@ -32,32 +32,39 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """``docs`` less the rows whose text has a hash in ``bad`` (f1, f2)."""
     a = fresh("k1", docs.columns)
     b = fresh("k2", [*docs.columns, a])
+    c = fresh("f1", [*docs.columns, a, b])
+    d = fresh("f2", [*docs.columns, a, b, c])
     return (docs.withColumn(a, F.xxhash64("text")).withColumn(b, F.xxhash64(F.lit(7), "text"))
-            .join(broadcast_if_small(bad), (F.col(a) == F.col("f1")) & (F.col(b) == F.col("f2")), "left_anti")
+            .join(broadcast_if_small(bad.toDF(c, d)), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left_anti")
             .drop(a, b))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate group.
-    Rows without an id have no group and stay."""
-    gone = materialize(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(),
+    Rows without an id have no group and stay; rows that share an id stay or
+    go together."""
+    name = fresh("gone", docs.columns)
+    gone = materialize(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct(),
                        "near-duplicates")
-    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark window."""
+    """Drop documents that hold a benchmark window. A null or empty text holds
+    none; rows with the same text go together; with an empty benchmark all stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that token shares of sources meet the flattest
-    mixture of at most two passes; every document stays at least once."""
+    mixture of at most two passes; every document stays at least once, also
+    those of a null source, which is a source of its own, and empty ones."""
     return mixing.mix(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the shard of each row."""
+    """Add the shard of each row; a null text has no bytes, and rows of one id
+    (null is one) share a shard, however large."""
     return sharding.shard(docs)
 
 
