@@ -23,7 +23,7 @@ all of them. An empty table gives an empty result; extra columns are ignored.
 Any magnitude is searched alike: a vector is scaled by the power of two that
 brings its largest component below one, which changes no digit, estimates and
 bounds are relative to the longest vector of the block, and a product beyond the
-range of doubles is infinite (ties of infinities go to the smaller id).
+range of doubles is infinite, one below it 0 (their ties go to the smaller id).
 """
 
 from __future__ import annotations
@@ -102,14 +102,14 @@ def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray,
             low = est - spread
             own = ids == query_ids[i]
             low[own] = -np.inf
-            # where products may be infinite their order is that of the ids: all are scored
-            if len(ids) > k and query_exponent[i] + exponent.max() < 1000:
+            # products near the ends of the range may be equal (infinite, or 0) where estimates differ: all are scored
+            if len(ids) > k and -900 < query_exponent[i] + exponent.min() and query_exponent[i] + exponent.max() < 1000:
                 floor = np.partition(low, len(ids) - k)[len(ids) - k]
                 pick = np.flatnonzero((est + spread >= floor) & ~own)
             else:
                 pick = np.flatnonzero(~own)
             with np.errstate(over="ignore"):  # beyond the range of doubles: infinite
-                score = np.ldexp(x[pick] @ queries[i], exponent[pick] + query_exponent[i])
+                score = np.ldexp(x[pick] @ queries[i], exponent[pick] + query_exponent[i]) + 0.0
             best = np.lexsort((ids[pick], -score))[:k]
             yield query_ids[i], ids[pick][best], score[best]
 
