@@ -31,15 +31,20 @@ def with_previous_amount(df: DataFrame, value: str = "amount", key: str = "accou
     month, so a partition stays small whatever the skew of the raw usage.
     """
     w = Window.partitionBy(key)
+    held = "_previous"
     if strict_calendar:
         w = w.orderBy(month_ordinal(order))
         twice = F.count(F.lit(1)).over(w.rangeBetween(0, 0)) > 1
-        before = F.max(value).over(w.rangeBetween(-1, -1))
+        seen = F.struct(F.max(value).over(w.rangeBetween(-1, -1)).alias("value"), twice.alias("twice"))
+        df = df.withColumn(held, seen)
+        twice, before = F.col(held)["twice"], F.col(held)["value"]
     else:
-        previous = F.lag(F.struct(order, value), 1).over(w.orderBy(order))
-        twice, before = previous[order] == F.col(order), previous[value]
+        # a column of its own, so that the window is evaluated once
+        df = df.withColumn(held, F.lag(F.struct(order, value), 1).over(w.orderBy(order)))
+        twice, before = F.col(held)[order] == F.col(order), F.col(held)[value]
     prev = F.when(twice, grain_error(key, order)).otherwise(before)
-    return df.withColumn(prev_name, prev).withColumn(pct_name, pct_change(F.col(value), F.col(prev_name)))
+    return (df.withColumn(prev_name, prev).drop(held)
+            .withColumn(pct_name, pct_change(F.col(value), F.col(prev_name))))
 
 
 def with_grain_checked(df: DataFrame, key: str = "account_id", order: str = "month") -> DataFrame:
