@@ -181,13 +181,13 @@ UNION ALL {_span_sql('hex', 3, '[0-9a-f]{32,}', 0, "true")}
   SELECT value, count(*) AS owners
   FROM (SELECT DISTINCT value, coalesce(source, '') AS o, source IS NULL AS u FROM spans) GROUP BY value
 ), judged AS (
-  SELECT r, kind, rank, b, b + n AS e, owners FROM spans JOIN owners USING (value) WHERE rank < 4 OR owners = 1
+  SELECT r, kind, rank, b, b + n AS e, owners FROM spans JOIN owners USING (value) WHERE rank < 4 OR owners < {secrets.WIDE_OWNERS}
 ), digest AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,
          string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 4) AS base_spans,
          string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS all_spans,
-         count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {secrets.WIDE_OWNERS}) AS n_copied
+         count(*) FILTER (owners < {secrets.WIDE_OWNERS}) AS n_live, count(*) FILTER (owners >= {secrets.WIDE_OWNERS}) AS n_copied
   FROM judged GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,

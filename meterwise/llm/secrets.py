@@ -2,13 +2,16 @@
 
 Method: besides the fixed base kinds, every long mixed token is a candidate;
 candidates are hashed and counted over the whole corpus by distinct
-repositories and owners. A candidate that one owner alone holds is live-looking
-and becomes a span; one that many owners share is a copied example. Base spans
-always stay and get the same verdict. Built-in functions only.
+repositories and owners. A candidate that ``WIDE_OWNERS`` owners or more share is a
+copied example; any other is live-looking and becomes a span, so a mirror under
+a second owner hides nothing. However many repositories of few owners hold it,
+it stays live-looking: one owner's leak may be copied within its own site.
+``ownership`` reports both counts. Base spans always stay and get the same
+verdict. Built-in functions only.
 
 Offsets are code points, end exclusive. Splitting a text at a pattern gives
 the gaps between its matches, so running lengths of gaps and matches are the
-offsets; no match is searched for twice.
+offsets.
 
 The table's columns name a repository and an owner per row (for the given
 documents: the document itself, and its ``source``). Only hashes and ids are
@@ -105,7 +108,7 @@ def ownership(spans: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
          repo_col: str | None = None) -> DataFrame:
     """Per document row: doc_id, n_assign, n_access, n_hex, base_spans,
-    all_spans (digest strings), n_live (spans one owner holds), n_copied
+    all_spans (digest strings), n_live (live-looking spans), n_copied
     (spans that ``WIDE_OWNERS`` owners or more share)."""
     spans = materialize(find_spans(docs, id_col, text_col, owner_col, repo_col), "spans")
     known = materialize(ownership(spans), "ownership")
@@ -113,10 +116,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     each = (some.select("doc_id", "k1", "k2", F.explode(F.concat("base", "extra")).alias("s"))
             .select("doc_id", "k1", "k2", "s", "s.h1", "s.h2"))
     judged = (each.join(known, ["h1", "h2"])
-              .where("s.rank < 4 or owners = 1")
+              .where("s.rank < 4 or not copied")
               .groupBy("doc_id", "k1", "k2").agg(
         F.sort_array(F.collect_set("s")).alias("all_spans"),
-        F.count(F.when(F.col("owners") == 1, 1)).alias("n_live"),
+        F.count(F.when(~F.col("copied"), 1)).alias("n_live"),
         F.count(F.when(F.col("copied"), 1)).alias("n_copied")))
     f = materialize(judged.withColumnsRenamed({"doc_id": "fd", "k1": "f1", "k2": "f2"}), "judged")
     j = spans.join(f, F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("k1") == F.col("f1"))

@@ -64,3 +64,12 @@ def test_counts_by_owner_and_repository(frame):
 
 def test_empty_table(frame):
     assert secrets.scan(frame([])).collect() == []
+
+
+def test_a_second_owner_hides_nothing(frame):
+    token = "Zk3xQ9" * 5
+    text = f"see {token} here"
+    two = {r["doc_id"]: r for r in secrets.scan(frame([(1, text, None, "a"), (2, text, None, "b"), (3, text, None, "b")])).collect()}
+    assert all(r["all_spans"] == "owned:4:34" and (r["n_live"], r["n_copied"]) == (1, 0) for r in two.values())
+    three = secrets.scan(frame([(i, text, None, s) for i, s in enumerate(("a", "b", None))])).collect()
+    assert all(r["all_spans"] == "" for r in three)
