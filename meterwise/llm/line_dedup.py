@@ -1,28 +1,20 @@
 """Fuzzy line deduplication.
 
 Method: lines are normalised (lower case, runs of anything but letters and
-digits to one blank, digit runs to ``0``); equal normalised lines collapse. Two
-different lines are linked if their edit similarity, 1 - Levenshtein / longer
-length, is at least ``SIMILARITY``; of each connected group, the occurrence
-with the smallest (doc_id, line) stays. Built-in functions only.
-
-Pairs are tested if they share a bucket key. Every two of the ``RAREST`` first
-distinct words of a line, in one order of all words, are a key, and each word
-of a line of at most three. Lines of up to ``TINY`` characters also have their
-texts without any one or two characters as keys, which finds every pair of such
-lines. The order takes words without many different next words first, by hash,
-then the others by classes of twice as many; any order finds links, this one
-keeps buckets small. Longer lines whose first words share fewer than two are
-missed: by two in a hundred at 0.6 common of all words, one in 150 at 0.67, and
-always if every word differs. Buckets are confirmed through their hub.
-
-``_line_hashes`` (SimHash of a line's distinct words) no longer chooses pairs:
-within three bits it found a quarter of the edit-similar ones. It is made of
-exploded distinct words, seven to a row: full adders count the
-seven hashes bit by bit, and one grouped sum adds the counts. The 63 counts of
-up to ``SPAN`` distinct words sit in nine longs of seven 9-bit lanes each, all compared
-with half the word count at once; lines of more words are summed over their
-spans.
+digits to one blank, digit runs to ``0``); equal normalised lines collapse.
+Every line has a SimHash made of blocks (``line_simhash``); lines with an equal
+block meet (pigeonhole), those whose whole SimHashes differ in at most
+``DISTANCE`` of 64 bits are tested, and two are linked if their edit
+similarity, 1 - Levenshtein / longer length, is at least ``SIMILARITY``. Of each
+connected group, the occurrence with the smallest (doc_id, line) stays.
+Built-in functions, but for the SimHashes (numpy on Arrow batches; why, is in
+the README).
+
+Lines of up to ``TINY`` characters also meet by their texts without any one or
+two characters, which finds every pair of such lines. Other pairs are missed
+if no block is equal: lines that differ in more features than they have blocks,
+by chance; the README has the measured recall. Buckets are confirmed through
+their hub.
 
 Edge cases: null text has no lines. A line without letters or digits is never
 linked and always stays. Repeated rows of a document are one: each (doc_id,
@@ -33,34 +25,19 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
-from itertools import combinations
-from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.llm import line_simhash
 from meterwise.llm.components import components
 from meterwise.llm.scratch import broadcast_if_small, materialize, materialize_counted, materialize_with
 
-BITS = 63
-#: Bits by which the SimHashes of linked lines may differ: all of them.
-DISTANCE = BITS
+#: Bits by which the SimHashes of tested lines may differ.
+DISTANCE = 20
 SIMILARITY = 0.8
-RAREST = 7
 TINY = 14
-#: Next words up to which a word is in the first class.
-COMMON = 100
-#: Documents, at least, whose words are counted for the order.
-SAMPLE = 20_000
-#: Hash buckets of the table of word classes.
-CLASSES = 1 << 16
-#: Words whose counts fit the lanes; a multiple of seven.
-SPAN = 252
-
-_LANES = sum(1 << 9 * j for j in range(7))
-_SPREAD = sum(1 << 8 * j for j in range(7))
 
 
 def normalise(line: Column) -> Column:
@@ -68,17 +45,14 @@ def normalise(line: Column) -> Column:
     return F.trim(F.regexp_replace(clean, r"\p{N}+", "0"))
 
 
-def _shift(x: Column, n: int) -> Column:
-    return F.call_function("shiftrightunsigned", x, F.lit(n))
-
-
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line (0-based), norm, row (a number of the document row); lines
-    that normalise to nothing included."""
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                        F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-            .select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-            .select("doc_id", "line", normalise(F.col("raw")).alias("norm"), "row"))
+    """doc_id, line (0-based), text_hash (of the document), norm; lines that
+    normalise to nothing included."""
+    text = F.col(text_col).cast("string")
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+                        text.alias("text"))
+            .select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+            .select("doc_id", "line", "text_hash", normalise(F.col("raw")).alias("norm")))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,68 +60,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _add(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
-    """Sum and carry of three bits, for all bits of three longs at once."""
-    half = a.bitwiseXOR(b)
-    return half.bitwiseXOR(c), a.bitwiseAND(b).bitwiseOR(half.bitwiseAND(c))
-
-
-def _sums(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """For each span of a line: ``keep``, n_words, n (words of the span) and
-    lanes c0 to c8."""
-    c = F.col
-    words = lines.select(*keep, "norm", F.array_distinct(F.split("norm", " ")).alias("words"))
-    seven = words.select(*keep, F.size("words").alias("n_words"), "words",
-                         F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(7))).alias("at"))
-    keep = [*keep, "n_words", "at"]
-    zero = F.lit(0).cast("long")
-    x = [F.when(c("at") + k < c("n_words"), F.xxhash64(F.get("words", c("at") + k))).otherwise(zero).alias(f"x{k}")
-         for k in range(7)]
-    rows = seven.select(*keep, *x)
-    s, carry = _add(c("x0"), c("x1"), c("x2"))
-    rows = rows.select(*keep, s.alias("s"), carry.alias("c1"), "x3", "x4", "x5", "x6")
-    s, carry = _add(c("s"), c("x3"), c("x4"))
-    rows = rows.select(*keep, s.alias("s"), "c1", carry.alias("c2"), "x5", "x6")
-    s, carry = _add(c("s"), c("x5"), c("x6"))
-    rows = rows.select(*keep, s.alias("ones"), "c1", "c2", carry.alias("c3"))
-    s, carry = _add(c("c1"), c("c2"), c("c3"))
-    rows = rows.select(*keep, "ones", s.alias("twos"), carry.alias("fours"))
-
-    def spread(name: str, i: int) -> Column:
-        return (_shift(c(name), 7 * i).bitwiseAND(F.lit(127)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
-
-    lanes = [F.sum(spread("ones", i) + spread("twos", i) * 2 + spread("fours", i) * 4).alias(f"c{i}")
-             for i in range(BITS // 7)]
-    span = F.floor(c("at") / SPAN).alias("span")
-    n = F.sum(F.least(c("n_words") - c("at"), F.lit(7))).alias("n")
-    return rows.groupBy(*keep[:-1], span).agg(n, *lanes).drop("span")
-
-
-def _line_hashes(lines: DataFrame) -> DataFrame:
-    """doc_id, line, h, chars, sim for every line (chars 0 if it has no words)."""
-    keep = ["doc_id", "line", "h", "chars"]
-    # a row number keeps repeated rows apart: their counts would outgrow the lanes
-    keyed = lines.select("doc_id", "line", F.xxhash64("norm").alias("h"), F.char_length("norm").alias("chars"),
-                         "norm", "row")
-    sums = materialize(_sums(keyed, [*keep, "row"]), "word-sums")
-    names = [f"c{i}" for i in range(BITS // 7)]
-    # adding 255 - n/2 to every lane carries into its ninth bit where a count is above n/2
-    top = (F.lit(255) - F.call_function("shiftright", F.col("n"), F.lit(1))) * F.lit(_LANES)
-    over = [_shift(F.col(i) + F.col("top"), 8).bitwiseAND(F.lit(_LANES)).alias(i) for i in names]
-    flags = sums.where(F.col("n_words") <= SPAN).select(*keep, top.alias("top"), *names).select(*keep, *over)
-    sim = F.lit(0).cast("long")
-    for i, name in enumerate(names):
-        x = functools.reduce(Column.bitwiseOR, [_shift(F.col(name), 8 * j) for j in range(7)])
-        sim = sim.bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(F.lit(127)), F.lit(7 * i)))
-    short = flags.select(*keep, sim.alias("sim"))
-    counts = [F.sum(_shift(F.col(names[b // 7]), 9 * (b % 7)).bitwiseAND(F.lit(511))).alias(f"b{b}") for b in range(BITS)]
-    long = sums.where(F.col("n_words") > SPAN).groupBy(*keep, "row").agg(F.max("n_words").alias("n_words"), *counts)
-    bits = F.array(*[F.when(2 * F.col(f"b{b}") > F.col("n_words"), F.lit(1 << b)).otherwise(F.lit(0).cast("long"))
-                     for b in range(BITS)])
-    return short.union(long.select(*keep, F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-                                   .alias("sim")))
-
-
 def _common(a: Column, b: Column, cut) -> Column:
     """Length of the longest equal ``cut`` (leading or trailing part), found by
     halving steps; at most 2^18 - 1."""
@@ -183,31 +95,6 @@ def similar(a: Column, b: Column) -> Column:
     return _let(two(a, b, most), lambda s: _let(without_start(s), lambda t: _let(without_end(t), near)))
 
 
-def _word_classes(base: DataFrame) -> Column:
-    """Array of the class of every hash bucket of words: 0 up to ``COMMON``
-    different next words, one more for each doubling. Copies of a line add no
-    next words, so the words of a large group of near copies stay rare."""
-    every = max(1, base.count() // SAMPLE)
-    follows = (exploded(base.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), "doc_id", "text")
-               .select(F.explode(_let(F.split("norm", " "), lambda words: F.transform(words, lambda w, i: F.struct(
-                   F.xxhash64(w).alias("w"), F.xxhash64(w, F.get(words, i + 1)).alias("both"))))).alias("x"))
-               .select("x.*").distinct())
-    common = (follows.groupBy("w").agg((F.count(F.lit(1)) * every).alias("n")).where(F.col("n") > COMMON)
-              .groupBy(F.col("w").bitwiseAND(F.lit(CLASSES - 1)).alias("at")).agg(F.max("n").alias("n")))
-    table = ["0"] * CLASSES
-    for r in common.collect():
-        table[r["at"]] = str(min(31, 1 + int(log2(r["n"] / COMMON))))
-    return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>")
-
-
-def _rarest(norm: Column, classes: Column) -> Column:
-    """The first distinct words of a line in the order of all words, as longs."""
-    hashes = F.transform(F.array_distinct(F.split(norm, " ")), lambda w: F.xxhash64(w))
-    placed = F.transform(hashes, lambda h: F.call_function("shiftleft", F.get(
-        classes, h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")).cast("long"), F.lit(58)).bitwiseOR(_shift(h, 6)))
-    return F.slice(F.sort_array(placed), 1, RAREST)
-
-
 def _shortened(norm: Column) -> Column:
     """Hashes of a text without any of as many characters as a pair of up to
     ``TINY`` characters may differ in: one from 4 characters on, two from 8."""
@@ -222,35 +109,44 @@ def _shortened(norm: Column) -> Column:
 
 
 def _lines(base: DataFrame) -> DataFrame:
-    """doc_id, line, h, chars, rarest, tiny (null for longer lines) of every line."""
+    """doc_id, line, text_hash, h, chars, tiny (null for longer lines) and the
+    blocks (key, sim) of every line."""
     n = F.char_length("norm")
-    return materialize(exploded(base, "doc_id", "text").select(
-        "doc_id", "line", F.xxhash64("norm").alias("h"), n.alias("chars"),
-        F.when(n > 0, _rarest(F.col("norm"), _word_classes(base))).alias("rarest"),
-        F.when(n.between(1, TINY), _shortened(F.col("norm"))).alias("tiny")), "lines")
+    lines = exploded(base, "doc_id", "text").select(
+        "doc_id", "line", "text_hash", F.xxhash64("norm").alias("h"), n.alias("chars"),
+        F.when(n.between(1, TINY), _shortened(F.col("norm"))).alias("tiny"), "norm")
+    kept = lines.schema.simpleString()[len("struct<"):-1].rsplit(",norm:", 1)[0]
+    at = len(lines.columns) - 1
+    signed = lines.mapInArrow(lambda batches: line_simhash.with_signatures(batches, at),
+                              f"{kept},{line_simhash.SCHEMA}")
+    return materialize(signed, "lines")
 
 
-def _keys(rarest: Column, tiny: Column) -> Column:
-    """Bucket keys of a line."""
-    at = lambda i: F.get(rarest, F.lit(i))
-    two = [F.when(F.size(rarest) > j, F.xxhash64(at(i), at(j))) for i, j in combinations(range(RAREST), 2)]
-    one = [F.when((F.size(rarest) > i) & (F.size(rarest) <= 3), F.xxhash64(at(i))) for i in range(3)]
-    return F.concat(F.array_compact(F.array(*two, *one)), F.coalesce(tiny, F.array().cast("array<bigint>")))
+def _keys(first: DataFrame) -> DataFrame:
+    """key, id, chars, sim: the bucket keys of every line, with the SimHash of
+    the features that the key is made of (0 for ``tiny`` keys)."""
+    none = F.array().cast("array<struct<key:bigint,sim:bigint>>")
+    tiny = F.transform("tiny", lambda x: F.struct(x.alias("key"), F.lit(0).cast("long").alias("sim")))
+    return (first.select("h", "chars", F.explode(F.concat(F.coalesce("blocks", none), F.coalesce(tiny, none))).alias("k"))
+            .select(F.col("k.key").alias("key"), F.col("h").alias("id"), "chars", F.col("k.sim").alias("sim")))
 
 
-def _near_length(a: str, b: str) -> Column:
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+def _near(a: str, b: str) -> Column:
+    """Whether two ends (chars, sim), named by their prefixes, may be linked."""
+    x, y = f"{a}chars", f"{b}chars"
+    return (F.least(x, y) >= SIMILARITY * F.greatest(x, y)) & (
+        F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= DISTANCE)
 
 
 def _confirmed(pairs: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame:
     """Pairs (a, b) of line ids whose edit similarity suffices. The texts come
     from the first occurrences, so only their documents are read."""
-    end = lambda s: first.select(F.col("h").alias(s), F.col("chars").alias(f"n{s}"))
-    near, n = materialize_counted(pairs.join(end("a"), "a").join(end("b"), "b").where(
-        _near_length("na", "nb")).select("a", "b"), "pairs")
+    near, n = materialize_counted(pairs, "pairs")
     ends = near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(first, "h").groupBy(
-        F.col("at.doc_id").alias("ed")).agg(F.collect_list(F.struct("h", F.col("at.line").alias("line"))).alias("want"))
+        F.col("at.doc_id").alias("ed"), F.col("at.text_hash").alias("et")).agg(
+        F.collect_list(F.struct("h", F.col("at.line").alias("line"))).alias("want"))
     parts = base.join(broadcast_if_small(ends, known=2 * n), F.col("doc_id").cast("long").eqNullSafe(F.col("ed"))
+                      & (F.xxhash64("text") == F.col("et"))
                       ).select(F.split("text", "\n", -1).alias("parts"), F.explode("want").alias("w"))
     text = materialize(
         parts.select("w.h", normalise(F.get("parts", F.col("w.line"))).alias("norm"))
@@ -262,28 +158,30 @@ def _confirmed(pairs: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame
 
 def _groups(first: DataFrame, base: DataFrame) -> DataFrame:
     """(node, component) over all linked lines, whole for the reason given in
-    ``components.confirm_by_hubs``. Here the condition on the pair, the
-    ratio of lengths, stands in the bucket rows."""
-    keys = first.select(F.explode(_keys(F.col("rarest"), F.col("tiny"))).alias("key"), F.col("h").alias("id"), "chars")
+    ``components.confirm_by_hubs``. Here the condition on the pair, the ratio
+    of lengths and the distance of the SimHashes, stands in the bucket rows."""
+    keys = _keys(first)
+    end = F.struct("id", "chars", "sim")
     buckets, seen = materialize_with(
-        keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count(F.lit(1)).alias("size"))
-        .where(F.col("hub") < F.col("far")), "buckets", many=F.count(F.when(F.col("size") > 2, 1)))
-    hubs = buckets.where("size > 2").select("key", "hub").join(
-        first.select(F.col("h").alias("hub"), F.col("chars").alias("hub_chars")), "hub")
+        keys.groupBy("key").agg(F.min(end).alias("hub"), F.max(end).alias("far"), F.count(F.lit(1)).alias("size"))
+        .where(F.col("hub.id") < F.col("far.id")), "buckets", many=F.count(F.when(F.col("size") > 2, 1)))
+    hubs = buckets.where("size > 2").select(
+        "key", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("id", "chars", "sim")])
     members = materialize(
-        keys.join(broadcast_if_small(hubs, known=seen["many"]), "key").where("id <> hub")
-        .select("key", "id", "chars", "hub", _near_length("chars", "hub_chars").alias("close")), "members")
-    tested = materialize(buckets.where("size = 2").select(F.col("far").alias("a"), F.col("hub").alias("b")).union(
-        members.where("close").select("id", "hub")).distinct(), "hub-pairs")
+        keys.join(broadcast_if_small(hubs, known=seen["many"]), "key").where("id <> hub_id")
+        .select("key", "id", "chars", "sim", F.col("hub_id").alias("hub"), _near("", "hub_").alias("close")), "members")
+    tested = materialize(
+        buckets.where("size = 2").where(_near("far.", "hub."))
+        .select(F.col("far.id").alias("a"), F.col("hub.id").alias("b"))
+        .union(members.where("close").select("id", "hub")).distinct(), "hub-pairs")
     label = materialize(components(_confirmed(tested, first, base)), "labels")
     of = lambda end, name: label.select(F.col("node").alias(end), F.col("component").alias(name))
     placed = materialize(
         members.join(of("id", "comp"), "id", "left").join(of("hub", "hub_comp"), "hub", "left")
-        .select("key", "id", "chars", F.coalesce("comp", "id").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")),
-        "placed")
+        .select("key", "id", "chars", "sim", F.coalesce("comp", "id").alias("comp"),
+                F.coalesce("hub_comp", "hub").alias("hub_comp")), "placed")
     x, y = placed.where("comp <> hub_comp").alias("x"), placed.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-                   & _near_length("x.chars", "y.chars"))
+    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y."))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
     more = _confirmed(rest, first, base)
@@ -297,10 +195,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     all_lines = _lines(base)
     seen = all_lines.where("chars > 0")
     # line ids: 64-bit hash of the normalised text
-    first = materialize(
-        seen.groupBy("h").agg(F.min(F.struct("doc_id", "line", "chars", "rarest", "tiny")).alias("at"))
-        .select("h", F.struct("at.doc_id", "at.line").alias("at"), "at.chars", "at.rarest", "at.tiny"),
-        "distinct-lines")
+    at = F.struct("doc_id", "line", "text_hash")
+    own = ["chars", "tiny", "blocks"]  # the same for every occurrence
+    first = materialize(seen.groupBy("h").agg(F.min(F.struct(at.alias("at"), *own)).alias("x")).select("h", "x.*"),
+                        "distinct-lines")
     grouped = first.join(_groups(first, base).withColumnRenamed("node", "h"), "h", "left").select(
         "h", "at", F.coalesce("component", "h").alias("component"))
     grouped = materialize(grouped, "grouped")

@@ -4,10 +4,10 @@ import random
 import re
 
 import regex
-import xxhash
 from pyspark.sql import functions as F
 
 from meterwise.llm import line_dedup as ld
+from meterwise.llm import line_simhash as ls
 
 
 def norm(line):
@@ -15,11 +15,6 @@ def norm(line):
     return re.sub(" +", " ", regex.sub(r"\p{N}+", "0", clean)).strip(" ")
 
 
-def simhash(text):
-    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in set(text.split(" "))]
-    return sum(1 << b for b in range(63) if 2 * sum(w >> b & 1 for w in words) > len(words))
-
-
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -37,7 +32,6 @@ def brute(docs):
             if n:
                 at.setdefault(n, []).append((doc, i))
     lines = sorted(at)
-    sims = {n: simhash(n) for n in lines}
     root = {n: n for n in lines}
 
     def find(n):
@@ -47,8 +41,7 @@ def brute(docs):
 
     for a, x in enumerate(lines):
         for y in lines[a + 1:]:
-            if (sims[x] ^ sims[y]).bit_count() <= ld.DISTANCE and levenshtein(x, y) <= int(
-                    max(len(x), len(y)) * (1 - ld.SIMILARITY) + 1e-9):
+            if levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - ld.SIMILARITY) + 1e-9):
                 root[find(y)] = find(x)
     groups = {}
     for n in lines:
@@ -72,13 +65,16 @@ def corpus(seed):
     return docs
 
 
-def test_groups_equal_brute_force(frame):
+def test_groups_against_brute_force(frame):
+    """Edit similarity alone: no link too many, nine in ten of the joined lines found."""
     docs = corpus(1)
     want = brute(docs)
     got = {(r["doc_id"], r["line"]): (r["group_doc_id"], r["group_line"])
            for r in ld.dedup_lines(frame(docs)).collect()}
-    assert got == want
-    assert len(set(want.values())) < len(want)
+    assert got.keys() == want.keys()
+    assert all(want[o] == want[first] for o, first in got.items())
+    joined = [o for o in want if want[o] != o]
+    assert sum(got[o] == want[o] for o in joined) >= 0.9 * len(joined) > 0
 
 
 def test_edge_cases(frame):
@@ -118,14 +114,68 @@ def test_bounded_distance_equals_the_plain_one(spark):
     assert 0 < len(got) < len(pairs)
 
 
-def test_simhash_of_any_length(frame):
+def mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def majority(hashes):
+    return sum(1 << 63 - b for b in range(64) if 2 * sum(h >> 63 - b & 1 for h in hashes) > len(hashes))
+
+
+def plain_sims(line):
+    """SimHashes of a line's words, runs of three and of two characters."""
+    cut = lambda h, weight: (h >> 26) << 6 | min(weight, 63)
+    words = {cut(mix(sum(mix((ord(c) << 32) + i + 1) for i, c in enumerate(w)) % 2**64), len(w) + 1)
+             for w in line.split(" ")}
+
+    def runs(k):
+        parts = [line[i:i + k] for i in range(max(1, len(line) - k + 1))]
+        return {cut(mix((mix(sum(ord(c) << 21 * i for i, c in enumerate(r))) + 0x9E3779B97F4A7C15) % 2**64), 1)
+                for r in parts}
+
+    sim = lambda features: int.from_bytes(majority(
+        [int.from_bytes(mix(h).to_bytes(8, "little"), "big") for h in features]).to_bytes(8, "big"), "little")
+    few = len(words) < ls.WORDS_UPTO or len(line) < ls.THREE_UPTO or len(line) >= ls.LONG_WORDS * len(words)
+    return ({sim(words)} if len(words) >= ls.WORDS_FROM else set()) | (
+        {sim(runs(3))} if few and len(line) >= ls.THREE_FROM else set()) | (
+        {sim(runs(2))} if len(line) < ls.TWO_UPTO else set())
+
+
+def test_simhash_of_any_length():
     rng = random.Random(2)
-    lines = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(1 + i % 4)) for _ in range(n))
-             for i, n in enumerate((1, 2, 6, 7, 8, 13, 14, 15, 100, 251, 252, 300, 900, 3000, 3001))]
-    docs = [(1, "\n".join(lines)), (1, "\n".join(lines)), (1, "\n".join(lines))]
-    got = ld._line_hashes(ld.exploded(frame(docs), "doc_id", "text")).collect()
-    assert len(got) == 3 * len(lines)
-    assert {(r["line"], r["sim"]) for r in got} == {(i, simhash(x)) for i, x in enumerate(lines)}
+    lines = [" ".join("".join(rng.choice("abcdéfghijklmno買本") for _ in range(1 + i % 4)) for _ in range(n))
+             for i, n in enumerate((1, 2, 6, 9, 10, 13, 14, 15, 16, 17, 100, 300, 3001, 9000))]
+    lines += ["買" * 3 + "本屋" * 200, "買い物に行く" * 60, "", "xy"]
+    of, key, sim = ls.signatures([x.encode() for x in lines])
+    for i, line in enumerate(lines):
+        found = {int(s) for o, s in zip(of, sim, strict=True) if o == i}
+        assert found <= (plain_sims(line) if line else set())
+        assert found or not line
+    one = [ls.signatures([x.encode()]) for x in lines]  # whatever else is in the batch
+    assert sorted(zip(of.tolist(), key.tolist(), sim.tolist(), strict=True)) == sorted(
+        (i, k, s) for i, o in enumerate(one) for k, s in zip(o[1].tolist(), o[2].tolist(), strict=True))
+
+
+def test_typos_in_unspaced_and_short_lines(frame):
+    """A typo meets its line in scripts without blanks, in identifiers, in
+    lines of few words."""
+    pairs = [("internationalization", "internationalizatiom"), ("alpha bravo charlie delta", "alphx bravo charlix deltx"),
+             ("私は昨日の夜に新しい本を買って家でゆっくり読みました", "私は昨日の夜に新しい本を買って家でゆっくり読みまし太")]
+    docs = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    group = {r["doc_id"]: r["group_doc_id"] for r in ld.dedup_lines(frame(docs)).collect()}
+    assert group == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_many_rows_without_an_id(frame):
+    """Texts of a null id are told apart, so each looks for its own lines only."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(3, 9) + str(rng.random()).translate(
+        str.maketrans("0123456789.", "ijklmnopqrs")) for _ in range(14)) for _ in range(30)]
+    docs = [(None, t) for t in texts] + [(i, t + " end") for i, t in enumerate(texts)]
+    got = ld.dedup_lines(frame(docs)).collect()
+    assert {r["group_doc_id"] for r in got if r["doc_id"] is not None} == {None}
 
 
 def test_recall_of_edit_similar_lines(spark, frame):
@@ -151,4 +201,5 @@ def test_recall_of_edit_similar_lines(spark, frame):
     docs = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
     group = {r["doc_id"]: r["group_doc_id"] for r in ld.dedup_lines(frame(docs)).collect()}
     missed = [p for i, p in enumerate(pairs) if group[2 * i] != group[2 * i + 1]]
-    assert len(pairs) > 110 and not missed
+    assert len(pairs) > 110 and len(missed) <= 0.1 * len(pairs), missed
+    assert not [p for p in missed if max(map(len, p)) <= ld.TINY]
