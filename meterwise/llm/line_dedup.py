@@ -7,8 +7,8 @@ block meet (pigeonhole), those whose whole SimHashes differ in at most
 ``DISTANCE`` of 64 bits are tested, and two are linked if their edit
 similarity, 1 - Levenshtein / longer length, is at least ``SIMILARITY``. Of each
 connected group, the occurrence with the smallest (doc_id, line) stays.
-Built-in functions, but for the SimHashes (numpy on Arrow batches; why, is in
-the README).
+Built-in functions, but for the SimHashes and the edit test (numpy and Python on
+Arrow batches; why, is in the README).
 
 Lines of up to ``TINY`` characters also meet by their texts without any one or
 two characters, which finds every pair of such lines. Other pairs are missed
@@ -25,17 +25,15 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm import line_simhash
 from meterwise.llm.components import components
-from meterwise.llm.scratch import broadcast_if_small, materialize, materialize_counted, materialize_with
+from meterwise.llm.scratch import broadcast_if_small, materialize, materialize_counted
 
 #: Bits by which the SimHashes of tested lines may differ.
-DISTANCE = 20
+DISTANCE = 16
 SIMILARITY = 0.8
 TINY = 14
 
@@ -55,46 +53,6 @@ def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select("doc_id", "line", "text_hash", normalise(F.col("raw")).alias("norm")))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _common(a: Column, b: Column, cut) -> Column:
-    """Length of the longest equal ``cut`` (leading or trailing part), found by
-    halving steps; at most 2^18 - 1."""
-    steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
-    return _let(F.least(F.char_length(a), F.char_length(b)), lambda shorter: F.aggregate(
-        F.filter(steps, lambda k: k <= shorter), F.lit(0), lambda n, k: F.when(
-            (n + k <= shorter) & (cut(a, n + k) == cut(b, n + k)), n + k).otherwise(n)))
-
-
-def similar(a: Column, b: Column) -> Column:
-    """Whether the edit similarity of two texts suffices.
-
-    Equal ends do not count towards the distance and are cut off; a bounded
-    distance costs time in proportion to the bound, so bounds grow by eights."""
-    two = lambda x, y, most: F.struct(x.alias("a"), y.alias("b"), most.alias("most"))
-
-    def without_start(s: Column) -> Column:
-        return _let(_common(s["a"], s["b"], lambda t, n: F.substring(t, F.lit(1), n)), lambda n: two(
-            F.substring(s["a"], n + 1, F.char_length(s["a"])), F.substring(s["b"], n + 1, F.char_length(s["b"])),
-            s["most"]))
-
-    def without_end(s: Column) -> Column:
-        return _let(_common(s["a"], s["b"], lambda t, n: F.right(t, n)), lambda n: two(
-            F.substring(s["a"], F.lit(1), F.char_length(s["a"]) - n),
-            F.substring(s["b"], F.lit(1), F.char_length(s["b"]) - n), s["most"]))
-
-    def near(s: Column) -> Column:
-        within = lambda bound: F.call_function("levenshtein", s["a"], s["b"], bound) >= 0
-        small = [F.least(s["most"], F.lit(8 ** k)) for k in range(1, 5)]
-        return F.coalesce(*[F.when(within(bound), True) for bound in small], within(s["most"]))
-
-    most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
-    return _let(two(a, b, most), lambda s: _let(without_start(s), lambda t: _let(without_end(t), near)))
-
-
 def _shortened(norm: Column) -> Column:
     """Hashes of a text without any of as many characters as a pair of up to
     ``TINY`` characters may differ in: one from 4 characters on, two from 8."""
@@ -151,9 +109,9 @@ def _confirmed(pairs: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame
     text = materialize(
         parts.select("w.h", normalise(F.get("parts", F.col("w.line"))).alias("norm"))
         .where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.max("norm").alias("norm")), "texts")
-    return (near.join(text.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a")
-            .join(text.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b")
-            .where(similar(F.col("ta"), F.col("tb"))).select("a", "b"))
+    both = (near.join(text.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a")
+            .join(text.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    return both.mapInArrow(lambda batches: line_simhash.linked(batches, SIMILARITY), "a long, b long")
 
 
 def _groups(first: DataFrame, base: DataFrame) -> DataFrame:
@@ -161,20 +119,17 @@ def _groups(first: DataFrame, base: DataFrame) -> DataFrame:
     ``components.confirm_by_hubs``. Here the condition on the pair, the ratio
     of lengths and the distance of the SimHashes, stands in the bucket rows."""
     keys = _keys(first)
-    end = F.struct("id", "chars", "sim")
-    buckets, seen = materialize_with(
-        keys.groupBy("key").agg(F.min(end).alias("hub"), F.max(end).alias("far"), F.count(F.lit(1)).alias("size"))
-        .where(F.col("hub.id") < F.col("far.id")), "buckets", many=F.count(F.when(F.col("size") > 2, 1)))
-    hubs = buckets.where("size > 2").select(
-        "key", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("id", "chars", "sim")])
+    buckets, n = materialize_counted(
+        keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
+        .select("key", "hub"), "buckets")
+    shared = materialize(keys.join(broadcast_if_small(buckets, known=n), "key"), "shared")
+    hubs = shared.where("id = hub").select("key", F.col("chars").alias("hub_chars"), F.col("sim").alias("hub_sim"))
     members = materialize(
-        keys.join(broadcast_if_small(hubs, known=seen["many"]), "key").where("id <> hub_id")
-        .select("key", "id", "chars", "sim", F.col("hub_id").alias("hub"), _near("", "hub_").alias("close")), "members")
-    tested = materialize(
-        buckets.where("size = 2").where(_near("far.", "hub."))
-        .select(F.col("far.id").alias("a"), F.col("hub.id").alias("b"))
-        .union(members.where("close").select("id", "hub")).distinct(), "hub-pairs")
-    label = materialize(components(_confirmed(tested, first, base)), "labels")
+        shared.where("id <> hub").join(broadcast_if_small(hubs, known=n), "key")
+        .select("key", "id", "chars", "sim", "hub", _near("", "hub_").alias("close")), "members")
+    tested = materialize(members.where("close").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(),
+                         "hub-pairs")
+    label = materialize(components(materialize(_confirmed(tested, first, base), "links")), "labels")
     of = lambda end, name: label.select(F.col("node").alias(end), F.col("component").alias(name))
     placed = materialize(
         members.join(of("id", "comp"), "id", "left").join(of("hub", "hub_comp"), "hub", "left")
@@ -184,7 +139,7 @@ def _groups(first: DataFrame, base: DataFrame) -> DataFrame:
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y."))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
-    more = _confirmed(rest, first, base)
+    more = materialize(_confirmed(rest, first, base), "more-links")
     return components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 

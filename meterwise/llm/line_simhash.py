@@ -186,3 +186,50 @@ def with_signatures(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa
             kept = [batch.column(i).slice(a, b - a) for i in range(text)]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.ListArray.from_arrays(pa.array(offsets), pairs)], [*batch.schema.names[:text], "blocks"])
+
+
+def _equal_start(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def edits_within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance of two texts is at most ``most``, by
+    bit-parallel columns of the distance matrix; equal ends are cut off first."""
+    n = _equal_start(a, b)
+    a, b = a[n:], b[n:]
+    n = _equal_start(a[::-1], b[::-1])
+    a, b = sorted((a[:len(a) - n], b[:len(b) - n]), key=len)
+    if not a or len(b) - len(a) > most:
+        return len(b) <= most
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    mask, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance, left = mask, 0, len(a), len(b)
+    for c in b:
+        same = at.get(c, 0)
+        diagonal = ((same & up) + up ^ up) | same | down
+        right_up, right_down = down | mask & ~(diagonal | up), up & diagonal
+        left -= 1
+        distance += 1 if right_up & last else -1 if right_down & last else 0
+        if distance - left > most:
+            return False
+        right_up = (right_up << 1 | 1) & mask
+        up = (right_down << 1 | ~(diagonal | right_up)) & mask
+        down = right_up & diagonal
+    return distance <= most
+
+
+def linked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, text of a, text of b) those whose edit similarity
+    suffices, as (a, b)."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = x.as_py(), y.as_py()
+            keep.append(edits_within(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
