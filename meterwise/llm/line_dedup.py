@@ -36,6 +36,8 @@ from meterwise.llm.scratch import broadcast_if_small, materialize, materialize_c
 DISTANCE = 16
 SIMILARITY = 0.8
 TINY = 14
+#: Pairs whose texts one task compares.
+PAIRS = 2_048
 
 
 def normalise(line: Column) -> Column:
@@ -67,12 +69,12 @@ def _shortened(norm: Column) -> Column:
 
 
 def _lines(base: DataFrame) -> DataFrame:
-    """doc_id, line, text_hash, h, chars, tiny (null for longer lines) and the
-    blocks (key, sim) of every line."""
+    """doc_id, line, text_hash, h, chars, short (the text of a line of up to
+    ``TINY`` characters, null for longer ones) and the blocks of every line."""
     n = F.char_length("norm")
     lines = exploded(base, "doc_id", "text").select(
         "doc_id", "line", "text_hash", F.xxhash64("norm").alias("h"), n.alias("chars"),
-        F.when(n.between(1, TINY), _shortened(F.col("norm"))).alias("tiny"), "norm")
+        F.when(n.between(1, TINY), F.col("norm")).alias("short"), "norm")
     kept = lines.schema.simpleString()[len("struct<"):-1].rsplit(",norm:", 1)[0]
     at = len(lines.columns) - 1
     signed = lines.mapInArrow(lambda batches: line_simhash.with_signatures(batches, at),
@@ -80,13 +82,16 @@ def _lines(base: DataFrame) -> DataFrame:
     return materialize(signed, "lines")
 
 
-def _keys(first: DataFrame) -> DataFrame:
+def _keys(seen: DataFrame) -> DataFrame:
     """key, id, chars, sim: the bucket keys of every line, with the SimHash of
-    the features that the key is made of (0 for ``tiny`` keys)."""
-    none = F.array().cast("array<struct<key:bigint,sim:bigint>>")
-    tiny = F.transform("tiny", lambda x: F.struct(x.alias("key"), F.lit(0).cast("long").alias("sim")))
-    return (first.select("h", "chars", F.explode(F.concat(F.coalesce("blocks", none), F.coalesce(tiny, none))).alias("k"))
-            .select(F.col("k.key").alias("key"), F.col("h").alias("id"), "chars", F.col("k.sim").alias("sim")))
+    the features that the key is made of (0 for keys of short texts). Lines
+    that occur often give their keys as often, unless they are short."""
+    blocks = (seen.select("h", "chars", F.explode("blocks").alias("x"))
+              .select(F.explode("x.keys").alias("key"), F.col("h").alias("id"), "chars", F.col("x.sim").alias("sim")))
+    short = (seen.where("short is not null").select("h", "chars", "short").distinct()
+             .select(F.explode(_shortened(F.col("short"))).alias("key"), F.col("h").alias("id"), "chars",
+                     F.lit(0).cast("long").alias("sim")))
+    return blocks.union(short)
 
 
 def _near(a: str, b: str) -> Column:
@@ -111,18 +116,20 @@ def _confirmed(pairs: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame
         .where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.max("norm").alias("norm")), "texts")
     both = (near.join(text.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a")
             .join(text.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b").select("a", "b", "ta", "tb"))
-    return both.mapInArrow(lambda batches: line_simhash.linked(batches, SIMILARITY), "a long, b long")
+    spread = both.repartition(max(1, -(-n // PAIRS)), "a", "b")
+    return spread.mapInArrow(lambda batches: line_simhash.linked(batches, SIMILARITY), "a long, b long")
 
 
-def _groups(first: DataFrame, base: DataFrame) -> DataFrame:
+def _groups(seen: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame:
     """(node, component) over all linked lines, whole for the reason given in
     ``components.confirm_by_hubs``. Here the condition on the pair, the ratio
     of lengths and the distance of the SimHashes, stands in the bucket rows."""
-    keys = _keys(first)
+    keys = _keys(seen)
     buckets, n = materialize_counted(
         keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
         .select("key", "hub"), "buckets")
-    shared = materialize(keys.join(broadcast_if_small(buckets, known=n), "key"), "shared")
+    shared = materialize(keys.join(broadcast_if_small(buckets, known=n), "key").groupBy("key", "id").agg(
+        F.max("chars").alias("chars"), F.max("sim").alias("sim"), F.min("hub").alias("hub")), "shared")
     hubs = shared.where("id = hub").select("key", F.col("chars").alias("hub_chars"), F.col("sim").alias("hub_sim"))
     members = materialize(
         shared.where("id <> hub").join(broadcast_if_small(hubs, known=n), "key")
@@ -151,10 +158,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     seen = all_lines.where("chars > 0")
     # line ids: 64-bit hash of the normalised text
     at = F.struct("doc_id", "line", "text_hash")
-    own = ["chars", "tiny", "blocks"]  # the same for every occurrence
-    first = materialize(seen.groupBy("h").agg(F.min(F.struct(at.alias("at"), *own)).alias("x")).select("h", "x.*"),
-                        "distinct-lines")
-    grouped = first.join(_groups(first, base).withColumnRenamed("node", "h"), "h", "left").select(
+    first = materialize(seen.groupBy("h").agg(F.min(at).alias("at")), "distinct-lines")
+    grouped = first.join(_groups(seen, first, base).withColumnRenamed("node", "h"), "h", "left").select(
         "h", "at", F.coalesce("component", "h").alias("component"))
     grouped = materialize(grouped, "grouped")
     best = materialize(grouped.groupBy("component").agg(F.min("at").alias("best")), "group-lines")

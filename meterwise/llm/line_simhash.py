@@ -42,7 +42,8 @@ LONG_WORDS = 16
 CHARS = 17
 SLICE = 1 << 17
 
-SCHEMA = "blocks array<struct<key:long,sim:long>>"
+#: The keys of a line by the SimHash of the features that they are made of.
+SCHEMA = "blocks array<struct<sim:long,keys:array<long>>>"
 
 _U = np.uint64
 #: The bits of a byte as eight counters of one byte.
@@ -179,13 +180,16 @@ def with_signatures(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa
     for batch in batches:
         for a, b, texts in slices(batch, text, SLICE):
             of, key, sim = signatures(texts)
-            order = np.argsort(of, kind="stable")
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=b - a)))).astype(np.int32)
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(key[order].view(np.int64)), pa.array(sim[order].view(np.int64))], ["key", "sim"])
+            order = np.lexsort((key, sim, of))
+            of, key, sim = of[order], key[order], sim[order]
+            head = _starts((of[1:] != of[:-1]) | (sim[1:] != sim[:-1])) if len(of) else np.zeros(0, np.int64)
+            ends = np.append(head, len(of)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))
+            groups = pa.StructArray.from_arrays([pa.array(sim[head].view(np.int64)), keys], ["sim", "keys"])
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(of[head], minlength=b - a)))).astype(np.int32)
             kept = [batch.column(i).slice(a, b - a) for i in range(text)]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.ListArray.from_arrays(pa.array(offsets), pairs)], [*batch.schema.names[:text], "blocks"])
+                [*kept, pa.ListArray.from_arrays(pa.array(offsets), groups)], [*batch.schema.names[:text], "blocks"])
 
 
 def _equal_start(a: str, b: str) -> int:
@@ -198,7 +202,11 @@ def _equal_start(a: str, b: str) -> int:
 
 def edits_within(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance of two texts is at most ``most``, by
-    bit-parallel columns of the distance matrix; equal ends are cut off first."""
+    bit-parallel columns of the distance matrix; equal ends are cut off first.
+
+    A path that crosses column j at row i pays at least the distance on the
+    diagonal, (j, j), less |i - j| before, and |i - j| less the difference of
+    the lengths after it, so that distance stops the search early."""
     n = _equal_start(a, b)
     a, b = a[n:], b[n:]
     n = _equal_start(a[::-1], b[::-1])
@@ -209,8 +217,8 @@ def edits_within(a: str, b: str, most: int) -> bool:
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     mask, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance, left = mask, 0, len(a), len(b)
-    for c in b:
+    up, down, distance, left, gap = mask, 0, len(a), len(b), len(b) - len(a)
+    for j, c in enumerate(b, 1):
         same = at.get(c, 0)
         diagonal = ((same & up) + up ^ up) | same | down
         right_up, right_down = down | mask & ~(diagonal | up), up & diagonal
@@ -221,6 +229,10 @@ def edits_within(a: str, b: str, most: int) -> bool:
         right_up = (right_up << 1 | 1) & mask
         up = (right_down << 1 | ~(diagonal | right_up)) & mask
         down = right_up & diagonal
+        if not j & 31 and j <= len(a):
+            upto = (1 << j) - 1
+            if j + (up & upto).bit_count() - (down & upto).bit_count() - gap > most:
+                return False
     return distance <= most
 
 
