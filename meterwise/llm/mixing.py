@@ -12,8 +12,9 @@ order until the next would cross the budget, then documents of that block in
 hash order the same way.
 
 Only source totals (``MAX_SOURCES`` rows at most) reach the driver, for the
-bisection. Prefix sums run over blocks of a source, and over the documents of
-one block, never over a source's documents.
+bisection. Prefix sums run over parts of a source's order of blocks, over the
+blocks of a part and over the documents of one block, never over all blocks or
+documents of a source.
 
 Edge cases: a null source is a source of its own (``""`` and null stay
 apart); null or word-less documents hold no tokens and are kept once. Equal
@@ -35,6 +36,7 @@ from meterwise.llm.scratch import broadcast_if_small, fresh, materialize
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1_000_000
 MAX_SOURCES = 100_000
+PART_BLOCKS = 1_024
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,25 @@ def _running(value: str, parts: list[str], order: list[Column]) -> Column:
     return F.sum(value).over(Window.partitionBy(*parts).orderBy(*order))
 
 
+def _spent(sizes: DataFrame, most: int) -> DataFrame:
+    """``sizes`` (source, block, size, ...) with ``end``: the tokens of the
+    source's blocks up to this one, in the order of the last pass. The order is
+    cut into parts of about ``PART_BLOCKS`` blocks of the source with the most
+    blocks (``most``); sums run over the parts of a source and over the blocks
+    of a part."""
+    digits = 1
+    while most > PART_BLOCKS * 16**digits:
+        digits += 1
+    order = F.md5(F.concat_ws(":", F.lit("block"), F.col("block").cast("string")).cast("binary"))
+    placed = sizes.withColumn("order", order).withColumn("part", F.substring("order", 1, digits))
+    parts = (placed.groupBy("source", "part").agg(F.sum("size").alias("held"))
+             .withColumn("before", _running("held", ["source"], [F.col("part")]) - F.col("held"))
+             .select(F.col("source").alias("ps"), F.col("part").alias("pp"), "before"))
+    return (placed.withColumn("within", _running("size", ["source", "part"], [F.col("order"), F.col("block")]))
+            .join(parts, F.col("source").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("pp")))
+            .withColumn("end", F.col("before") + F.col("within")).drop("ps", "pp", "before", "within", "order", "part"))
+
+
 def _hash(id_col: Column) -> Column:
     return F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
@@ -166,10 +187,11 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, target_e
     no_blocks = docs.sparkSession.createDataFrame([], "source string, block long, inside boolean")
     dealt = Plan(sources, no_blocks, no_edge).apply(base, "source", "h", F.col("n_tokens") > 0, "p_")
     dealt = dealt.select("source", "h", "n_tokens", F.col("p_block").alias("block"), F.col("p_rest").alias("rest"))
-    order = F.md5(F.concat_ws(":", F.lit("block"), F.col("block").cast("string")).cast("binary"))
+    sizes = materialize(dealt.where("rest > 0").groupBy("source", "block", "rest").agg(
+        F.sum("n_tokens").alias("size")), "block-sizes")
+    most = max([1, *(-(-s.tokens // BLOCK_TOKENS) for s in shares)])
     blocks = materialize(
-        dealt.where("rest > 0").groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("size"))
-        .withColumn("end", _running("size", ["source"], [order, F.col("block")]))
+        _spent(sizes, most)
         .withColumn("inside", F.col("end") <= F.col("rest"))
         .withColumn("room", F.col("rest") - F.col("end") + F.col("size")), "blocks")
     cut = blocks.where("not inside and room > 0").select(

@@ -51,6 +51,7 @@ def test_copies_equal_a_plain_walk(frame, monkeypatch, kw, block):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", block)
     rows = [(i, "big" if i % 3 else f"s{i % 5}", 1 + (i * 7) % 23) for i in range(200)]
     rows += [(900, None, 5), (901, "", 3), (902, "empty", 0), (903, "big", 0)]
+    monkeypatch.setattr(mixing, "PART_BLOCKS", 2)  # parts of two hex digits for the small blocks
     got = {r["doc_id"]: r["copies"] for r in mixing.schedule(table(frame, rows), **kw).collect()}
     assert got == brute_copies(rows, **kw)
     assert min(got.values()) >= 1
