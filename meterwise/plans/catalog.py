@@ -28,7 +28,7 @@ from meterwise.params import (
 )
 from meterwise.plans import reports
 from meterwise.plans.facts import FactPaths, Facts, read_facts, refresh_facts, write_facts
-from meterwise.sources.adapters import account_monthly, dollars_by_part, usage_lines
+from meterwise.sources.adapters import ORDER_LINES, account_monthly, dollars_by_part, usage_lines, with_order_lines
 from meterwise.sources.tables import SourceTables
 
 RATES = (Decimal(5), Decimal(10), Decimal(20))
@@ -154,14 +154,15 @@ def _served(key: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def refreshed(spark: SparkSession, folder: str) -> FactPaths:
     """Facts written before the orders from ``REFRESH_FROM`` on came in, then
-    refreshed by the months that these orders and their lines fall into."""
-    tables = SourceTables(spark, folder)
+    refreshed by the months that these orders and their lines fall into. The
+    lines meet their orders once, for both."""
+    tables = with_order_lines(SourceTables(spark, folder))
+    lines = tables(ORDER_LINES)
     late = F.col("o_orderdate") >= F.lit(REFRESH_FROM)
-    early = SourceTables(spark, folder).with_table("orders", tables("orders").where(~late))
+    early = tables.copy().with_table("orders", tables("orders").where(~late)).with_table(
+        ORDER_LINES, lines.where(~late))
     paths = write_facts(spark, early)
-    new = tables("lineitem").join(tables("orders").where(late).select("o_orderkey"),
-                                  F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    shipped = new.agg(F.min("l_shipdate").cast("date").alias("a"), F.max("l_shipdate").cast("date").alias("b")).first()
+    shipped = lines.where(late).agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b")).first()
     ordered = tables("orders").where(late).agg(F.max("o_orderdate").cast("date").alias("b")).first()
     return refresh_facts(spark, tables, paths, monthly=(REFRESH_FROM, ordered["b"] or REFRESH_FROM),
                          usage=(shipped["a"] or REFRESH_FROM, shipped["b"] or REFRESH_FROM))

@@ -8,29 +8,29 @@ lineage: a lost executor re-reads files instead of recomputing the joins.
 
 Layout, chosen for the reports' predicates:
 
-* account x month, partitioned by ``month`` and range-partitioned on
-  (``month``, ``account_id``) before the write: every report filters a
-  month range, which becomes partition pruning, and each task holds a
-  contiguous key range, so a month folder gets a few files, not one per task.
-  The (account, month) grain is unique, so every range can be split: an
-  account holds at most one row per month.
+* account x month, partitioned by ``month``, which every report filters
+  (partition pruning). The staged rows are written without another shuffle by
+  one task for ``MONTHLY_ROWS`` of them, so a month folder gets a file per task, each
+  in account order. An account holds at most one row per month.
 * usage lines, partitioned by ``usage_month`` (the month of ``usage_date``)
-  and range-partitioned on (``usage_month``, ``account_id``, a hash of the
-  other columns): a date range prunes month folders (see
+  and range-partitioned on (``usage_month``, ``account_id``, a hash of
+  supplier, day and price): a date range prunes month folders (see
   ``operators.filters.in_date_range``), a month folder gets a few files with
   account ranges that do not overlap, so one account opens one of them, and
   the hash lets an account that holds a large share of a month split over
-  several files. Only identical lines cannot be split.
+  several files. Only lines that are alike in these cannot be split.
 * months, the total of each account and month with usage, partitioned by
-  ``month``: the latest-month baseline reads it from the newest month back.
+  ``month`` and laid out like fact A: the latest-month baseline reads it from
+  the newest month back.
 * accounts, the accounts of the usage lines with their first and last month, so
   that reports on every account read the window and this narrow list instead
   of all lines.
 * names, each (account, name) of fact A once, where name patterns are resolved.
 
-The joins behind a fact run once: their rows are staged unsorted, and the range
-partitioning, which samples its input before it sorts it, reads two narrow
-columns of files for that.
+The lines meet their orders once for both facts: these rows are staged unsorted
+and narrow, fact A is summed from them, and the usage lines are dealt by range
+(which samples its input first) from these files. Strings and amounts are made
+after that shuffle, so it carries keys, prices and the two names.
 
 Every call writes to a folder of its own, so two jobs never replace each
 other's tables; a given ``root`` must not hold facts yet. ``refresh_facts``
@@ -54,11 +54,15 @@ from meterwise.functions.dates import first_month_after, month_start
 from meterwise.operators.latest_month import month_totals
 from meterwise.operators.names import distinct_names
 from meterwise.session import checkpoint_dir
-from meterwise.sources.adapters import account_monthly, usage_lines
-from meterwise.sources.staging import staged
+from meterwise.sources.adapters import ORDER_LINES, account_monthly, lines_between, usage_lines, with_order_lines
+from meterwise.sources.staging import staged, staged_counted
 from meterwise.sources.tables import SourceTables, read_account_monthly, read_usage_lines
 
 
+#: Rows of fact A, and of the narrow month totals, that one task sorts and writes.
+MONTHLY_ROWS, TOTALS_ROWS = 500_000, 2_000_000
+
+
 @dataclass(frozen=True)
 class Refresh:
     """A version folder that replaces the months ``first..last`` (first days)
@@ -100,13 +104,21 @@ def fact_paths(spark: SparkSession, root: str | None = None) -> FactPaths:
 
 def _write_months(df: DataFrame, path: str, month: str) -> str:
     """One folder per month; a job that is run again replaces its own folders."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+       .partitionBy(month).parquet(path))
     return path
 
 
+def _write_account_months(df: DataFrame, label: str, path: str, task_rows: int) -> str:
+    """Rows of one account and month: hashed by the aggregation that made them,
+    so even shares of them go to each task."""
+    rows, n = staged_counted(df, label)
+    return _write_months(rows.coalesce(max(1, -(-n // task_rows))).sortWithinPartitions("month", "account_id"),
+                         path, "month")
+
+
 def write_account_monthly(df: DataFrame, path: str) -> str:
-    return _write_months(staged(df, "account-monthly").repartitionByRange("month", "account_id")
-                         .sortWithinPartitions("month", "account_id"), path, "month")
+    return _write_account_months(df, "account-monthly", path, MONTHLY_ROWS)
 
 
 def write_account_monthly_table(df: DataFrame, table: str, buckets: int, path: str) -> str:
@@ -130,18 +142,28 @@ def write_account_monthly_table(df: DataFrame, table: str, buckets: int, path: s
 
 def write_usage_lines(df: DataFrame, path: str) -> str:
     rest = [c for c in df.columns if c != "account_id"]
-    lines = staged(df.withColumn("usage_month", month_start(F.col("usage_date")))
-                   .withColumn("_spread", F.xxhash64(*rest)), "usage-lines")
-    return _write_months(lines.repartitionByRange("usage_month", "account_id", "_spread")
-                         .sortWithinPartitions("usage_month", "account_id", "_spread").drop("_spread"),
-                         path, "usage_month")
+    return _write_ranged_lines(staged(df, "usage-lines").repartitionByRange(
+        month_start("usage_date"), "account_id", F.xxhash64(*rest)), path)
+
+
+def write_joined_usage(tables: SourceTables, path: str, dates: tuple[date, date] | None = None) -> str:
+    """The usage lines (of ``dates``) from the staged lines that ``tables`` holds."""
+    lines = lines_between(tables(ORDER_LINES), dates).select(
+        "o_custkey", "l_suppkey", "s_name", "p_brand", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
+    ranged = lines.repartitionByRange(
+        month_start("l_shipdate"), F.col("o_custkey").cast("string"),
+        F.xxhash64("l_suppkey", "l_shipdate", "l_extendedprice"))
+    return _write_ranged_lines(usage_lines(tables.copy().with_table(ORDER_LINES, ranged)), path)
+
+
+def _write_ranged_lines(lines: DataFrame, path: str) -> str:
+    return _write_months(lines.withColumn("usage_month", month_start("usage_date"))
+                         .sortWithinPartitions("usage_month", "account_id"), path, "usage_month")
 
 
 def write_months(usage: DataFrame, path: str) -> str:
-    """Totals by account and month; range-partitioned like fact A, so that a
-    month folder holds few files."""
-    return _write_months(staged(month_totals(usage), "months").repartitionByRange("month", "account_id")
-                         .sortWithinPartitions("month", "account_id"), path, "month")
+    """Totals by account and month."""
+    return _write_account_months(month_totals(usage), "months", path, TOTALS_ROWS)
 
 
 def write_accounts(months: DataFrame, path: str) -> str:
@@ -163,14 +185,15 @@ def write_facts(spark: SparkSession, tables: SourceTables, root: str | None = No
     bucketed by account; ``read_facts`` reads either.
     """
     paths = fact_paths(spark, root)
+    if monthly_table and not buckets:
+        raise ValueError("a bucketed table needs the number of buckets")
+    tables = with_order_lines(tables)
     if monthly_table:
-        if not buckets:
-            raise ValueError("a bucketed table needs the number of buckets")
         write_account_monthly_table(account_monthly(tables), monthly_table, buckets, paths.account_monthly)
         paths = FactPaths(monthly_table, paths.usage_lines, paths.accounts)
     else:
         write_account_monthly(account_monthly(tables), paths.account_monthly)
-    write_usage_lines(usage_lines(tables), paths.usage_lines)
+    write_joined_usage(tables, paths.usage_lines)
     write_names(read_account_monthly(spark, paths.account_monthly), paths.names)
     write_months(read_usage_lines(spark, paths.usage_lines), paths.months)
     write_accounts(_months(spark, paths.months), paths.accounts)
@@ -243,7 +266,10 @@ def refresh_facts(spark: SparkSession, tables: SourceTables, paths: FactPaths,
         write_account_monthly(account_monthly(tables, months=monthly), new.account_monthly)
     if usage:
         last = date.fromordinal(first_month_after(usage[1]).toordinal() - 1)
-        write_usage_lines(usage_lines(tables, dates=(usage[0], last)), new.usage_lines)
+        if tables.holds(ORDER_LINES):
+            write_joined_usage(tables, new.usage_lines, (usage[0], last))
+        else:
+            write_usage_lines(usage_lines(tables, dates=(usage[0], last)), new.usage_lines)
         write_months(read_usage_lines(spark, new.usage_lines, like=paths.usage_lines), new.months)
     out = FactPaths(paths.account_monthly, paths.usage_lines, paths.accounts, paths.months, paths.names,
                     (*paths.refreshes, Refresh(base, monthly, usage)))

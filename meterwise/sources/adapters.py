@@ -21,6 +21,10 @@ asks for one account, the orders side is filtered to it first and the join
 strategy is left to Spark's size checks (AQE turns it into a broadcast only
 when the measured side is small).
 
+``write_facts`` needs both facts whole, so the lines meet their orders once for
+both (``with_order_lines``): that table is staged, and the adapters read it in
+place of the joins where a ``SourceTables`` holds it.
+
 ``months`` / ``dates`` add exact predicates on the raw order/ship timestamps
 so that a report's date range reaches the Parquet scan (``PushedFilters``);
 ``account_id`` does the same for the string account id of fact B, whose
@@ -33,11 +37,12 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterwise import schemas
 from meterwise.functions.dates import first_month_after, first_month_on_or_after, month_start
+from meterwise.sources.staging import staged
 from meterwise.sources.tables import SourceTables
 
 # Fixed values of the adapter: the segment whose submitted forecast is absent,
@@ -45,6 +50,11 @@ from meterwise.sources.tables import SourceTables
 NO_SUBMITTED_FORECAST_SEGMENT = "MACHINERY"
 RETURNED_FLAG = "R"
 
+#: Name of the joined lines in a ``SourceTables``.
+ORDER_LINES = "order_lines"
+#: Marks one of the rows that repeated supplier or part rows make of a line.
+FIRST = "_first"
+
 
 def line_price() -> Column:
     return F.col("l_extendedprice").cast("decimal(18,2)")
@@ -71,6 +81,40 @@ def _raw_range(col: str, first: date | None, stop: date | None) -> Column | None
     return cond
 
 
+def _numbered(df: DataFrame, key: str, name: str, n: str) -> DataFrame:
+    """A dimension's key and name, the rows of one key numbered from 1."""
+    return df.select(key, name, F.row_number().over(Window.partitionBy(key).orderBy(name)).alias(n))
+
+
+def order_lines(tables: SourceTables) -> DataFrame:
+    """Lines with their orders' customer and date and the names of supplier and
+    part: what both facts are made of. Prices stay as read but for their type.
+
+    A repeated supplier or part row repeats a line for fact B, but not for fact A,
+    which reads the rows marked ``FIRST``."""
+    orders = tables("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"))
+    lines = tables("lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        (F.col("l_returnflag") == RETURNED_FLAG).alias("returned"), F.to_date("l_shipdate").alias("l_shipdate"))
+    supplier = _numbered(tables("supplier"), "s_suppkey", "s_name", "_s")
+    part = _numbered(tables("part"), "p_partkey", "p_brand", "_p")
+    return (lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+            .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+            .select("o_custkey", "o_orderdate", "l_suppkey", "s_name", "p_brand", "l_shipdate",
+                    F.col("l_quantity").cast("decimal(18,2)").alias("l_quantity"),
+                    line_price().alias("l_extendedprice"),
+                    *[F.col(c).cast("decimal(4,2)").alias(c) for c in ("l_discount", "l_tax")], "returned",
+                    ((F.coalesce("_s", F.lit(1)) == 1) & (F.coalesce("_p", F.lit(1)) == 1)).alias(FIRST)))
+
+
+def with_order_lines(tables: SourceTables) -> SourceTables:
+    """``tables`` with the joined lines, staged (as they are, if there already)."""
+    if tables.holds(ORDER_LINES):
+        return tables
+    return tables.copy().with_table(ORDER_LINES, staged(order_lines(tables), "order-lines"))
+
+
 def account_monthly(tables: SourceTables, months: tuple[date, date] | None = None,
                     name_pattern: str = "%") -> DataFrame:
     """Fact A from the test tables.
@@ -82,9 +126,9 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
     they meet the lines, so the lines that are shuffled on can be pruned by
     the orders that are left.
     """
-    lines = tables("lineitem").select(
-        "l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    orders = tables("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    joined = tables.holds(ORDER_LINES)
+    orders = tables(ORDER_LINES).where(FIRST) if joined else tables("orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate")
     if months is not None:
         start, end = months
         orders = orders.filter(_raw_range(
@@ -93,11 +137,17 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
     if name_pattern != "%":
         customer = customer.filter(F.col("c_name").ilike(name_pattern))
         orders = orders.join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    if joined:
+        lines = orders
+    else:
+        lines = tables("lineitem").select(
+            "l_orderkey", "l_extendedprice", "l_discount", "l_tax",
+            (F.col("l_returnflag") == RETURNED_FLAG).alias("returned")
+        ).join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     monthly = (
-        lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey"), month_start("o_orderdate").alias("month"))
+        lines.groupBy(F.col("o_custkey"), month_start("o_orderdate").alias("month"))
         .agg(
-            F.sum(F.when(F.col("l_returnflag") == RETURNED_FLAG, F.lit(0)).otherwise(line_net()))
+            F.sum(F.when(F.col("returned"), F.lit(0)).otherwise(line_net()))
             .alias("amount"),
             F.sum(line_net()).alias("baseline"),
             F.sum(line_gross()).alias("model_forecast"),
@@ -128,8 +178,7 @@ def account_monthly(tables: SourceTables, months: tuple[date, date] | None = Non
 def dollars_by_part(tables: SourceTables, dates: tuple[date, date]) -> DataFrame:
     """Fact B's ``sku_name`` and ``dollars``, summed per part before the part
     lookup: the join carries one row per part instead of one per line."""
-    start, end = dates
-    lines = tables("lineitem").filter(_raw_range("l_shipdate", start, date.fromordinal(end.toordinal() + 1)))
+    lines = lines_between(tables("lineitem"), dates)
     orders = tables("orders").select("o_orderkey").hint("merge")
     per_part = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                 .groupBy("l_partkey").agg(F.sum(line_net().cast(schemas.MONEY_LINE)).alias("dollars")))
@@ -150,6 +199,29 @@ def _custkey_for(account_id: str) -> Column:
     return F.lit(False)
 
 
+def lines_between(lines: DataFrame, dates: tuple[date, date] | None) -> DataFrame:
+    """Lines shipped on the days ``start..end``."""
+    if dates is None:
+        return lines
+    start, end = dates
+    return lines.filter(_raw_range("l_shipdate", start, date.fromordinal(end.toordinal() + 1)))
+
+
+def _usage_columns(want: list[str]) -> list[tuple[str, Column]]:
+    """Fact B's columns from the joined lines."""
+    exprs = {
+        "account_id": F.col("o_custkey").cast("string"),
+        "workspace_id": F.col("l_suppkey").cast("string"),
+        "workspace_name": F.col("s_name") if "workspace_name" in want else None,
+        "sku_name": F.col("p_brand") if "sku_name" in want else None,
+        "usage_date": F.to_date(F.col("l_shipdate")),
+        "quantity": F.col("l_quantity").cast("decimal(18,2)").cast(schemas.MONEY_LINE),
+        "dollars": line_net().cast(schemas.MONEY_LINE),
+        "dollars_at_list": line_price().cast(schemas.MONEY_LINE),
+    }
+    return [(c, exprs[c]) for c in want]
+
+
 def usage_lines(tables: SourceTables, columns: list[str] | None = None,
                 dates: tuple[date, date] | None = None, account_id: str | None = None) -> DataFrame:
     """Fact B from the test tables, one row per line item.
@@ -160,10 +232,12 @@ def usage_lines(tables: SourceTables, columns: list[str] | None = None,
     ``account_id`` keeps that account's lines via the integer order key.
     """
     want = list(columns or schemas.USAGE_LINES.fieldNames())
-    li = tables("lineitem")
-    if dates is not None:
-        start, end = dates
-        li = li.filter(_raw_range("l_shipdate", start, date.fromordinal(end.toordinal() + 1)))
+    joined = tables.holds(ORDER_LINES)
+    li = tables(ORDER_LINES if joined else "lineitem")
+    li = lines_between(li, dates)
+    if joined:
+        lines = li if account_id is None else li.filter(_custkey_for(account_id))
+        return lines.select(*[c.alias(n) for n, c in _usage_columns(want)])
     orders = tables("orders").select("o_orderkey", "o_custkey")
     if account_id is None:
         # All accounts: orders is unbounded, always a sort-merge join.
@@ -180,14 +254,4 @@ def usage_lines(tables: SourceTables, columns: list[str] | None = None,
     if "sku_name" in want:
         part = tables("part").select("p_partkey", "p_brand")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    exprs = {
-        "account_id": F.col("o_custkey").cast("string"),
-        "workspace_id": F.col("l_suppkey").cast("string"),
-        "workspace_name": F.col("s_name") if "workspace_name" in want else None,
-        "sku_name": F.col("p_brand") if "sku_name" in want else None,
-        "usage_date": F.to_date(F.col("l_shipdate")),
-        "quantity": F.col("l_quantity").cast("decimal(18,2)").cast(schemas.MONEY_LINE),
-        "dollars": line_net().cast(schemas.MONEY_LINE),
-        "dollars_at_list": line_price().cast(schemas.MONEY_LINE),
-    }
-    return lines.select(*[exprs[c].alias(c) for c in want])
+    return lines.select(*[c.alias(n) for n, c in _usage_columns(want)])

@@ -58,6 +58,14 @@ class SourceTables:
             self._cache[name] = reader.parquet(path)
         return self._cache[name]
 
+    def holds(self, name: str) -> bool:
+        """Whether ``name`` was read or given before."""
+        return name in self._cache
+
+    def copy(self) -> "SourceTables":
+        """The same tables, to which others can be added."""
+        return type(self)(self.spark, self.folder, self.schemas, dict(self._cache))
+
     def with_table(self, name: str, df: DataFrame) -> "SourceTables":
         """Use ``df`` for ``name`` (e.g. a table derived from the original)."""
         self._cache[name] = df
