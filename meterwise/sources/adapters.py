@@ -88,24 +88,28 @@ def _numbered(df: DataFrame, key: str, name: str, n: str) -> DataFrame:
 
 def order_lines(tables: SourceTables) -> DataFrame:
     """Lines with their orders' customer and date and the names of supplier and
-    part: what both facts are made of. Prices stay as read but for their type.
+    part: what both facts are made of. Prices stay as read but for their type,
+    which they get first, so that the shuffles carry small numbers. The lines
+    meet their orders after the parts: the lines of one order then lie together,
+    and fact A sums them before its own shuffle.
 
     A repeated supplier or part row repeats a line for fact B, but not for fact A,
     which reads the rows marked ``FIRST``."""
     orders = tables("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"))
     lines = tables("lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("l_quantity"),
+        line_price().alias("l_extendedprice"),
+        *[F.col(c).cast("decimal(4,2)").alias(c) for c in ("l_discount", "l_tax")],
         (F.col("l_returnflag") == RETURNED_FLAG).alias("returned"), F.to_date("l_shipdate").alias("l_shipdate"))
     supplier = _numbered(tables("supplier"), "s_suppkey", "s_name", "_s")
     part = _numbered(tables("part"), "p_partkey", "p_brand", "_p")
-    return (lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    first = lambda n: F.coalesce(n, F.lit(1)) == 1
+    named = (lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+             .withColumn(FIRST, first("_p")).drop("l_partkey", "p_partkey", "_p"))
+    return (named.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-            .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-            .select("o_custkey", "o_orderdate", "l_suppkey", "s_name", "p_brand", "l_shipdate",
-                    F.col("l_quantity").cast("decimal(18,2)").alias("l_quantity"),
-                    line_price().alias("l_extendedprice"),
-                    *[F.col(c).cast("decimal(4,2)").alias(c) for c in ("l_discount", "l_tax")], "returned",
-                    ((F.coalesce("_s", F.lit(1)) == 1) & (F.coalesce("_p", F.lit(1)) == 1)).alias(FIRST)))
+            .select("o_custkey", "o_orderdate", "l_suppkey", "s_name", "p_brand", "l_shipdate", "l_quantity",
+                    "l_extendedprice", "l_discount", "l_tax", "returned", (first("_s") & F.col(FIRST)).alias(FIRST)))
 
 
 def with_order_lines(tables: SourceTables) -> SourceTables:
