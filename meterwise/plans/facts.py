@@ -18,7 +18,8 @@ Layout, chosen for the reports' predicates:
   ``operators.filters.in_date_range``), a month folder gets a few files with
   account ranges that do not overlap, so one account opens one of them, and
   the hash lets an account that holds a large share of a month split over
-  several files. Only lines that are alike in these cannot be split.
+  several files. Only lines that are alike in these cannot be split. There is a
+  range for every ``USAGE_ROWS`` lines, so a task sorts as many at any size.
 * months, the total of each account and month with usage, partitioned by
   ``month`` and laid out like fact A: the latest-month baseline reads it from
   the newest month back.
@@ -55,12 +56,13 @@ from meterwise.operators.latest_month import month_totals
 from meterwise.operators.names import distinct_names
 from meterwise.session import checkpoint_dir
 from meterwise.sources.adapters import ORDER_LINES, account_monthly, lines_between, usage_lines, with_order_lines
-from meterwise.sources.staging import staged, staged_counted
+from meterwise.sources.staging import staged_counted
 from meterwise.sources.tables import SourceTables, read_account_monthly, read_usage_lines
 
 
-#: Rows of fact A, and of the narrow month totals, that one task sorts and writes.
-MONTHLY_ROWS, TOTALS_ROWS = 500_000, 2_000_000
+#: Rows of fact A, of the narrow month totals and of the usage lines that one
+#: task sorts and writes.
+MONTHLY_ROWS, TOTALS_ROWS, USAGE_ROWS = 500_000, 2_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -140,10 +142,16 @@ def write_account_monthly_table(df: DataFrame, table: str, buckets: int, path: s
     return table
 
 
+def _usage_tasks(n: int) -> int:
+    """Ranges of ``n`` usage lines, so that a task's sort stays as large whatever the table."""
+    return max(1, -(-n // USAGE_ROWS))
+
+
 def write_usage_lines(df: DataFrame, path: str) -> str:
     rest = [c for c in df.columns if c != "account_id"]
-    return _write_ranged_lines(staged(df, "usage-lines").repartitionByRange(
-        month_start("usage_date"), "account_id", F.xxhash64(*rest)), path)
+    rows, n = staged_counted(df, "usage-lines")
+    return _write_ranged_lines(rows.repartitionByRange(
+        _usage_tasks(n), month_start("usage_date"), "account_id", F.xxhash64(*rest)), path)
 
 
 def write_joined_usage(tables: SourceTables, path: str, dates: tuple[date, date] | None = None) -> str:
@@ -151,7 +159,7 @@ def write_joined_usage(tables: SourceTables, path: str, dates: tuple[date, date]
     lines = lines_between(tables(ORDER_LINES), dates).select(
         "o_custkey", "l_suppkey", "s_name", "p_brand", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
     ranged = lines.repartitionByRange(
-        month_start("l_shipdate"), F.col("o_custkey").cast("string"),
+        _usage_tasks(lines.count()), month_start("l_shipdate"), F.col("o_custkey").cast("string"),
         F.xxhash64("l_suppkey", "l_shipdate", "l_extendedprice"))
     return _write_ranged_lines(usage_lines(tables.copy().with_table(ORDER_LINES, ranged)), path)
 
