@@ -142,16 +142,17 @@ def write_account_monthly_table(df: DataFrame, table: str, buckets: int, path: s
     return table
 
 
-def _usage_tasks(n: int) -> int:
-    """Ranges of ``n`` usage lines, so that a task's sort stays as large whatever the table."""
-    return max(1, -(-n // USAGE_ROWS))
+def _usage_tasks(n: int) -> list[int]:
+    """Ranges of ``n`` usage lines, so that a task's sort stays as large whatever
+    the table; up to ``USAGE_ROWS`` lines, as many as Spark chooses."""
+    return [-(-n // USAGE_ROWS)] if n > USAGE_ROWS else []
 
 
 def write_usage_lines(df: DataFrame, path: str) -> str:
     rest = [c for c in df.columns if c != "account_id"]
     rows, n = staged_counted(df, "usage-lines")
     return _write_ranged_lines(rows.repartitionByRange(
-        _usage_tasks(n), month_start("usage_date"), "account_id", F.xxhash64(*rest)), path)
+        *_usage_tasks(n), month_start("usage_date"), "account_id", F.xxhash64(*rest)), path)
 
 
 def write_joined_usage(tables: SourceTables, path: str, dates: tuple[date, date] | None = None) -> str:
@@ -159,7 +160,7 @@ def write_joined_usage(tables: SourceTables, path: str, dates: tuple[date, date]
     lines = lines_between(tables(ORDER_LINES), dates).select(
         "o_custkey", "l_suppkey", "s_name", "p_brand", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
     ranged = lines.repartitionByRange(
-        _usage_tasks(lines.count()), month_start("l_shipdate"), F.col("o_custkey").cast("string"),
+        *_usage_tasks(lines.count()), month_start("l_shipdate"), F.col("o_custkey").cast("string"),
         F.xxhash64("l_suppkey", "l_shipdate", "l_extendedprice"))
     return _write_ranged_lines(usage_lines(tables.copy().with_table(ORDER_LINES, ranged)), path)
 
