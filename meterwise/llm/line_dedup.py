@@ -7,8 +7,8 @@ block meet (pigeonhole), those whose whole SimHashes differ in at most
 ``DISTANCE`` of 64 bits are tested, and two are linked if their edit
 similarity, 1 - Levenshtein / longer length, is at least ``SIMILARITY``. Of each
 connected group, the occurrence with the smallest (doc_id, line) stays.
-Built-in functions, but for the SimHashes and the edit test (numpy and Python on
-Arrow batches; why, is in the README).
+Built-in functions, but for the SimHashes and the edit test of pairs that leave
+their bucket (numpy and Python on Arrow batches; why, is in the README).
 
 Lines of up to ``TINY`` characters also meet by their texts without any one or
 two characters, which finds every pair of such lines. Other pairs are missed
@@ -36,6 +36,8 @@ from meterwise.llm.scratch import broadcast_if_small, materialize, materialize_c
 DISTANCE = 16
 SIMILARITY = 0.8
 TINY = 14
+#: Characters up to which a line's text goes with it into its buckets.
+CARRIED = 128
 #: Pairs whose texts one task compares.
 PAIRS = 2_048
 
@@ -70,11 +72,11 @@ def _shortened(norm: Column) -> Column:
 
 def _lines(base: DataFrame) -> DataFrame:
     """doc_id, line, text_hash, h, chars, short (the text of a line of up to
-    ``TINY`` characters, null for longer ones) and the blocks of every line."""
+    ``CARRIED`` characters, null for longer ones) and the blocks of every line."""
     n = F.char_length("norm")
     lines = exploded(base, "doc_id", "text").select(
         "doc_id", "line", "text_hash", F.xxhash64("norm").alias("h"), n.alias("chars"),
-        F.when(n.between(1, TINY), F.col("norm")).alias("short"), "norm")
+        F.when(n.between(1, CARRIED), F.col("norm")).alias("short"), "norm")
     kept = lines.schema.simpleString()[len("struct<"):-1].rsplit(",norm:", 1)[0]
     at = len(lines.columns) - 1
     signed = lines.mapInArrow(lambda batches: line_simhash.with_signatures(batches, at),
@@ -88,7 +90,7 @@ def _keys(seen: DataFrame) -> DataFrame:
     that occur often give their keys as often, unless they are short."""
     blocks = (seen.select("h", "chars", F.explode("blocks").alias("x"))
               .select(F.explode("x.keys").alias("key"), F.col("h").alias("id"), "chars", F.col("x.sim").alias("sim")))
-    short = (seen.where("short is not null").select("h", "chars", "short").distinct()
+    short = (seen.where(F.col("chars") <= TINY).select("h", "chars", "short").distinct()
              .select(F.explode(_shortened(F.col("short"))).alias("key"), F.col("h").alias("id"), "chars",
                      F.lit(0).cast("long").alias("sim")))
     return blocks.union(short)
@@ -101,6 +103,12 @@ def _near(a: str, b: str) -> Column:
         F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= DISTANCE)
 
 
+def _similar(a: Column, b: Column) -> Column:
+    """Whether the edit similarity of two texts is at least ``SIMILARITY``."""
+    longer = F.greatest(F.char_length(a), F.char_length(b))
+    return F.call_function("levenshtein", a, b, F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")) >= 0
+
+
 def _confirmed(pairs: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame:
     """Pairs (a, b) of line ids whose edit similarity suffices. The texts come
     from the first occurrences, so only their documents are read."""
@@ -123,7 +131,9 @@ def _confirmed(pairs: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame
 def _groups(seen: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame:
     """(node, component) over all linked lines, whole for the reason given in
     ``components.confirm_by_hubs``. Here the condition on the pair, the ratio
-    of lengths and the distance of the SimHashes, stands in the bucket rows."""
+    of lengths and the distance of the SimHashes, stands in the bucket rows, and
+    of lines of up to ``CARRIED`` characters the text as well: buckets of common
+    runs are wide, and nearly all of their pairs end at the edit test there."""
     keys = _keys(seen)
     buckets, n = materialize_counted(
         keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
@@ -142,8 +152,15 @@ def _groups(seen: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame:
         members.join(of("id", "comp"), "id", "left").join(of("hub", "hub_comp"), "hub", "left")
         .select("key", "id", "chars", "sim", F.coalesce("comp", "id").alias("comp"),
                 F.coalesce("hub_comp", "hub").alias("hub_comp")), "placed")
-    x, y = placed.where("comp <> hub_comp").alias("x"), placed.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y."))
+    parted = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                       F.bool_or(F.col("comp") != F.col("hub_comp")).alias("strays"))
+    mixed = materialize(
+        placed.join(parted.where("strays and lo < hi").select("key"), "key", "left_semi")
+        .join(seen.where("short is not null").select(F.col("h").alias("id"), "short").distinct(), "id", "left"),
+        "mixed")
+    x, y = mixed.where("comp <> hub_comp").alias("x"), mixed.alias("y")
+    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y.")
+                   & F.coalesce(_similar(F.col("x.short"), F.col("y.short")), F.lit(True)))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
     more = materialize(_confirmed(rest, first, base), "more-links")

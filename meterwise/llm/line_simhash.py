@@ -41,6 +41,8 @@ TWO_UPTO, THREE_FROM, THREE_UPTO = 40, 30, 100
 LONG_WORDS = 16
 CHARS = 17
 SLICE = 1 << 17
+#: Characters after a difference within which a plain alignment must meet again.
+MEETS = 40
 
 #: The keys of a line by the SimHash of the features that they are made of.
 SCHEMA = "blocks array<struct<sim:long,keys:array<long>>>"
@@ -200,9 +202,32 @@ def _equal_start(a: str, b: str) -> int:
     return low
 
 
+def _aligned(a: str, b: str, most: int) -> bool:
+    """Whether one alignment, found from left to right, costs at most ``most``
+    edits. False says nothing: another one may cost less."""
+    i = j = cost = 0
+    while cost <= most:
+        top, n, step = min(len(a) - i, len(b) - j), 0, 16
+        while n < top and a[i + n:i + n + min(step, top - n)] == b[j + n:j + n + min(step, top - n)]:
+            n, step = n + min(step, top - n), 2 * step
+        n += _equal_start(a[i + n:i + n + step], b[j + n:j + n + step])
+        i, j = i + n, j + n
+        if i == len(a) or j == len(b):
+            return cost + max(len(a) - i, len(b) - j) <= most
+        for skip in range(min(MEETS, len(a) - i)):
+            at = b.find(a[i + skip:i + skip + 8], j, j + skip + MEETS)
+            if at >= 0:
+                cost, i, j = cost + max(skip, at - j), i + skip, at
+                break
+        else:
+            return False
+    return False
+
+
 def edits_within(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance of two texts is at most ``most``, by
-    bit-parallel columns of the distance matrix; equal ends are cut off first.
+    bit-parallel columns of the distance matrix; equal ends are cut off first,
+    and texts that a plain alignment shows to be near need no matrix.
 
     A path that crosses column j at row i pays at least the distance on the
     diagonal, (j, j), less |i - j| before, and |i - j| less the difference of
@@ -213,6 +238,8 @@ def edits_within(a: str, b: str, most: int) -> bool:
     a, b = sorted((a[:len(a) - n], b[:len(b) - n]), key=len)
     if not a or len(b) - len(a) > most:
         return len(b) <= most
+    if len(b) <= most or _aligned(a, b, most):
+        return True
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i

@@ -4,6 +4,7 @@ import random
 import re
 
 import regex
+from pyspark.sql import functions as F
 
 from meterwise.llm import line_dedup as ld
 from meterwise.llm import line_simhash as ls
@@ -203,3 +204,56 @@ def test_recall_of_edit_similar_lines(spark, frame):
     missed = [p for i, p in enumerate(pairs) if group[2 * i] != group[2 * i + 1]]
     assert len(pairs) > 110 and len(missed) <= 0.1 * len(pairs), missed
     assert not [p for p in missed if max(map(len, p)) <= ld.TINY]
+
+
+def test_short_lines_of_wide_buckets_are_parted_before_their_texts_are_read(frame, monkeypatch):
+    """Short lines of few syllables share blocks with many unlike lines; only
+    pairs that are similar go on to the texts, and no link is lost."""
+    rng = random.Random(23)
+    syllables = "th he an re on er in nd st ea ly es".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    lines = [" ".join(word() for _ in range(8)) for _ in range(400)]
+    lines += [line[:9] + "x" + line[10:] for line in lines[:40]]
+    docs = list(enumerate(lines))
+    want, norms, given, confirmed = brute(docs), {norm(x) for x in lines}, [], ld._confirmed
+
+    def watched(pairs, first, base):
+        given.append({frozenset((r["a"], r["b"])) for r in pairs.collect()})
+        return confirmed(pairs, first, base)
+
+    monkeypatch.setattr(ld, "_confirmed", watched)
+    got = {(r["doc_id"], r["line"]): (r["group_doc_id"], r["group_line"]) for r in ld.dedup_lines(frame(docs)).collect()}
+    assert all(want[o] == want[first] for o, first in got.items())
+    joined = [o for o in want if want[o] != o]
+    assert sum(got[o] == want[o] for o in joined) >= 0.9 * len(joined) > 0
+    spark = frame(docs).sparkSession
+    hashes = {r["h"]: r["t"] for r in spark.createDataFrame([(n,) for n in norms], "t string").select(
+        "t", F.xxhash64("t").alias("h")).collect()}
+    assert max(map(len, norms)) <= ld.CARRIED
+    for a, b in given[1]:
+        x, y = hashes[a], hashes[b]
+        assert levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - ld.SIMILARITY) + 1e-9)
+
+
+def test_similar_texts_by_spark_and_by_alignment(frame):
+    """Spark's bounded distance and the plain alignment against the full
+    matrix: words put in, left out and replaced, characters of any plane."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdé買\U0001F600") for _ in range(rng.randrange(1, 9)))
+    rows, shown = [], 0
+    for _ in range(150):
+        a = [word() for _ in range(rng.randrange(1, 25))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(0, 2)] = rng.choice([[], [word()], [word(), word()]])
+        rows.append((" ".join(a), " ".join(b)))
+    out = frame(list(enumerate(x + "\n" + y for x, y in rows))).select(
+        "doc_id", F.split("text", "\n").alias("p")).select("doc_id", ld._similar(F.get("p", F.lit(0)), F.get("p", F.lit(1))).alias("s"))
+    similar = {r["doc_id"]: r["s"] for r in out.collect()}
+    for i, (a, b) in enumerate(rows):
+        d, most = levenshtein(a, b), int(max(len(a), len(b)) * (1 - ld.SIMILARITY) + 1e-9)
+        assert similar[i] == (d <= most) == ls.edits_within(a, b, most)
+        assert not ls._aligned(a, b, d - 1)
+        shown += ls._aligned(a, b, most)
+    assert 20 < shown < 150
