@@ -7,8 +7,9 @@ block meet (pigeonhole), those whose whole SimHashes differ in at most
 ``DISTANCE`` of 64 bits are tested, and two are linked if their edit
 similarity, 1 - Levenshtein / longer length, is at least ``SIMILARITY``. Of each
 connected group, the occurrence with the smallest (doc_id, line) stays.
-Built-in functions, but for the SimHashes and the edit test of pairs that leave
-their bucket (numpy and Python on Arrow batches; why, is in the README).
+Built-in functions, but for the SimHashes, the comparison of SimHashes within a
+bucket and the edit test of pairs that leave it (numpy and Python on Arrow
+batches; why, is in the README).
 
 Lines of up to ``TINY`` characters also meet by their texts without any one or
 two characters, which finds every pair of such lines. Other pairs are missed
@@ -25,12 +26,14 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm import line_simhash
+from meterwise.llm import line_buckets, line_simhash
 from meterwise.llm.components import components
-from meterwise.llm.scratch import broadcast_if_small, materialize, materialize_counted
+from meterwise.llm.scratch import BROADCAST_ROWS, broadcast_if_small, materialize, materialize_counted, materialize_with
 
 #: Bits by which the SimHashes of tested lines may differ.
 DISTANCE = 16
@@ -40,10 +43,18 @@ TINY = 14
 CARRIED = 128
 #: Pairs whose texts one task compares.
 PAIRS = 2_048
+#: Readings of the documents for the texts of all pairs, each for as many lines as may be broadcast.
+PASSES = 4
+#: Rows of a bucket that are compared in one task, on either side.
+PART = 16_384
+#: Rows up to which labels and first occurrences are broadcast.
+SMALL = 1_000_000
 
 
 def normalise(line: Column) -> Column:
-    clean = F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")
+    # a lone blank stays as it is: most matches would put a blank for a blank
+    other = r"[^\p{L}\p{N}]"
+    clean = F.regexp_replace(F.lower(line), f"{other}(?:(?<! )|(?={other})){other}*+", " ")
     return F.trim(F.regexp_replace(clean, r"\p{N}+", "0"))
 
 
@@ -72,14 +83,15 @@ def _shortened(norm: Column) -> Column:
 
 def _lines(base: DataFrame) -> DataFrame:
     """doc_id, line, text_hash, h, chars, short (the text of a line of up to
-    ``CARRIED`` characters, null for longer ones) and the blocks of every line."""
+    ``CARRIED`` characters, null for longer ones) and the blocks of every line,
+    once in each task that has it."""
     n = F.char_length("norm")
     lines = exploded(base, "doc_id", "text").select(
         "doc_id", "line", "text_hash", F.xxhash64("norm").alias("h"), n.alias("chars"),
         F.when(n.between(1, CARRIED), F.col("norm")).alias("short"), "norm")
     kept = lines.schema.simpleString()[len("struct<"):-1].rsplit(",norm:", 1)[0]
-    at = len(lines.columns) - 1
-    signed = lines.mapInArrow(lambda batches: line_simhash.with_signatures(batches, at),
+    at, h = len(lines.columns) - 1, lines.columns.index("h")
+    signed = lines.mapInArrow(lambda batches: line_simhash.with_signatures(batches, at, h),
                               f"{kept},{line_simhash.SCHEMA}")
     return materialize(signed, "lines")
 
@@ -87,10 +99,11 @@ def _lines(base: DataFrame) -> DataFrame:
 def _keys(seen: DataFrame) -> DataFrame:
     """key, id, chars, sim: the bucket keys of every line, with the SimHash of
     the features that the key is made of (0 for keys of short texts). Lines
-    that occur often give their keys as often, unless they are short."""
-    blocks = (seen.select("h", "chars", F.explode("blocks").alias("x"))
+    that occur in several tasks give their keys several times."""
+    signed = seen.where(F.size("blocks") > 0)
+    blocks = (signed.select("h", "chars", F.explode("blocks").alias("x"))
               .select(F.explode("x.keys").alias("key"), F.col("h").alias("id"), "chars", F.col("x.sim").alias("sim")))
-    short = (seen.where(F.col("chars") <= TINY).select("h", "chars", "short").distinct()
+    short = (signed.where(F.col("chars") <= TINY).select("h", "chars", "short")
              .select(F.explode(_shortened(F.col("short"))).alias("key"), F.col("h").alias("id"), "chars",
                      F.lit(0).cast("long").alias("sim")))
     return blocks.union(short)
@@ -109,59 +122,95 @@ def _similar(a: Column, b: Column) -> Column:
     return F.call_function("levenshtein", a, b, F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")) >= 0
 
 
+def _texts(wanted: DataFrame, base: DataFrame) -> DataFrame:
+    """h, norm of the lines that ``wanted`` (at, h) names by a hash of their place."""
+    lines = (base.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+             .select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+             .select(_place("doc_id", "text_hash", "line").alias("at"), "raw").join(wanted, "at"))
+    # normalised once: neither Spark's filter nor its aggregate sees through explode
+    norm = lines.select("h", F.explode(F.array(normalise(F.col("raw")))).alias("norm"))
+    return materialize(norm.where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.max("norm").alias("norm")), "texts")
+
+
+def _place(doc_id: str | Column, text_hash: str | Column, line: str | Column) -> Column:
+    return F.xxhash64(doc_id, text_hash, line)
+
+
 def _confirmed(pairs: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame:
     """Pairs (a, b) of line ids whose edit similarity suffices. The texts come
-    from the first occurrences, so only their documents are read."""
+    from the first occurrences, in up to ``PASSES`` readings of the documents
+    that need no shuffle of them, or else in one that does."""
     near, n = materialize_counted(pairs, "pairs")
-    ends = near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(first, "h").groupBy(
-        F.col("at.doc_id").alias("ed"), F.col("at.text_hash").alias("et")).agg(
-        F.collect_list(F.struct("h", F.col("at.line").alias("line"))).alias("want"))
-    parts = base.join(broadcast_if_small(ends, known=2 * n), F.col("doc_id").cast("long").eqNullSafe(F.col("ed"))
-                      & (F.xxhash64("text") == F.col("et"))
-                      ).select(F.split("text", "\n", -1).alias("parts"), F.explode("want").alias("w"))
-    text = materialize(
-        parts.select("w.h", normalise(F.get("parts", F.col("w.line"))).alias("norm"))
-        .where(F.xxhash64("norm") == F.col("h")).groupBy("h").agg(F.max("norm").alias("norm")), "texts")
+    tested = near.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted, m = materialize_counted(first.join(broadcast_if_small(tested, SMALL, known=2 * n), "h").select(
+        _place("at.doc_id", "at.text_hash", "at.line").alias("at"), "h"), "wanted")
+    passes = max(1, -(-m // BROADCAST_ROWS))
+    if passes <= PASSES:
+        parts = [_texts(F.broadcast(wanted.where(F.pmod("at", F.lit(passes)) == i)), base) for i in range(passes)]
+    else:
+        parts = [_texts(wanted, base)]
+    text = reduce(DataFrame.union, parts)
     both = (near.join(text.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a")
             .join(text.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b").select("a", "b", "ta", "tb"))
     spread = both.repartition(max(1, -(-n // PAIRS)), "a", "b")
     return spread.mapInArrow(lambda batches: line_simhash.linked(batches, SIMILARITY), "a long, b long")
 
 
+def _roles(placed: DataFrame, most: int) -> DataFrame:
+    """``placed`` with part, x and y: strays (x) of a bucket meet its members (y)
+    within a part. A bucket of more than ``PART`` rows, of which some stray from
+    a hub and there are several components, has a part for each ``PART`` strays
+    and ``PART`` members."""
+    stray = F.col("comp") != F.col("hub_comp")
+    whole = placed.where(F.col("n") <= PART).select("*", F.lit(0).alias("part"), stray.alias("x"), F.lit(True).alias("y"))
+    if most <= PART:
+        return whole
+    large = placed.where(F.col("n") > PART)
+    parts = (large.groupBy("key").agg(F.count(F.when(stray, 1)).alias("strays"), F.count(F.lit(1)).alias("all"),
+                                      F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("strays > 0 and lo < hi")
+             .select("key", *[F.ceil(F.col(c) / PART).cast("int").alias(p) for c, p in (("strays", "px"), ("all", "py"))]))
+    large = large.join(parts, "key")
+
+    def dealt(rows: DataFrame, own: str, other: str, x: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit(x), "id"), F.col(own)).cast("int")
+        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        part = F.col("mine") * F.col("py") + F.col("other") if x else F.col("other") * F.col("py") + F.col("mine")
+        return rows.select(*placed.columns, part.alias("part"), F.lit(x).alias("x"), F.lit(not x).alias("y"))
+
+    return whole.union(dealt(large.where(stray), "px", "py", True)).union(dealt(large, "py", "px", False))
+
+
 def _groups(seen: DataFrame, first: DataFrame, base: DataFrame) -> DataFrame:
     """(node, component) over all linked lines, whole for the reason given in
     ``components.confirm_by_hubs``. Here the condition on the pair, the ratio
     of lengths and the distance of the SimHashes, stands in the bucket rows, and
     of lines of up to ``CARRIED`` characters the text as well: buckets of common
-    runs are wide, and nearly all of their pairs end at the edit test there."""
-    keys = _keys(seen)
-    buckets, n = materialize_counted(
-        keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far")
-        .select("key", "hub"), "buckets")
-    shared = materialize(keys.join(broadcast_if_small(buckets, known=n), "key").groupBy("key", "id").agg(
-        F.max("chars").alias("chars"), F.max("sim").alias("sim"), F.min("hub").alias("hub")), "shared")
-    hubs = shared.where("id = hub").select("key", F.col("chars").alias("hub_chars"), F.col("sim").alias("hub_sim"))
-    members = materialize(
-        shared.where("id <> hub").join(broadcast_if_small(hubs, known=n), "key")
-        .select("key", "id", "chars", "sim", "hub", _near("", "hub_").alias("close")), "members")
+    runs are wide, and nearly all of their pairs end at the edit test there.
+
+    The keys are dealt once: a bucket's hub and its rows meet where they lie, as
+    nearly all keys belong to one line only."""
+    keys = _keys(seen).where("key is not null and id is not null").repartition("key")
+    buckets = keys.groupBy("key").agg(
+        F.min("id").alias("hub"), F.max("id").alias("far"), F.min_by("chars", "id").alias("hub_chars"),
+        F.min_by("sim", "id").alias("hub_sim"), F.count(F.lit(1)).alias("n")).where("hub < far").drop("far")
+    members, met = materialize_with(
+        keys.join(buckets.hint("shuffle_hash"), "key").where("id <> hub")
+        .select("key", "id", "chars", "sim", "hub", "n", _near("", "hub_").alias("close")), "members", most=F.max("n"))
     tested = materialize(members.where("close").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(),
                          "hub-pairs")
-    label = materialize(components(materialize(_confirmed(tested, first, base), "links")), "labels")
-    of = lambda end, name: label.select(F.col("node").alias(end), F.col("component").alias(name))
-    placed = materialize(
-        members.join(of("id", "comp"), "id", "left").join(of("hub", "hub_comp"), "hub", "left")
-        .select("key", "id", "chars", "sim", F.coalesce("comp", "id").alias("comp"),
-                F.coalesce("hub_comp", "hub").alias("hub_comp")), "placed")
-    parted = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                       F.bool_or(F.col("comp") != F.col("hub_comp")).alias("strays"))
-    mixed = materialize(
-        placed.join(parted.where("strays and lo < hi").select("key"), "key", "left_semi")
-        .join(seen.where("short is not null").select(F.col("h").alias("id"), "short").distinct(), "id", "left"),
-        "mixed")
-    x, y = mixed.where("comp <> hub_comp").alias("x"), mixed.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y.")
-                   & F.coalesce(_similar(F.col("x.short"), F.col("y.short")), F.lit(True)))
-            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    label, n = materialize_counted(components(materialize(_confirmed(tested, first, base), "links")), "labels")
+    of = lambda end, name: broadcast_if_small(
+        label.select(F.col("node").alias(end), F.col("component").alias(name)), SMALL, known=n)
+    placed = (members.where("n > 2").join(of("id", "comp"), "id", "left").join(of("hub", "hub_comp"), "hub", "left")
+              .select("key", "id", "chars", "sim", "n", F.coalesce("comp", "id").alias("comp"),
+                      F.coalesce("hub_comp", "hub").alias("hub_comp")))
+    texts = seen.where("short is not null and size(blocks) > 0").select(F.col("h").alias("id"), "short").repartition(
+        "id").distinct()
+    rows = (_roles(placed, met["most"] or 0).drop("n", "hub_comp").join(texts, "id", "left").repartition("key", "part")
+            .sortWithinPartitions("key", "part", "id", "x"))
+    near = rows.mapInArrow(lambda batches: line_buckets.near(batches, DISTANCE, SIMILARITY), line_buckets.SCHEMA)
+    rest = (near.where(F.coalesce(_similar(F.col("ta"), F.col("tb")), F.lit(True))).select("a", "b").distinct()
             .join(tested, ["a", "b"], "left_anti"))
     more = materialize(_confirmed(rest, first, base), "more-links")
     return components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -176,12 +225,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # line ids: 64-bit hash of the normalised text
     at = F.struct("doc_id", "line", "text_hash")
     first = materialize(seen.groupBy("h").agg(F.min(at).alias("at")), "distinct-lines")
-    grouped = first.join(_groups(seen, first, base).withColumnRenamed("node", "h"), "h", "left").select(
-        "h", "at", F.coalesce("component", "h").alias("component"))
-    grouped = materialize(grouped, "grouped")
-    best = materialize(grouped.groupBy("component").agg(F.min("at").alias("best")), "group-lines")
-    of = materialize(grouped.select("h", "component").join(best, "component").select("h", "best"), "line-groups")
-    linked = seen.select("doc_id", "line", "h").distinct().join(of, "h").select(
+    groups, n = materialize_counted(_groups(seen, first, base).withColumnRenamed("node", "h"), "groups")
+    grouped = materialize(first.join(broadcast_if_small(groups, SMALL, known=n), "h"), "grouped")
+    best = grouped.groupBy("component").agg(F.min("at").alias("best"))
+    moved = materialize(grouped.select("h", "component").join(best, "component").select("h", "best"), "line-groups")
+    of = first.join(broadcast_if_small(moved, SMALL, known=n), "h", "left").select(
+        "h", F.coalesce("best", "at").alias("best"))
+    rows = seen.select("doc_id", "line", "h")
+    # only rows that share an id can repeat a line
+    if not all_lines.where("line = 0").groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.distinct()
+    linked = rows.join(of, "h").select(
         "doc_id", "line", F.col("best.doc_id").alias("group_doc_id"), F.col("best.line").alias("group_line"))
     blank = all_lines.where("chars = 0").select("doc_id", "line", F.col("doc_id").alias("group_doc_id"),
                                                 F.col("line").alias("group_line")).distinct()

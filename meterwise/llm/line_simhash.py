@@ -29,6 +29,7 @@ line alone in its slice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ CHARS = 17
 SLICE = 1 << 17
 #: Characters after a difference within which a plain alignment must meet again.
 MEETS = 40
+#: Bits of the integers that hold several distance matrices, and columns between two looks at them.
+BITS, STEP = 1 << 15, 32
+#: Lines that a task remembers having made the blocks of.
+SEEN = 1 << 18
 
 #: The keys of a line by the SimHash of the features that they are made of.
 SCHEMA = "blocks array<struct<sim:long,keys:array<long>>>"
@@ -63,10 +68,6 @@ def _starts(changed: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], changed)))
 
 
-def _majority(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.packbits(2 * ones > n[:, None], axis=1).view(_U).ravel()
-
-
 def _distinct(line: np.ndarray, h: np.ndarray, weight: np.ndarray):
     """Distinct (line, feature), by line and hash: 38 bits of the hash, whose
     first three are the group, with the weight below them."""
@@ -75,16 +76,28 @@ def _distinct(line: np.ndarray, h: np.ndarray, weight: np.ndarray):
     return (packed >> _U(44)).astype(np.int64), packed & _U((1 << 44) - 1)
 
 
-def _ones(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many hashes of each segment (from ``at`` on) have each bit: eight
-    counters to a long, so a segment is counted in parts of up to 255."""
-    size = np.diff(np.append(at, len(h)))
-    lanes = _LANES[h.view(np.uint8).reshape(-1, 8)]
-    parts = -(-size // 255)
+def _totals(x: np.ndarray) -> np.ndarray:
+    """Sums of all that stands before each place. They may wrap around; the
+    difference of two is the sum between them all the same."""
+    out = np.zeros((*x.shape[:-1], x.shape[-1] + 1), _U)
+    np.cumsum(x, axis=-1, out=out[..., 1:])
+    return out
+
+
+def _majority(totals: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash of each segment (from ``at`` on), from the totals of its hashes'
+    bits: eight counters to a long, so a segment is counted in parts of up to 255."""
+    end = np.append(at[1:], totals.shape[1] - 1)
+    n = end - at
+    if n.max() < 256:
+        counts = np.ascontiguousarray((totals[:, end] - totals[:, at]).T).view(np.uint8)
+        return np.packbits(counts > (n >> 1).astype(np.uint8)[:, None], axis=1).view(_U).ravel()
+    parts = -(-n // 255)
     first = np.cumsum(parts) - parts
     split = np.repeat(at, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
-    counts = np.add.reduceat(lanes, split, axis=0).view(np.uint8).astype(np.int32)
-    return np.add.reduceat(counts, first, axis=0) if len(split) > len(at) else counts
+    counts = np.ascontiguousarray((totals[:, np.append(split[1:], end[-1])] - totals[:, split]).T).view(np.uint8)
+    ones = np.add.reduceat(counts.astype(np.int32), first, axis=0)
+    return np.packbits(2 * ones > n[:, None], axis=1).view(_U).ravel()
 
 
 def _blocks(line: np.ndarray, h: np.ndarray, bits: np.ndarray):
@@ -94,13 +107,12 @@ def _blocks(line: np.ndarray, h: np.ndarray, bits: np.ndarray):
     Returns line, group, block, weight of the block and sim of the line."""
     group = (h >> (_U(44) - bits.astype(_U))).astype(np.int64)
     at = _starts((line[1:] != line[:-1]) | (group[1:] != group[:-1]))
-    ones = _ones(_mix(h), at)
-    n = np.diff(np.append(at, len(h)))
+    totals = _totals(_LANES[_mix(h).view(np.uint8).reshape(-1, 8).T])
     of = line[at]
     whole = _starts(of[1:] != of[:-1])
-    sims = _majority(np.add.reduceat(ones, whole, axis=0), np.add.reduceat(n, whole))
+    sims = _majority(totals, at[whole])
     weight = np.add.reduceat((h & _U(63)).astype(np.int64), at)
-    return of, group[at], _majority(ones, n), weight, np.repeat(sims, np.diff(np.append(whole, len(of))))
+    return of, group[at], _majority(totals, at), weight, np.repeat(sims, np.diff(np.append(whole, len(of))))
 
 
 def _keys(line: np.ndarray, h: np.ndarray, count: np.ndarray, kind: int, least: int, need: int):
@@ -127,14 +139,16 @@ def _words(cp: np.ndarray, start: np.ndarray, size: np.ndarray):
     """(line, hash, letters and a blank) of every word of lines joined without a gap."""
     head = np.zeros(len(cp), bool)
     head[start] = True
-    head[1:] |= cp[:-1] == 32
-    at = np.flatnonzero(head)
     space = cp == 32
-    place = np.arange(len(cp)) - np.repeat(at, np.diff(np.append(at, len(cp))))
+    head[1:] |= space[:-1]
+    at = np.flatnonzero(head)
+    n = np.diff(np.append(at, len(cp)))
+    place = np.arange(len(cp)) - np.repeat(at, n)
     value = _mix((cp.astype(_U) << _U(32)) + place.astype(_U) + _U(1))
     value[space] = 0
-    letters = np.add.reduceat((~space).astype(np.int64), at) + 1
-    return np.repeat(np.arange(len(start)), size)[at], _mix(np.add.reduceat(value, at)), letters
+    total = _totals(value)
+    # a blank is the last character of what it ends
+    return np.repeat(np.arange(len(start)), size)[at], _mix(total[at + n] - total[at]), n - space[at + n - 1] + 1
 
 
 def _runs(cp: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray, k: int):
@@ -177,10 +191,20 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return some[of], key, sim
 
 
-def with_signatures(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Replace the text column, the last one, by the column of ``SCHEMA``."""
+def with_signatures(batches: Iterator[pa.RecordBatch], text: int, ident: int) -> Iterator[pa.RecordBatch]:
+    """Replace the text column, the last one, by the column of ``SCHEMA``. Of
+    rows with one ``ident`` the first has the blocks, later ones of the same task
+    may have none."""
+    seen: set[int] = set()
     for batch in batches:
+        ids = batch.column(ident).to_pylist()
         for a, b, texts in slices(batch, text, SLICE):
+            if len(seen) > SEEN:
+                seen.clear()
+            for i in range(a, b):
+                if ids[i] in seen:
+                    texts[i - a] = b""
+                seen.add(ids[i])
             of, key, sim = signatures(texts)
             order = np.lexsort((key, sim, of))
             of, key, sim = of[order], key[order], sim[order]
@@ -224,51 +248,108 @@ def _aligned(a: str, b: str, most: int) -> bool:
     return False
 
 
-def edits_within(a: str, b: str, most: int) -> bool:
-    """Whether the Levenshtein distance of two texts is at most ``most``, by
-    bit-parallel columns of the distance matrix; equal ends are cut off first,
-    and texts that a plain alignment shows to be near need no matrix.
-
-    A path that crosses column j at row i pays at least the distance on the
-    diagonal, (j, j), less |i - j| before, and |i - j| less the difference of
-    the lengths after it, so that distance stops the search early."""
+def _decided(a: str, b: str, most: int) -> tuple[bool | None, str, str]:
+    """Whether two texts are within ``most`` edits, if that shows without a
+    matrix (else None), and the shorter and the longer text without equal ends."""
     n = _equal_start(a, b)
     a, b = a[n:], b[n:]
     n = _equal_start(a[::-1], b[::-1])
     a, b = sorted((a[:len(a) - n], b[:len(b) - n]), key=len)
     if not a or len(b) - len(a) > most:
-        return len(b) <= most
-    if len(b) <= most or _aligned(a, b, most):
-        return True
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    mask, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance, left, gap = mask, 0, len(a), len(b), len(b) - len(a)
-    for j, c in enumerate(b, 1):
-        same = at.get(c, 0)
-        diagonal = ((same & up) + up ^ up) | same | down
-        right_up, right_down = down | mask & ~(diagonal | up), up & diagonal
-        left -= 1
-        distance += 1 if right_up & last else -1 if right_down & last else 0
-        if distance - left > most:
-            return False
-        right_up = (right_up << 1 | 1) & mask
-        up = (right_down << 1 | ~(diagonal | right_up)) & mask
-        down = right_up & diagonal
-        if not j & 31 and j <= len(a):
-            upto = (1 << j) - 1
-            if j + (up & upto).bit_count() - (down & upto).bit_count() - gap > most:
-                return False
-    return distance <= most
+        return len(b) <= most, a, b
+    return (True if len(b) <= most or _aligned(a, b, most) else None), a, b
+
+
+class _Slots:
+    """Distance matrices of several pairs, column by column and bit-parallel:
+    each pair has ``wide`` bytes of the long integers, of which the top bit
+    stays clear, so that no pair carries into the next.
+
+    A path that crosses column j at row i pays at least the distance on the
+    diagonal, (j, j), less |i - j| before, and |i - j| less the difference of
+    the lengths after it, so that distance ends a pair early."""
+
+    def __init__(self, pairs: list[tuple[int, str, str, int]]):
+        self.pairs, self.wide = pairs, max(len(p[1]) for p in pairs) // 8 + 1
+        none, self.same = bytes(self.wide), []
+        for _, a, b, _ in pairs:
+            at: dict[str, int] = {}
+            for i, c in enumerate(a):
+                at[c] = at.get(c, 0) | 1 << i
+            rows = {c: x.to_bytes(self.wide, "little") for c, x in at.items()}
+            self.same.append([rows.get(c, none) for c in b])
+        self.up, self.down = self._full(), 0
+
+    def _full(self) -> int:
+        return int.from_bytes(((1 << 8 * self.wide - 1) - 1).to_bytes(self.wide, "little") * len(self.pairs), "little")
+
+    def _part(self, x: bytes, k: int, rows: int) -> int:
+        return (int.from_bytes(x[k * self.wide:(k + 1) * self.wide], "little") & (1 << rows) - 1).bit_count()
+
+    def within(self) -> Iterator[tuple[int, bool]]:
+        j, none = 0, bytes(self.wide)
+        while self.pairs:
+            full, n = self._full(), self.wide * len(self.pairs)
+            one = int.from_bytes((1).to_bytes(self.wide, "little") * len(self.pairs), "little")
+            over = {}
+            up, down = self.up, self.down
+            ends: dict[int, list[int]] = {}
+            for k, p in enumerate(self.pairs):
+                ends.setdefault(len(p[2]), []).append(k)
+            for column in zip_longest(*(s[j:j + STEP] for s in self.same), fillvalue=none):
+                same = int.from_bytes(b"".join(column), "little")
+                diagonal = (((same & up) + up ^ up) | same | down) & full
+                right_up, right_down = down | (diagonal | up) ^ full, up & diagonal
+                right_up = (right_up << 1 | one) & full
+                up = (right_down << 1 & full) | (diagonal | right_up) ^ full
+                down = right_up & diagonal
+                j += 1
+                if j in ends:
+                    x, y = up.to_bytes(n, "little"), down.to_bytes(n, "little")
+                    for k in ends[j]:
+                        rows = len(self.pairs[k][1])
+                        over[k] = j + self._part(x, k, rows) - self._part(y, k, rows) <= self.pairs[k][3]
+            x, y = up.to_bytes(n, "little"), down.to_bytes(n, "little")
+            for k, (_, a, b, most) in enumerate(self.pairs):
+                if k not in over and j <= len(a) and j + self._part(x, k, j) - self._part(y, k, j) - len(b) + len(a) > most:
+                    over[k] = False
+            for k, ok in over.items():
+                yield self.pairs[k][0], ok
+            left = [k for k in range(len(self.pairs)) if k not in over]
+            self.pairs, self.same = [self.pairs[k] for k in left], [self.same[k] for k in left]
+            self.up, self.down = (int.from_bytes(b"".join(z[k * self.wide:(k + 1) * self.wide] for k in left), "little")
+                                  for z in (x, y))
+
+
+def all_within(texts: list[tuple[str, str, int]]) -> list[bool]:
+    """Whether the Levenshtein distance of each pair of texts (a, b, most) is at
+    most ``most``. Equal ends are cut off first, texts that a plain alignment
+    shows to be near need no matrix, and the others have theirs made together."""
+    out, hard = [False] * len(texts), []
+    for i, (x, y, most) in enumerate(texts):
+        known, a, b = _decided(x, y, most)
+        if known is None:
+            hard.append((i, a, b, most))
+        else:
+            out[i] = known
+    hard.sort(key=lambda p: len(p[1]))
+    while hard:
+        n = max(1, BITS // (len(hard[-1][1]) + 8))
+        for i, ok in _Slots(hard[-n:]).within():
+            out[i] = ok
+        del hard[-n:]
+    return out
+
+
+def edits_within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance of two texts is at most ``most``."""
+    return all_within([(a, b, most)])[0]
 
 
 def linked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text of a, text of b) those whose edit similarity
     suffices, as (a, b)."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = x.as_py(), y.as_py()
-            keep.append(edits_within(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9)))
+        texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        keep = all_within([(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9)) for x, y in texts])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
